@@ -6,16 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+import public_tokenizers
+
+from . import bpe, token_files
+from .common import Scratch, table
 from .token_groups import jaccard_components
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = Scratch(spark, "op2").path("files")
+    token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read(spark, path)
+
+
+def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op10_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_token_files, op8_bpe_transducer, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
