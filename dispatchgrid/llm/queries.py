@@ -10,6 +10,7 @@ import public_tokenizers
 
 from . import bpe, token_files
 from .common import Scratch, table
+from . import quality as rules
 from .token_groups import jaccard_components
 
 
@@ -23,13 +24,18 @@ def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = rules.quality(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op8_bpe_transducer, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_files, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_quality_rules": rules.ORACLE}
