@@ -75,5 +75,33 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+BITMAP_BITS = 26
+
+
+def _bits(c: str = "doc_id"):
+    return F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+
+
+def bitmap_of(ids: DataFrame):
+    """A broadcast bitmap of hashed doc_ids, of at most 2**BITMAP_BITS bits however many there are."""
+    rows = ids.select(_bits().alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
+    return ids.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in rows.toLocalIterator()})
+
+
+def possible(docs: DataFrame, bitmap) -> DataFrame:
+    """doc_id and text of the documents that the bitmap may hold; a join on doc_id makes it exact."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+
+    def run(batches):
+        held = bitmap.value
+        for b in batches:
+            mask = [i is not None and (m := held.get(k)) is not None and bool(m[p >> 3] >> (p & 7) & 1) for i, k, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "place")), strict=True)]
+            if any(mask):
+                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(mask)).cast(schema.field(c).type) for c in schema.names], schema=schema)
+
+    probe = docs.withColumn("p", _bits()).select("doc_id", "text", F.expr("bitmap_bucket_number(p)").alias("key"), F.expr("bitmap_bit_position(p)").alias("place"))
+    return probe.mapInArrow(run, "doc_id long, text string")
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
