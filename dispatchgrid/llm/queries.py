@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, lines, tiling, token_files
+from . import bpe, lines, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
 from .token_groups import jaccard_components
@@ -28,6 +28,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -42,7 +46,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_benchmark_decontamination, op6_line_dedup, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op2_token_files, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
