@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, lines, surrogates, tiling, token_files
+from . import bpe, licenses, lines, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
 from .token_groups import jaccard_components
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Scratch(spark, "op2").path("files")
     token_files.write(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
@@ -46,8 +50,8 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_files, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_quality_rules": rules.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op9_quality_rules": rules.ORACLE}
