@@ -41,15 +41,15 @@ def _characters(text: Column, which: str) -> Column:
     return F.length(text) - F.length(F.translate(text, which, ""))
 
 
-def _prepared(docs: DataFrame) -> DataFrame:
+def _prepared(docs: DataFrame, *carry: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     inner = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
     words = F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \t\n\x0B\f\r]+"))
-    out = docs.select("doc_id", text.alias("text"), words.alias("words"))
+    out = docs.select(*carry, text.alias("text"), words.alias("words"))
     at = lambda i, j: F.get(F.col("words"), i + j)
     windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(at(i, j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
-    return out.select("doc_id", "text", "words", lines.alias("lines"), windows.alias("windows"))
+    return out.select(*carry, "text", "words", lines.alias("lines"), windows.alias("windows"))
 
 
 def _repeated_words() -> Column:
@@ -97,11 +97,19 @@ def compile_rules(rules: tuple = RULES) -> Column:
 
 def quality(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """doc_id, metrics, base_failed and kept for every document."""
-    m = _prepared(docs).select("doc_id", *(c.alias(k) for k, c in metrics().items()))
+    m = _prepared(docs, "doc_id").select("doc_id", *(c.alias(k) for k, c in metrics().items()))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return m.select("*", base.alias("base_failed"), (~base & ~compile_rules(rules)).alias("kept"))
 
 
+def kept_rows(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
+    """The rows of docs that quality() keeps, with their own columns and texts, in one narrow pass."""
+    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
+    m = _prepared(row, "row").select("row", *(c.alias(k) for k, c in metrics().items()))
+    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return m.where(~base & ~compile_rules(rules)).select("row.*")
+
+
 ORACLE = f"""
 with t as (select doc_id, coalesce(text, '') as text from documents),
 w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') as words,

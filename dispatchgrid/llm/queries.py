@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from . import bpe, licenses, lines, surrogates, tiling, token_files
+from . import bpe, language, licenses, lines, secrets, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
 from .token_groups import jaccard_components
@@ -24,6 +24,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "pages"), language.fit(table(spark, sf_dir, "documents")))
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,7 +58,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_language_id, op4_secret_scan, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -1,16 +1,20 @@
 """N-gram Jaccard self-join by a token-group matrix.
 
 Documents of equal sets form one class, and the smallest doc_id of a class stands for it. Two sets of Jaccard similarity t
-or more share one of the first ``n - ceil(t*n) + 1`` tokens of each under any one order of tokens; the order used takes
-tokens of rarer hash buckets first, so that passages in many documents come last. Documents that share such a token are
-dealt into groups by the most shared token holder and a salt, about GROUP_SIZE a group whatever the size of the cluster.
-A group stores its members and the union of their tokens. Group pairs that share a leading token meet once: each query
-document's overlap with the other group's union bounds its overlap with any member, and only groups that reach the needed
-overlap are opened, member by member, exactly. Components of the links that hold give the result.
+or more share at least l of the first ``n - ceil(t*n) + l`` tokens of each, under any one order of tokens, for the smaller
+l of the two. The order takes tokens of rarer hash buckets first, so that passages in many documents come last; l grows
+with the set (`share`), so that documents with no more than a passage in common part early. Rows of leading tokens that no
+other class has go, then documents left with too few, in turn. The rest are dealt into groups: by the document with which
+each shares the most leading tokens, and a salt, about GROUP_SIZE a group however large the cluster.
 
-Nothing is capped: rows per token are grouped before they meet, and long postings only make more groups. Broadcast are the
-bucket counts (2**BUCKET_BITS integers) and a bitmap of candidate ids (2**BITMAP_BITS bits), both of fixed size; a crowded
-bitmap only lets more sets through to a join that is exact.
+The matrix has a row for each leading token and group. A query document's count of tokens in a group's rows bounds what it
+can share with any member; only pairs of groups that reach the bound both ways meet, once. There the group's whole token
+union bounds each query again, and only groups that still qualify are opened, member by member, exactly. Components of
+the links that hold give the result.
+
+Nothing is capped: long postings only make more groups. Broadcast are the bucket counts (2**BUCKET_BITS integers) and a
+bitmap of candidate ids (2**26 bits), both of fixed size; a crowded bitmap only lets more sets through to a join
+that is exact.
 
 Nulls and empty texts: an empty set, linked with nothing. Null doc_id: dropped, since it cannot be named in the result.
 Repeated rows of one doc_id count once, under their smallest set digest. Ties: the smallest doc_id. An empty table gives
@@ -19,6 +23,7 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, small_batches, texts
+from .common import Scratch, batch, bitmap_of, possible, small_batches, texts
 from .components import components
 from .shingles import shingle_set
 
 GROUP_SIZE = 48
-BUCKET_BITS = 20
-CHUNK = 4096
-BITMAP_BITS = 26
+BUCKET_BITS = 22
+CHUNK = 1 << 14
+PRUNINGS = 2
 
-_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("least", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 _COUNTS = pa.schema([("chunk", pa.int32()), ("counts", pa.binary())])
 _MEMBERS = pa.schema([("doc_id", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("tokens", pa.binary())])
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -47,6 +52,16 @@ def needed(n: int, num: int, den: int) -> int:
     return -(-num * n // den)
 
 
+def share(n: int, num: int, den: int) -> int:
+    """How many leading tokens a set of n has beyond those that one shared token would need, and that one."""
+    return 1 + 2 * n * (den - num) // (5 * den)
+
+
+def least_shared(n: int, num: int, den: int) -> int:
+    """The leading tokens that a set of n shares with any set it links to, the smallest that fits included."""
+    return share(needed(n, num, den), num, den)
+
+
 def digest(s: np.ndarray) -> tuple[int, int]:
     d = xxhash.xxh3_128_digest(s.tobytes())
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
@@ -64,12 +79,12 @@ def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
                 np.add.at(total, (s & mask).astype(np.int64), 1)
         parts = total.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(axis=1))
-        yield batch(_COUNTS, chunk=used.tolist(), counts=[parts[i].astype("<u4").tobytes() for i in used])
+        yield batch(_COUNTS, chunk=used.tolist(), counts=[zlib.compress(parts[i].astype("<u4").tobytes(), 1) for i in used])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(CHUNK, np.uint64)
         for x in t.column("counts"):
-            total += np.frombuffer(x.as_py(), "<u4")
+            total += np.frombuffer(zlib.decompress(x.as_py()), "<u4")
         return pa.table([t.column("chunk").slice(0, 1), [np.minimum(total, 2**32 - 1).astype("<u4").tobytes()]], schema=_COUNTS)
 
     out = np.zeros((1 << BUCKET_BITS) // CHUNK * CHUNK, np.uint32).reshape(-1, CHUNK)
@@ -87,45 +102,32 @@ def set_table(docs: DataFrame, k: int, num: int, den: int, order: np.ndarray) ->
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = shared.value
         for b in batches:
-            n, c1, c2, prefix = [], [], [], []
+            n, c1, c2, least, prefix = [], [], [], [], []
             for text in b.column("text").to_pylist():
                 s = shingle_set(text, k)
                 d = digest(s)
                 n.append(len(s))
                 c1.append(d[0])
                 c2.append(d[1])
-                lead = s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[: len(s) - needed(len(s), num, den) + 1]] if len(s) else s
+                lead = s[np.argsort(order[(s & mask).astype(np.int64)], kind="stable")[: len(s) - needed(len(s), num, den) + share(len(s), num, den)]] if len(s) else s
+                least.append(least_shared(len(s), num, den))
                 prefix.append(lead.view(np.int64))
-            yield batch(_SETS, doc_id=b.column("doc_id"), n=n, c1=c1, c2=c2, prefix=prefix)
+            yield batch(_SETS, doc_id=b.column("doc_id"), n=n, c1=c1, c2=c2, least=least, prefix=prefix)
 
-    return docs.mapInArrow(build, "doc_id long, n long, c1 long, c2 long, prefix array<long>")
+    return docs.mapInArrow(build, "doc_id long, n long, c1 long, c2 long, least long, prefix array<long>")
 
 
 def member_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """The sets of documents whose id may be among `wanted` (exactly so after a join on doc_id)."""
-    bits = F.pmod(F.xxhash64("doc_id"), F.lit(1 << BITMAP_BITS))
-    rows = wanted.select(bits.alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
-    bitmap = {r["k"]: bytes(r["m"]) for r in rows.toLocalIterator()}
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
         for b in batches:
-            rows, size = [], 0
-            for i, key, place, text in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "place", "text")), strict=True):
-                part = bitmap.get(key)
-                if part is not None and part[place >> 3] >> (place & 7) & 1:
-                    s = shingle_set(text, k)
-                    rows.append((i, *digest(s), s.tobytes()))
-                    size += s.nbytes
-                    if size > 1 << 24:
-                        yield batch(_MEMBERS, **dict(zip(_MEMBERS.names, zip(*rows, strict=True), strict=True)))
-                        rows, size = [], 0
-            if rows:
+            for at in range(0, b.num_rows, 50):
+                some = b.slice(at, 50)
+                rows = [(i, *digest(s := shingle_set(x, k)), s.tobytes()) for i, x in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True)]
                 yield batch(_MEMBERS, **dict(zip(_MEMBERS.names, zip(*rows, strict=True), strict=True)))
 
-    probe = docs.withColumn("p", bits).select("doc_id", "text", F.expr("bitmap_bucket_number(p)").alias("key"), F.expr("bitmap_bit_position(p)").alias("place"))
-    return probe.mapInArrow(build, "doc_id long, c1 long, c2 long, tokens binary")
+    return possible(docs, bitmap_of(wanted.select("doc_id"))).mapInArrow(build, "doc_id long, c1 long, c2 long, tokens binary")
 
 
 class _Group:
@@ -209,6 +211,12 @@ def _edges_between(num: int, den: int):
     return run
 
 
+def _shared(postings: DataFrame) -> DataFrame:
+    """Postings of tokens that two or more documents have, with the smallest of them as center."""
+    held = postings.groupBy("token").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last").select("token", "center")
+    return postings.join(held, "token")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: components of links with den * intersection >= num * union over k-word shingles."""
     spark = docs.sparkSession
@@ -221,26 +229,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     classes = scratch.keep(own.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     lead = sets.join(classes.where("n > 0").select(F.col("rep").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi")
-    postings = lead.select("doc_id", F.explode("prefix").alias("token"))
-    held = postings.groupBy("token").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last").select("token", "center")
-    shared = scratch.keep(postings.join(held, "token"), "shared")
+    shared = _shared(lead.select("doc_id", "least", F.explode("prefix").alias("token")))
+    for i in range(PRUNINGS):
+        enough = shared.groupBy("doc_id").agg(F.count("*").alias("have"), F.max("least").alias("least")).where("have >= least").select("doc_id")
+        shared = _shared(scratch.keep(shared, f"shared-{i}").drop("center").join(enough, "doc_id", "left_semi"))
+    shared = scratch.keep(shared, "shared")
     scratch.release()
 
     votes = shared.groupBy("doc_id", "center").agg(F.count("*").alias("votes"))
     chosen = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("center")).alias("c"))).alias("best")).select("doc_id", (-F.col("best.c")).alias("center"))
     sizes = chosen.groupBy("center").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / GROUP_SIZE) + 1)
-    dealt = scratch.keep(chosen.join(sizes, "center").select("doc_id", F.xxhash64("center", salt).alias("g")), "dealt")
-
-    met = shared.select("token", "doc_id").join(dealt, "doc_id").select("token", "g").distinct()
-    several = met.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where("lo <> hi").select("token")
-    met = scratch.keep(met.join(several, "token"), "met")
-    pairs = met.alias("x").join(met.select("token", F.col("g").alias("h")).alias("y"), "token").where("g < h").select("g", "h").distinct()
-
-    dealt = dealt.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), "doc_id")
+    dealt = chosen.join(sizes, "center").select("doc_id", F.xxhash64("center", salt).alias("g"))
+    dealt = scratch.keep(dealt.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), "doc_id"), "dealt")
+
+    rows = scratch.keep(shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g"), "doc_id"), "rows")
+    matrix = rows.select("token", F.col("g").alias("h")).distinct()
+    bound = rows.join(matrix, "token").where("g <> h").groupBy("doc_id", "g", "h").agg(F.count("*").alias("have"), F.max("least").alias("least")).where("have >= least")
+    sides = bound.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), (F.col("g") < F.col("h")).alias("way")).distinct()
+    pairs = scratch.keep(sides.groupBy("g", "h").agg(F.count("*").alias("ways")).where("ways = 2").select("g", "h"), "pairs")
+
+    many = dealt.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
+    meet = many.union(pairs.select("g")).union(pairs.select("h")).distinct()
+    dealt = dealt.join(meet, "g")
     members = member_sets(docs, dealt, k).join(dealt, ["doc_id", "c1", "c2"])
     groups = scratch.keep(members.groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members")), "groups")
-    scratch.drop("shared")
+    scratch.drop("shared", "rows", *(f"shared-{i}" for i in range(PRUNINGS)))
     scratch.release()
     within = groups.select("members").mapInArrow(_edges_within(num, den), "a long, b long")
     between = pairs.join(groups, "g").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others").mapInArrow(_edges_between(num, den), "a long, b long")
