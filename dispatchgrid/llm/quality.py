@@ -107,7 +107,9 @@ def kept_rows(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     row = docs.select(F.struct(*docs.columns).alias("row"), "text")
     m = _prepared(row, "row").select("row", *(c.alias(k) for k, c in metrics().items()))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return m.where(~base & ~compile_rules(rules)).select("row.*")
+    # The guard keeps the optimiser from moving the filter below the projections, where each metric would be evaluated anew.
+    kept = m.select("row", (~base & ~compile_rules(rules)).alias("kept"), F.monotonically_increasing_id().alias("guard"))
+    return kept.where("kept and guard >= 0").select("row.*")
 
 
 ORACLE = f"""

@@ -7,9 +7,9 @@ with the set (`share`), so that documents with no more than a passage in common
 other class has go, then documents left with too few, in turn. The rest are dealt into groups: by the document with which
 each shares the most leading tokens, and a salt, about GROUP_SIZE a group however large the cluster.
 
-The matrix has a row for each leading token and group. A query document's count of tokens in a group's rows bounds what it
-can share with any member; only pairs of groups that reach the bound both ways meet, once. There the group's whole token
-union bounds each query again, and only groups that still qualify are opened, member by member, exactly. Components of
+The matrix has a row for each leading token and group. Rows that two groups have in common bound what any member of one
+can share with any of the other; only pairs of groups that reach the bound meet, once. There the group's whole token union
+bounds each query document's overlap, and only groups that qualify are opened, member by member, exactly. Components of
 the links that hold give the result.
 
 Nothing is capped: long postings only make more groups. Broadcast are the bucket counts (2**BUCKET_BITS integers) and a
@@ -36,7 +36,7 @@ from .common import Scratch, batch, bitmap_of, possible, small_batches, texts
 from .components import components
 from .shingles import shingle_set
 
-GROUP_SIZE = 48
+GROUP_SIZE = 64
 BUCKET_BITS = 22
 CHUNK = 1 << 14
 PRUNINGS = 2
@@ -244,10 +244,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     dealt = scratch.keep(dealt.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), "doc_id"), "dealt")
 
     rows = scratch.keep(shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g"), "doc_id"), "rows")
-    matrix = rows.select("token", F.col("g").alias("h")).distinct()
-    bound = rows.join(matrix, "token").where("g <> h").groupBy("doc_id", "g", "h").agg(F.count("*").alias("have"), F.max("least").alias("least")).where("have >= least")
-    sides = bound.select(F.least("g", "h").alias("g"), F.greatest("g", "h").alias("h"), (F.col("g") < F.col("h")).alias("way")).distinct()
-    pairs = scratch.keep(sides.groupBy("g", "h").agg(F.count("*").alias("ways")).where("ways = 2").select("g", "h"), "pairs")
+    matrix = rows.groupBy("token", "g").agg(F.min("least").alias("least"))
+    other = matrix.select("token", F.col("g").alias("h"), F.col("least").alias("other"))
+    bound = matrix.join(other, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("have"), F.min("least").alias("least"), F.min("other").alias("other"))
+    pairs = scratch.keep(bound.where("have >= least and have >= other").select("g", "h"), "pairs")
 
     many = dealt.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     meet = many.union(pairs.select("g")).union(pairs.select("h")).distinct()
