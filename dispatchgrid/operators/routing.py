@@ -1 +1,172 @@
-"""Registered queries."""
+"""Tours and routes; groups are bounded by a district, and each is solved in its own task."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from dispatchgrid.catalog import query
+from dispatchgrid.plans.region import Region, sql
+
+EXACT = 9
+
+
+def _matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
+
+
+def nearest_neighbour(d: np.ndarray, start: int = 0) -> list[int]:
+    """Order of visits, each time the nearest left; ties to the first."""
+    left, tour = set(range(len(d))) - {start}, [start]
+    while left:
+        nxt = min(left, key=lambda j: (round(d[tour[-1], j], 9), j))
+        tour.append(nxt)
+        left.remove(nxt)
+    return tour
+
+
+def length(d: np.ndarray, tour: list[int]) -> float:
+    return float(sum(d[a, b] for a, b in zip(tour, tour[1:] + tour[:1], strict=True))) if len(tour) > 1 else 0.0
+
+
+def two_opt(d: np.ndarray, tour: list[int], rounds: int = 100) -> list[int]:
+    """First-improvement reversals until none shortens the tour."""
+    tour = list(tour)
+    for _ in range(rounds):
+        better = False
+        for i in range(1, len(tour) - 1):
+            for j in range(i + 1, len(tour)):
+                a, b, c, e = tour[i - 1], tour[i], tour[j], tour[(j + 1) % len(tour)]
+                if d[a, c] + d[b, e] < d[a, b] + d[c, e] - 1e-12:
+                    tour[i : j + 1] = tour[i : j + 1][::-1]
+                    better = True
+        if not better:
+            break
+    return tour
+
+
+def held_karp(d: np.ndarray) -> float:
+    """Exact tour length by subsets."""
+    n = len(d)
+    if n < 3:
+        return 2 * float(d[0, n - 1]) if n == 2 else 0.0
+    best = {(1 << i, i): d[0, i] for i in range(1, n)}
+    for size in range(2, n):
+        new = {}
+        for (seen, last), cost in best.items():
+            for j in range(1, n):
+                if not seen >> j & 1:
+                    key, c = (seen | 1 << j, j), cost + d[last, j]
+                    if c < new.get(key, np.inf):
+                        new[key] = c
+        best = new
+    return float(min(c + d[last, 0] for (_, last), c in best.items()))
+
+
+def spanning_tree(d: np.ndarray) -> float:
+    """Length of a minimum spanning tree by Prim's rule."""
+    if len(d) < 2:
+        return 0.0
+    near, total, left = d[0].copy(), 0.0, np.ones(len(d), bool)
+    left[0] = False
+    while left.any():
+        i = int(np.where(left, near, np.inf).argmin())
+        total += near[i]
+        left[i] = False
+        near = np.minimum(near, d[i])
+    return float(total)
+
+
+def tour_length(d: np.ndarray) -> float:
+    """Exact up to EXACT points, beyond that nearest neighbour improved by reversals."""
+    return held_karp(d) if len(d) <= EXACT else length(d, two_opt(d, nearest_neighbour(d)))
+
+
+def per_group(points: DataFrame, key: str, order: str, f: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
+    """One row per group of points (x_km, y_km) from its distance matrix, in the order of a column."""
+    kind = dict(points.dtypes)[key]
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    groups = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "x_km", "y_km"))).alias("p"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in frames:
+            rows = [{key: k, **f(_matrix(np.array([q["x_km"] for q in p]), np.array([q["y_km"] for q in p])))} for k, p in zip(g[key], g["p"], strict=True)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return groups.mapInPandas(run, f"{key} {kind}, {schema}")
+
+
+def _groups(spark, sf_dir) -> DataFrame:
+    return Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 12).cast("int"))
+
+
+def _values(d: np.ndarray) -> dict:
+    nn = nearest_neighbour(d)
+    return {"n": len(d), "nn_km": round(length(d, nn), 6), "two_opt_km": round(length(d, two_opt(d, nn)), 6), "tour_km": round(tour_length(d), 6), "tree_km": round(spanning_tree(d), 6)}
+
+
+@query("m2_two_opt")
+def m2(spark, sf_dir):
+    return per_group(_groups(spark, sf_dir), "cell", "stop", _values, "n long, nn_km double, two_opt_km double, tour_km double, tree_km double")
+
+
+_NN = """with p as (select stop, stop % 12 as cell, x_km as x, y_km as y, row_number() over (partition by stop % 12 order by stop) as i from stops),
+w as (select cell, x, y, [i] as seen, 0.0::double as km, x as x0, y as y0 from p where i = 1 union all
+select cell, n.x, n.y, list_append(seen, n.i), km + n.d, x0, y0 from (select w.cell, w.seen, w.km, w.x0, w.y0, arg_min({'i': p.i, 'x': p.x, 'y': p.y, 'd': sqrt((p.x - w.x) ** 2 + (p.y - w.y) ** 2)}, (round(sqrt((p.x - w.x) ** 2 + (p.y - w.y) ** 2), 9), p.i)) as n from w join p on p.cell = w.cell and not list_contains(w.seen, p.i) group by w.cell, w.seen, w.km, w.x0, w.y0, w.x, w.y))
+select cell::int as cell, len(seen)::bigint as n, round(km + sqrt((x - x0) ** 2 + (y - y0) ** 2), 6) as nn_km from w where len(seen) = (select count(*) from p where p.cell = w.cell)"""
+
+
+@query("m1_nearest_neighbour_tour", sql(_NN, "stops", recursive=True))
+def m1(spark, sf_dir):
+    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"n": len(d), "nn_km": round(length(d, nearest_neighbour(d)), 6)}, "n long, nn_km double")
+
+
+@query("k9_spanning_tree")
+def k9(spark, sf_dir):
+    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tree_km": round(spanning_tree(d), 6)}, "tree_km double")
+
+
+@query("m3_tour_switch")
+def m3(spark, sf_dir):
+    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tour_km": round(tour_length(d), 6)}, "tour_km double")
+
+
+@query("l16_single_stop_vehicles", sql("select stop % 12 as cell, round(sum(2 * sqrt((x_km - 2.5) ** 2 + (y_km - 2.5) ** 2)), 6) as km from stops group by 1", "stops"))
+def l16(spark, sf_dir):
+    """With as many vehicles as stops each makes one round trip."""
+    from dispatchgrid.functions.exprs import distance
+
+    km = 2 * distance(F.col("x_km"), F.col("y_km"), F.lit(2.5), F.lit(2.5))
+    return Region(spark, sf_dir).stops().groupBy((F.col("stop") % 12).alias("cell")).agg(F.round(F.sum(km), 6).alias("km"))
+
+
+@query("m5_skip_limited_path", sql("""with p as (select route, seq, x_km as x, y_km as y from stops where seq <= 8), w as (select route, seq, 0.0::double as km from p where seq = 1 union all
+select b.route, b.seq, w.km + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) from w join p a on a.route = w.route and a.seq = w.seq join p b on b.route = a.route and b.seq > a.seq and b.seq <= a.seq + 3)
+select route, round(min(km), 6) as km from w where seq = 8 group by route""", "stops", recursive=True))
+def m5(spark, sf_dir):
+    """Shortest way along a line that may skip at most two checkpoints in a row: a fold that keeps the last three costs."""
+    s = Region(spark, sf_dir).stops().where("seq <= 8").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("p"))
+    point = lambda i: F.get("p", i)
+
+    def step(a, i):
+        ways = [F.when(i - k >= 0, F.get(a, i - k) + F.sqrt((point(i)["x"] - point(i - k)["x"]) ** 2 + (point(i)["y"] - point(i - k)["y"]) ** 2)) for k in (1, 2, 3)]
+        return F.concat(a, F.array(F.least(*ways)))
+
+    cost = F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.array(F.lit(0.0)), step)
+    return s.where(F.size("p") == 8).select("route", F.round(F.get(cost, 7), 6).alias("km"))
+
+
+@query("l7_subpath_arcs", sql("select a.route, a.seq as cp_from, b.seq as cp_to, round(sqrt((a.x_km - b.x_km) ** 2 + (a.y_km - b.y_km) ** 2), 6) as km from stops a join stops b on a.route = b.route and b.seq > a.seq and b.seq <= a.seq + 2 where sqrt((a.x_km - b.x_km) ** 2 + (a.y_km - b.y_km) ** 2) / 30 <= 0.1", "stops"))
+def l7(spark, sf_dir):
+    """Direct arcs between checkpoints at most one skip apart and within the time budget: an explode and an equi-join."""
+    from dispatchgrid.functions.exprs import distance
+
+    s = Region(spark, sf_dir).stops()
+    a = s.select("route", F.col("seq").alias("cp_from"), F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.explode(F.array(F.lit(1), F.lit(2))).alias("k")).withColumn("cp_to", F.col("cp_from") + F.col("k"))
+    b = s.select("route", F.col("seq").alias("cp_to"), F.col("x_km").alias("bx"), F.col("y_km").alias("by"))
+    km = distance(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return a.join(b, ["route", "cp_to"]).where(km / 30 <= 0.1).select("route", F.col("cp_from").cast("bigint").alias("cp_from"), F.col("cp_to").cast("bigint").alias("cp_to"), F.round(km, 6).alias("km"))
