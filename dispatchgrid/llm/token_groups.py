@@ -5,7 +5,7 @@ or more share at least l of the first ``n - ceil(t*n) + l`` tokens of each, unde
 l of the two. The order takes tokens of rarer hash buckets first, so that passages in many documents come last; l grows
 with the set (`share`), so that documents with no more than a passage in common part early. Rows of leading tokens that no
 other class has go, then documents left with too few, in turn. The rest are dealt into groups: by the document with which
-each shares the most leading tokens, and a salt, about GROUP_SIZE a group however large the cluster.
+each shares the most leading tokens, a level of set size, and a salt, about GROUP_SIZE a group however large the cluster.
 
 The matrix has a row for each leading token and group. Rows that two groups have in common bound what any member of one
 can share with any of the other; only pairs of groups that reach the bound meet, once. There the group's whole token union
@@ -23,6 +23,7 @@ no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -231,8 +232,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     lead = sets.join(classes.where("n > 0").select(F.col("rep").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi")
     shared = _shared(lead.select("doc_id", "least", F.explode("prefix").alias("token")))
     for i in range(PRUNINGS):
+        shared = scratch.keep(shared, f"shared-{i}")
+        scratch.release()
         enough = shared.groupBy("doc_id").agg(F.count("*").alias("have"), F.max("least").alias("least")).where("have >= least").select("doc_id")
-        shared = _shared(scratch.keep(shared, f"shared-{i}").drop("center").join(enough, "doc_id", "left_semi"))
+        shared = _shared(shared.drop("center").join(enough, "doc_id", "left_semi"))
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
@@ -240,18 +243,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     chosen = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("center")).alias("c"))).alias("best")).select("doc_id", (-F.col("best.c")).alias("center"))
     sizes = chosen.groupBy("center").agg(F.count("*").alias("size"))
     salt = F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / GROUP_SIZE) + 1)
-    dealt = chosen.join(sizes, "center").select("doc_id", F.xxhash64("center", salt).alias("g"))
-    dealt = scratch.keep(dealt.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), "doc_id"), "dealt")
-
-    rows = scratch.keep(shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g"), "doc_id"), "rows")
-    matrix = rows.groupBy("token", "g").agg(F.min("least").alias("least"))
-    other = matrix.select("token", F.col("g").alias("h"), F.col("least").alias("other"))
-    bound = matrix.join(other, "token").where("g < h").groupBy("g", "h").agg(F.count("*").alias("have"), F.min("least").alias("least"), F.min("other").alias("other"))
+    # Sets that link differ in size by the ratio at most, so their levels are equal or next to each other.
+    level = F.floor(F.log("n") / math.log(den / num) + 1e-9)
+    dealt = chosen.join(sizes, "center").join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2", "n"), "doc_id")
+    dealt = scratch.keep(dealt.select("doc_id", "c1", "c2", level.alias("level"), F.xxhash64("center", level, salt).alias("g")), "dealt")
+
+    rows = scratch.keep(shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g", "level"), "doc_id"), "rows")
+    matrix = rows.groupBy("token", "g", "level").agg(F.min("least").alias("least"))
+    other = matrix.select("token", F.col("g").alias("h"), F.col("level").alias("next"), F.col("least").alias("other"))
+    bound = matrix.join(other, "token").where("g < h and abs(level - next) <= 1").groupBy("g", "h").agg(F.count("*").alias("have"), F.min("least").alias("least"), F.min("other").alias("other"))
     pairs = scratch.keep(bound.where("have >= least and have >= other").select("g", "h"), "pairs")
 
     many = dealt.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
     meet = many.union(pairs.select("g")).union(pairs.select("h")).distinct()
-    dealt = dealt.join(meet, "g")
+    dealt = dealt.select("doc_id", "c1", "c2", "g").join(meet, "g")
     members = member_sets(docs, dealt, k).join(dealt, ["doc_id", "c1", "c2"])
     groups = scratch.keep(members.groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members")), "groups")
     scratch.drop("shared", "rows", *(f"shared-{i}" for i in range(PRUNINGS)))
