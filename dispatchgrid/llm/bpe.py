@@ -24,13 +24,13 @@ from pyspark.sql import DataFrame
 
 from .common import batch, small_batches, texts
 
-GENERATION = 200_000
+GENERATION = 400_000
 SHORT = 64
 _NEVER = 1 << 60
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Texts whose only white space is single blanks and line feeds between words divide before each of these.
-_UNEVEN = re.compile(r"[^\S \n]|\s\s|^\s|\s$|\x00")
+_UNEVEN = re.compile(r"[^\S \n]|\s\s|^\s|\s$|\x01")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -41,10 +41,15 @@ def byte_symbols() -> dict[str, int]:
 
 
 def pieces(text: str) -> list[str] | None:
-    """Text divided at word starts, each piece a sequence of whole pre-tokens; None where white space isn't even."""
+    """Keys of the pieces of text, divided at word starts so that each is a sequence of whole pre-tokens: a word stands for
+    itself after a blank, one marked by \x01 for itself alone. None where white space isn't even."""
     if _UNEVEN.search(text):
         return None
-    return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if text else []
+    return ("\x01" + text).replace("\n", " \n \x01").split(" ") if text else []
+
+
+def piece_text(key: str) -> str:
+    return key if key == "\n" else key[1:] if key[0] == "\x01" else " " + key
 
 
 class Memo(dict):
@@ -100,20 +105,18 @@ class Bpe:
         """Tokens of data merged by rank."""
         first, get = self.first, self.rank.get
         ids = [first[b] for b in data]
-        while len(ids) > 1:
-            ranks = [get(p, _NEVER) for p in zip(ids, ids[1:])]
+        ranks = [get(p, _NEVER) for p in zip(ids, ids[1:])]
+        while ranks:
             low = min(ranks)
             if low == _NEVER:
                 break
-            new, i, out = self.made[low], 0, []
-            while i < len(ids):
-                if i < len(ranks) and ranks[i] == low:
-                    out.append(new)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(low)
+            ids[i : i + 2] = (self.made[low],)
+            del ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), _NEVER)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), _NEVER)
         return ids
 
     def stream(self, chunks: Iterable[bytes]) -> Iterator[int]:
@@ -134,8 +137,8 @@ class Bpe:
     def _word(self, word: str) -> tuple[int, ...]:
         return tuple(self.merge(word.encode()))
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self._pretoken, _WORDS.findall(piece))))
+    def _piece(self, key: str) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self._pretoken, _WORDS.findall(piece_text(key)))))
 
     def _pretoken(self, word: str) -> Iterable[int]:
         if len(word) <= SHORT:
