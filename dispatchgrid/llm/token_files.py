@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, pieces
+from .bpe import Memo, piece_text, pieces
 from .common import Scratch, batch, small_batches, texts
 
 LANES = 64
@@ -37,6 +37,8 @@ BLOCK = 1 << 14
 CHUNK = 1 << 18
 SCALE_BITS = 20
 END_ID = 2
+#: Pieces of text whose ids a worker keeps, in each of two generations.
+PIECES = 500_000
 
 _M64 = np.uint64(SCALE_BITS)
 _LOW = np.uint64(1 << 31)
@@ -155,28 +157,38 @@ class _Library:
         self.lib.no_truncation()
         self.lib.no_padding()
         self.special = [t.content for t in self.lib.get_added_tokens_decoder().values()]
-        self.memo = Memo(self.whole)
+        self.memo = Memo(self.whole, PIECES)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.lib.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
-    def learn(self, parts: set[str]) -> None:
-        memo = self.memo
-        new = [p for p in parts if p not in memo and len(p) < 64]
-        for i in range(0, len(new), 2000):
-            some = new[i : i + 2000]
-            for p, e in zip(some, self.lib.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                dict.__setitem__(memo, p, np.array(e.ids, "<u2").tobytes())
+    def learn(self, keys: set[str]) -> None:
+        memo, old = self.memo, self.memo.old
+        new = []
+        for k in keys:
+            known = old.get(k)
+            if known is None:
+                new.append(k)
+            else:
+                memo[k] = known
+        for i in range(0, len(new), 5000):
+            some = new[i : i + 5000]
+            for k, e in zip(some, self.lib.encode_batch_fast([piece_text(k) for k in some], add_special_tokens=False), strict=True):
+                memo[k] = np.array(e.ids, "<u2").tobytes()
 
     def encode(self, many: list[str]) -> Iterator[bytes]:
-        cut = [None if any(s in x for s in self.special) else pieces(x) for x in many]
         memo = self.memo
-        if len(memo) > memo.size:
+        if len(memo) >= memo.size:
             memo.old = dict(memo)
             memo.clear()
-        self.learn(set().union(*(c for c in cut if c is not None)))
-        for text, parts in zip(many, cut, strict=True):
-            yield self.whole(text) if parts is None else b"".join(map(memo.__getitem__, parts))
+        cut = [None if any(s in x for s in self.special) else pieces(x) for x in many]
+        got = [None if c is None else list(map(memo.get, c)) for c in cut]
+        self.learn({k for c, g in zip(cut, got, strict=True) if c is not None and None in g for k, v in zip(c, g, strict=True) if v is None})
+        for text, parts, values in zip(many, cut, got, strict=True):
+            if parts is None:
+                yield self.whole(text)
+            else:
+                yield b"".join(map(memo.get, parts) if None in values else values)
 
 
 @lru_cache(maxsize=2)
