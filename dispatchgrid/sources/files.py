@@ -5,6 +5,7 @@ Every reader takes a path that Spark resolves, so inputs may lie in any store; n
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +59,6 @@ def gtfs_member(spark: SparkSession, zip_path: str, member: str) -> DataFrame:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     name = next((n for n in z.namelist() if n.rsplit("/", 1)[-1] == member), None)
                     if name is not None:
-                        import pandas as pd
-
                         yield pd.DataFrame({"row": [dict(r) for r in csv.DictReader(io.TextIOWrapper(z.open(name), "utf-8-sig"))]})
 
     m = spark.read.format("binaryFile").load(zip_path).select("content").mapInPandas(rows, "row map<string,string>")
@@ -107,8 +106,6 @@ def write_results(df: DataFrame, path: str, *by: str) -> None:
 
 def decode_polyline(column):
     """Vertices of encoded polylines, as an Arrow function: the format's running state isn't an expression."""
-    import pandas as pd
-
     @F.pandas_udf("array<struct<lat:double,lon:double>>")
     def decode(lines: pd.Series) -> pd.Series:
         def one(text):
