@@ -1,6 +1,6 @@
 """Operators by kind; importing a module registers its queries."""
 
-MODULES = ("evaluate", "aggregates", "joins", "windows", "scalars", "nearest", "scenarios", "graphs", "sets", "statistics", "robust", "routing", "modes")
+MODULES = ("evaluate", "aggregates", "joins", "windows", "scalars", "nearest", "scenarios", "graphs", "sets", "statistics", "robust", "routing", "modes", "assignments", "reports")
 
 
 def load() -> None:
