@@ -55,7 +55,7 @@ def needed(n: int, num: int, den: int) -> int:
 
 def share(n: int, num: int, den: int) -> int:
     """How many leading tokens a set of n has beyond those that one shared token would need, and that one."""
-    return 1 + 2 * n * (den - num) // (5 * den)
+    return 1 + n * (den - num) // (5 * den)
 
 
 def least_shared(n: int, num: int, den: int) -> int:
@@ -226,13 +226,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     docs = texts(docs).where("doc_id is not null")
 
     sets = scratch.keep(set_table(docs, k, num, den, bucket_counts(docs, k)), "sets")
-    own = sets.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "n")).alias("s")).select("doc_id", "s.*")
+    own = scratch.keep(sets.groupBy("doc_id").agg(F.min(F.struct("c1", "c2", "n")).alias("s")).select("doc_id", "s.*"), "own")
     classes = scratch.keep(own.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes")
 
     lead = sets.join(classes.where("n > 0").select(F.col("rep").alias("doc_id"), "c1", "c2"), ["doc_id", "c1", "c2"], "left_semi")
     shared = _shared(lead.select("doc_id", "least", F.explode("prefix").alias("token")))
     for i in range(PRUNINGS):
         shared = scratch.keep(shared, f"shared-{i}")
+        if not i:
+            scratch.drop("sets")
         scratch.release()
         enough = shared.groupBy("doc_id").agg(F.count("*").alias("have"), F.max("least").alias("least")).where("have >= least").select("doc_id")
         shared = _shared(shared.drop("center").join(enough, "doc_id", "left_semi"))
