@@ -37,8 +37,7 @@ def e2(spark, sf_dir):
 select block, count(*)::bigint as kept, round(sum(q), 2) as load from c where before <= 1500000 group by block"""))
 def e3(spark, sf_dir):
     """Largest first until the capacity is passed, the location that passes it included."""
-    o = Region(spark, sf_dir).table("orders").where("o_orderdate < timestamp '1994-01-01'")
-    o = o.select((F.col("o_custkey") % 25).alias("block"), F.col("o_orderkey").alias("loc"), F.col("o_totalprice").alias("q"))
+    o = Region(spark, sf_dir).table("orders").select((F.col("o_custkey") % 25).alias("block"), F.col("o_orderkey").alias("loc"), F.col("o_totalprice").alias("q"))
     w = Window.partitionBy("block").orderBy(F.desc("q"), "loc").rowsBetween(Window.unboundedPreceding, 0)
     kept = o.withColumn("before", F.sum("q").over(w) - F.col("q")).where("before <= 1500000")
     return kept.groupBy("block").agg(F.count("*").alias("kept"), F.round(F.sum("q"), 2).alias("load"))
