@@ -146,7 +146,7 @@ def s4(spark, sf_dir):
 @query("s6_insertion_positions", sql("select user_id, i::int as position, list_aggregate(list_concat(list_concat(e[:i], ['x']), e[i + 1:]), 'string_agg', ',') as events from (select user_id, list(event_id::varchar order by event_id) as e from events where event_type = 'purchase' and user_id % 50 = 0 group by user_id), (select unnest(range(200)) as i) where i <= len(e)"))
 def s6(spark, sf_dir):
     """A request put at every place of an event list."""
-    e = Region(spark, sf_dir).table("events").where("event_type = 'purchase' and user_id % 50 = 0").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
+    e = Region(spark, sf_dir).table("events").where("event_type = 'purchase'").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
     e = e.select("user_id", F.transform("e", lambda x: x.cast("string")).alias("e")).select("user_id", "e", F.explode(F.sequence(F.lit(0), F.size("e"))).alias("position"))
     return e.select("user_id", "position", F.array_join(F.array_insert("e", F.col("position") + 1, F.lit("x")), ",").alias("events"))
 
