@@ -89,15 +89,17 @@ def k7(spark, sf_dir):
 @query("k8_hull", sql("""with p as (select stop, x_km as x, y_km as y from stops where stop <= 40), e as (select a.stop as a, b.stop as b from p a join p b on a.stop <> b.stop join p c on true group by a.stop, b.stop having max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9)
 select distinct a as stop from (select a from e union select b from e) h(a) where not exists (select 1 from p q1, p q2, p p0 where p0.stop = h.a and q1.stop <> h.a and q2.stop <> h.a and q1.stop <> q2.stop and abs((q1.x - p0.x) * (q2.y - p0.y) - (q1.y - p0.y) * (q2.x - p0.x)) <= 1e-9 and (q1.x - p0.x) * (q2.x - p0.x) + (q1.y - p0.y) * (q2.y - p0.y) < 0)""", "stops"))
 def k8(spark, sf_dir):
-    """Corners of the convex hull: each task reduces its points to their own hull, and one task joins the small hulls."""
+    """Corners of the convex hull: each task reduces its places to their own hull, and one task joins the small hulls.
+
+    All stops at a corner are returned.
+    """
     import pandas as pd
 
     def chain(frames):
         seen = [f for f in frames if len(f)]
         if not seen:
             return
-        p = pd.concat(seen).drop_duplicates(["x", "y"]).sort_values(["x", "y"])
-        pts = list(p.itertuples(index=False))
+        pts = list(pd.concat(seen).drop_duplicates().sort_values(["x", "y"]).itertuples(index=False))
         out = set()
         for order in (pts, pts[::-1]):
             hull = []
@@ -105,12 +107,13 @@ def k8(spark, sf_dir):
                 while len(hull) > 1 and (hull[-1].x - hull[-2].x) * (q.y - hull[-2].y) - (hull[-1].y - hull[-2].y) * (q.x - hull[-2].x) <= 1e-9:
                     hull.pop()
                 hull.append(q)
-            out |= {q.stop for q in hull}
-        yield p[p.stop.isin(out)]
+            out |= {(q.x, q.y) for q in hull}
+        yield pd.DataFrame(sorted(out), columns=["x", "y"])
 
-    p = Region(spark, sf_dir).stops().where("stop <= 40").select("stop", F.col("x_km").alias("x"), F.col("y_km").alias("y"))
-    schema = "stop bigint, x double, y double"
-    return p.mapInPandas(chain, schema).coalesce(1).mapInPandas(chain, schema).select("stop")
+    p = Region(spark, sf_dir).stops().select("stop", F.col("x_km").alias("x"), F.col("y_km").alias("y"))
+    schema = "x double, y double"
+    corners = p.select("x", "y").mapInPandas(chain, schema).coalesce(1).mapInPandas(chain, schema)
+    return p.join(F.broadcast(corners), ["x", "y"]).select("stop")
 
 
 @query("k10_voronoi_raster", sql("select cell, arg_min(district, (round((cx - mx) ** 2 + (cy - my) ** 2, 9), district)) as district from (select i * 40 + j as cell, (i + 0.5) / 8 as cx, (j + 0.5) / 8 as cy from (select unnest(range(40)) as i), (select unnest(range(40)) as j)), (select district, avg(x_km) as mx, avg(y_km) as my from blocks group by district) group by cell", "blocks"))
