@@ -90,10 +90,10 @@ _SEGMENTS = "select route, seq, x_km as ax, y_km as ay, lead(x_km) over (partiti
 
 @query("c9_segment_touches_block", sql(f"select block, exists (select 1 from ({_SEGMENTS}) s where bx is not null and least(ax, bx) <= x_km + 1 and greatest(ax, bx) >= x_km and least(ay, b_y) <= y_km + 1 and greatest(ay, b_y) >= y_km and seq <= 5) as near_line from blocks", "stops", "blocks"))
 def c9(spark, sf_dir):
-    """Blocks whose box meets the box of one of the first five segments of a route: segments dealt to the cells they span."""
+    """Blocks whose box meets the box of a segment of a route: segments dealt to the cells they span."""
     r = Region(spark, sf_dir)
     w = Window.partitionBy("route").orderBy("seq")
-    s = r.stops().select("seq", "x_km", "y_km", F.lead("x_km").over(w).alias("bx"), F.lead("y_km").over(w).alias("by")).where("bx is not null and seq <= 5")
+    s = r.stops().select("seq", "x_km", "y_km", F.lead("x_km").over(w).alias("bx"), F.lead("y_km").over(w).alias("by")).where("bx is not null")
     span = lambda a, b: F.sequence(F.ceil(F.least(a, b)) - 1, F.floor(F.greatest(a, b)))
     cells = s.select(F.explode(span("x_km", "bx")).alias("cx"), "y_km", "by").select("cx", F.explode(span("y_km", "by")).alias("cy")).distinct().withColumn("hit", F.lit(True))
     b = r.blocks().select("block", F.col("x_km").cast("bigint").alias("cx"), F.col("y_km").cast("bigint").alias("cy"))

@@ -149,15 +149,16 @@ select b.route, b.seq, w.km + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) from w j
 select route, round(min(km), 6) as km from w where seq = 8 group by route""", "stops", recursive=True))
 def m5(spark, sf_dir):
     """Shortest way along a line that may skip at most two checkpoints in a row: a fold that keeps the last three costs."""
-    s = Region(spark, sf_dir).stops().where("seq <= 8").groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("p"))
+    s = Region(spark, sf_dir).stops().groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("p"))
     point = lambda i: F.get("p", i)
 
     def step(a, i):
-        ways = [F.when(i - k >= 0, F.get(a, i - k) + F.sqrt((point(i)["x"] - point(i - k)["x"]) ** 2 + (point(i)["y"] - point(i - k)["y"]) ** 2)) for k in (1, 2, 3)]
-        return F.concat(a, F.array(F.least(*ways)))
+        ways = [F.when(i - k >= 0, F.get(a, F.lit(k - 1)) + F.sqrt((point(i)["x"] - point(i - k)["x"]) ** 2 + (point(i)["y"] - point(i - k)["y"]) ** 2)) for k in (1, 2, 3)]
+        return F.slice(F.concat(F.array(F.least(*ways)), a), 1, 3)  # the latest cost first
 
-    cost = F.aggregate(F.sequence(F.lit(1), F.lit(7)), F.array(F.lit(0.0)), step)
-    return s.where(F.size("p") == 8).select("route", F.round(F.get(cost, 7), 6).alias("km"))
+    later = F.filter(F.sequence(F.lit(0), F.size("p") - 1), lambda i: i > 0)
+    cost = F.aggregate(later, F.array(F.lit(0.0)), step)
+    return s.select("route", F.round(F.get(cost, F.lit(0)), 6).alias("km"))
 
 
 @query("l7_subpath_arcs", sql("select a.route, a.seq as cp_from, b.seq as cp_to, round(sqrt((a.x_km - b.x_km) ** 2 + (a.y_km - b.y_km) ** 2), 6) as km from stops a join stops b on a.route = b.route and b.seq > a.seq and b.seq <= a.seq + 2 where sqrt((a.x_km - b.x_km) ** 2 + (a.y_km - b.y_km) ** 2) / 30 <= 0.1", "stops"))
