@@ -151,7 +151,7 @@ select a.s, a.i, a.t, list_sort([f.free[2], greatest(a.t, f.free[1]) + 0.03]), f
 select s, round(max(wait), 6) as total_wait, max(i)::bigint as n from f group by s""", recursive=False).replace("with a as", "with recursive a as", 1))
 def i2(spark, sf_dir):
     """Two vehicles, constant service of 0.03 h, each six-hour scenario on its own."""
-    a = arrivals(Region(spark, sf_dir)).where("t_h < 24").withColumn("s", F.floor(F.col("t_h") / 6))
+    a = arrivals(Region(spark, sf_dir)).withColumn("s", F.floor(F.col("t_h") / 6))
     g = a.groupBy("s").agg(F.array_sort(F.collect_list(F.col("t_h") - 6 * F.col("s"))).alias("times"))
     return g.select("s", R6(queue_wait(F.col("times"), F.lit(0.03), 2), "total_wait"), F.size("times").cast("bigint").alias("n"))
 
@@ -159,7 +159,7 @@ def i2(spark, sf_dir):
 @query("i3_shared_arrivals", sql(f"select floor(t_h / 6)::bigint as s, count(*)::bigint as n, round(sum(km), 6) as km from (select t_h, sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2) as km from ({_ARRIVALS}) a join blocks b on a.block = b.block where t_h < 48) group by 1", "blocks"))
 def i3(spark, sf_dir):
     r = Region(spark, sf_dir)
-    a = arrivals(r).where("t_h < 48").join(F.broadcast(r.blocks()), "block")
+    a = arrivals(r).join(F.broadcast(r.blocks()), "block")
     km = distance(F.col("x_km"), F.col("y_km"), F.lit(2.0), F.lit(2.0))
     return a.groupBy(F.floor(F.col("t_h") / 6).alias("s")).agg(F.count("*").alias("n"), R6(F.sum(km), "km"))
 
