@@ -9,7 +9,11 @@ addresses in the same kind of range, e-mail domains map label by label so that t
 follow the form of address in gender and the original in script.
 
 Distinct entities get distinct surrogates over the whole corpus: entities are grouped by surrogate, all but the first of a
-collision (and any that equals a real entity) draw again with the next attempt, until there is none.
+collision (and any that equals a real entity) draw again with the next attempt, until there is none. So that this ends at
+any number of entities, the space grows with the attempt: names by a syllable, local parts and credentials by a letter,
+short phone numbers by a digit, longer ones by the exchange, addresses by wider ranges of their kind (private ones: 10/8,
+then the unassigned 240/4). Cards (10^11 a first digit and more), IBANs (10^14 and more), social security numbers (10^9)
+and public addresses (3.5 * 10^9) have a form that can't grow: they settle while real ones fill less than half of it.
 
 Texts without entities pass through unmoved. An entity in a third of all documents is one row of the entity table, and its
 join back is one that adaptive execution splits.
@@ -135,6 +139,11 @@ def _like(text: Column, h: Column) -> Column:
     return F.array_join(F.transform(chars, one), "")
 
 
+def _more(h: Column, n: Column, letters: str) -> Column:
+    """n further signs, each one of sixteen."""
+    return F.translate(F.substring(h, F.lit(33), n), "0123456789abcdef", letters)
+
+
 def _check_sum(digits: Column) -> Column:
     """Luhn sum of a string of digits."""
     d = F.reverse(F.filter(F.split(digits, ""), lambda c: c != ""))
@@ -149,39 +158,56 @@ def _card(canon: Column, h: Column) -> Column:
     return F.concat(drawn, F.when(valid, last).otherwise((last + 1 + _number(h, 50, 9)) % 10).cast("string"))
 
 
-def _phone(canon: Column, h: Column) -> Column:
-    """Country and area digits change within 2-9 where they lead; the last seven keep a fictional exchange."""
+def _phone(canon: Column, h: Column, attempt: Column) -> Column:
+    """Country and area digits change within 2-9 where they lead; the last seven keep a fictional exchange at first."""
     n = F.length(canon)
     new = _like(canon, h)
     lead = F.substring(canon, F.lit(1), n - 10)
     area = F.concat((_number(h, 1, 8) + 2).cast("string"), F.substring(new, n - 8, F.lit(2)))
-    return F.when(n >= 10, F.concat(F.when(n > 10, lead).otherwise(""), area, F.lit("555"), F.substring(new, n - 3, F.lit(4)))).otherwise(new)
+    return F.when(n >= 10, F.concat(F.when(n > 10, lead).otherwise(""), area, F.when(attempt < 2, "555").otherwise(F.substring(new, n - 6, F.lit(3))), F.substring(new, n - 3, F.lit(4)))).otherwise(F.concat(new, _more(h, F.least(attempt, 15 - n), "0123456789012345")))
 
 
-def _ip(canon: Column, h: Column) -> Column:
+def _ip(canon: Column, h: Column, attempt: Column) -> Column:
     octets = F.split(canon, r"\.")
     inside = F.get(octets, F.lit(0)).isin("10", "127") | canon.startswith("192.168.")
     keep = F.when(canon.startswith("192.168."), 2).when(inside, 1).otherwise(0)
-    drawn = F.transform(F.array(*(F.lit(i) for i in range(4))), lambda i: F.when(i < keep, F.get(octets, i)).otherwise((F.conv(F.substring(h, i * 8 + 1, F.lit(6)), 16, 10).cast("long") % F.when(i == 0, 97).otherwise(254) + F.when(i == 0, 128).otherwise(1)).cast("string")))
-    return F.array_join(drawn, ".")
+    number = lambda i: F.conv(F.substring(h, i * 8 + 1, F.lit(6)), 16, 10).cast("long")
+    four = F.array(*(F.lit(i) for i in range(4)))
+    drawn = F.transform(four, lambda i: F.when(i < keep, F.get(octets, i)).otherwise((number(i) % F.when(i == 0, 97).otherwise(254) + F.when(i == 0, 128).otherwise(1)).cast("string")))
+    public = 11 + number(F.lit(0)) % 212
+    first = F.when(~inside, F.when(public == 127, 223).otherwise(public)).when(attempt < 4, 10).otherwise(240 + number(F.lit(0)) % 15)
+    wide = F.transform(four, lambda i: F.when(i == 0, first).otherwise(number(i) % 256).cast("string"))
+    return F.array_join(F.when(attempt < 2, drawn).otherwise(wide), ".")
 
 
-def _email(canon: Column, h: Column, key: str) -> Column:
+def _email(canon: Column, h: Column, attempt: Column, key: str) -> Column:
     local, domain = F.split_part(canon, F.lit("@"), F.lit(1)), F.split_part(canon, F.lit("@"), F.lit(2))
     suffix = F.regexp_extract(domain, r"\.[a-z]+$", 0)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(suffix))
-    return F.concat(_like(local, h), F.lit("@"), _like(labels, _hex(key, F.lit("domain"), domain)), suffix)
+    return F.concat(_like(local, h), _more(h, attempt, "abcdefghijklmnop"), F.lit("@"), _like(labels, _hex(key, F.lit("domain"), domain)), suffix)
 
 
 def _pick(values: list[str], h: Column, at: int) -> Column:
     return F.get(F.array(*map(F.lit, values)), _number(h, at, len(values)))
 
 
-def _name(canon: Column, h: Column) -> Column:
+def _nth(values: Column, h: Column):
+    """The i-th further pick of sixteen values."""
+    return lambda i: F.get(values, F.conv(F.substring(h, i + 32, F.lit(1)), 16, 10).cast("int"))
+
+
+def _credential(canon: Column, h: Column, attempt: Column) -> Column:
+    """One of signs that have no like is drawn from letters when it comes again."""
+    return F.when(attempt < 1, _like(canon, h)).otherwise(F.concat(_like(F.regexp_replace(canon, "[^A-Za-z0-9]", "z"), h), _more(h, attempt, "abcdefghijklmnop")))
+
+
+def _name(canon: Column, h: Column, attempt: Column) -> Column:
     gender, words = F.split_part(canon, F.lit("|"), F.lit(1)), F.split(F.split_part(canon, F.lit("|"), F.lit(2)), "[ \u00a0]")
     out = F.lit(None).cast("string")
     for script in SYLLABLES:
-        family = F.concat(*(_pick(SYLLABLES[script], h, at) for at in (1, 9, 17)))
+        syllables = F.array(*map(F.lit, SYLLABLES[script]))
+        further = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), attempt), lambda i: i > 0), _nth(syllables, h)), "")
+        family = F.concat(*(_pick(SYLLABLES[script], h, at) for at in (1, 9, 17)), further)
         given = F.when(gender == "f", _pick(GIVEN[script, "f"], h, 25)).otherwise(_pick(GIVEN[script, "m"], h, 25))
         full = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), F.initcap(family))).otherwise(F.initcap(family))
         out = F.when(_script(canon) == script, full).otherwise(out)
@@ -191,11 +217,12 @@ def _name(canon: Column, h: Column) -> Column:
 def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     h = _hex(key, kind, canon, attempt.cast("string"))
     return (
-        F.when(kind == "email", _email(canon, h, key))
+        F.when(kind == "email", _email(canon, h, attempt, key))
         .when(kind == "card", _card(canon, h))
-        .when(kind == "phone", _phone(canon, h))
-        .when(kind == "ip", _ip(canon, h))
-        .when(kind == "name", _name(canon, h))
+        .when(kind == "phone", _phone(canon, h, attempt))
+        .when(kind == "ip", _ip(canon, h, attempt))
+        .when(kind == "name", _name(canon, h, attempt))
+        .when(kind == "credential", _credential(canon, h, attempt))
         .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), h)))
         .otherwise(_like(canon, h))
     )
@@ -209,7 +236,8 @@ def formatted(kind: Column, raw: Column, sur: Column) -> Column:
         F.concat(a["out"], F.when(c.rlike("[0-9A-Z]"), F.substring(sur, a["at"], F.lit(1))).otherwise(c)).alias("out"),
         (a["at"] + F.when(c.rlike("[0-9A-Z]"), 1).otherwise(0)).alias("at"),
     )
-    spread = F.aggregate(chars, start, step)["out"]
+    # What a longer surrogate has left comes after the last place.
+    spread = F.aggregate(chars, start, step, lambda a: F.concat(a["out"], F.substring(sur, a["at"], F.length(sur))))
     title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.?[ \u00A0]", 0)
     assigned = F.regexp_extract(raw, r"^(.*?[\"'])[^\"'\s]+[\"']$", 1)
     return (

@@ -1,0 +1,46 @@
+"""Surrogates stay distinct where there are more entities than the first attempt has surrogates."""
+
+import itertools
+import re
+
+from dispatchgrid.llm import surrogates
+from dispatchgrid.llm.common import Scratch
+
+
+def settled(spark, kind, canons):
+    found = spark.createDataFrame([(kind, c) for c in canons], "kind string, canon string")
+    rows = surrogates.entity_table(found, Scratch(spark, "space"), "key").collect()
+    sur = {r["canon"]: r["sur"] for r in rows}
+    assert set(sur) == set(canons) and len(set(sur.values())) == len(sur) and not set(sur.values()) & set(sur)
+    return sur
+
+
+def test_more_names_than_three_syllables_have(spark):
+    words = ["".join(w) for w in itertools.product("abcdefghijklmnopqr", repeat=3)][:5000]
+    docs = [(i, f"{('Mr', 'Mrs')[i % 2]} {w.title()}") for i, w in enumerate(words)]
+    rows = surrogates.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert len({r["text"].split(" ")[1] for r in rows}) == len(docs)
+    assert all(re.fullmatch(r"Mrs? [A-Z][a-z]+", r["text"]) for r in rows)
+
+
+def test_more_private_addresses_than_half(spark):
+    sur = settled(spark, "ip", [f"192.168.{i}.{j}" for i in range(256) for j in range(160)])
+    assert all(re.match(r"192\.168\.|10\.|24\d\.|25[0-4]\.", s) for s in sur.values())
+
+
+def test_all_short_local_parts_of_a_domain(spark):
+    sur = settled(spark, "email", [f"{c}@mail.example" for c in "abcdefghijklmnopqrstuvwxyz0123456789"])
+    assert all(s.endswith(".example") for s in sur.values())
+
+
+def test_credentials_without_letters_or_digits(spark):
+    text = "password = '********' token = \"парольпароль\""
+    got = surrogates.replace_pii(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert re.fullmatch(r"password = '[a-z]+' token = \"[a-z]+\"", got)
+
+
+def test_short_phone_numbers_grow(spark):
+    docs = [(i, f"+{i // 10000 + 1} {i // 100 % 100 + 1} {i % 100:02d} 77") for i in range(20000)]
+    rows = surrogates.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    digits = [re.sub(r"\D", "", r["text"]) for r in rows]
+    assert len(set(digits)) == len({re.sub(r"\D", "", t) for _, t in docs})
