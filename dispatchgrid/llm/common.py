@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = 1000
+ARROW_ROWS, ARROW_BYTES = 1000, 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,16 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hold Arrow batches to ARROW_ROWS rows, so that long texts keep a batch within memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Hold Arrow batches to ARROW_ROWS rows and ARROW_BYTES, so that long texts keep a batch within memory."""
+    for key, most, usual in (("maxRecordsPerBatch", ARROW_ROWS, "10000"), ("maxBytesPerBatch", ARROW_BYTES, str(2**31 - 1))):
+        held = int(spark.conf.get(f"spark.sql.execution.arrow.{key}", usual))
+        if not 0 < held <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where none is set (tests)."""
+    """The folder that all executors share; one of our own only where none is set and all run in this process (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="dispatchgrid-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove_local, root)
@@ -75,32 +78,31 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-BITMAP_BITS = 26
+#: A bitmap has between these many bits.
+LEAST_BITS, MOST_BITS = 1 << 18, 1 << 29
 
 
-def _bits(c: str = "doc_id"):
-    return F.pmod(F.xxhash64(c), F.lit(1 << BITMAP_BITS))
+class Bitmap:
+    """Hashed doc_ids, eight bits or more to an id up to MOST_BITS (64 MB) in all, as rows of 2**15 bits to broadcast."""
 
+    def __init__(self, ids: DataFrame):
+        self.bits = LEAST_BITS
+        while self.bits < min(8 * ids.count(), MOST_BITS):
+            self.bits *= 2
+        place = ids.select(self._place().alias("p"))
+        self.rows = place.groupBy(F.expr("bitmap_bucket_number(p)").alias("__bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("__bits"))
 
-def bitmap_of(ids: DataFrame):
-    """A broadcast bitmap of hashed doc_ids, of at most 2**BITMAP_BITS bits however many there are."""
-    rows = ids.select(_bits().alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m"))
-    return ids.sparkSession.sparkContext.broadcast({r["k"]: bytes(r["m"]) for r in rows.toLocalIterator()})
+    def _place(self):
+        return F.pmod(F.xxhash64("doc_id"), F.lit(self.bits))
 
-
-def possible(docs: DataFrame, bitmap) -> DataFrame:
-    """doc_id and text of the documents that the bitmap may hold; a join on doc_id makes it exact."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
-
-    def run(batches):
-        held = bitmap.value
-        for b in batches:
-            mask = [i is not None and (m := held.get(k)) is not None and bool(m[p >> 3] >> (p & 7) & 1) for i, k, p in zip(*(b.column(c).to_pylist() for c in ("doc_id", "key", "place")), strict=True)]
-            if any(mask):
-                yield pa.RecordBatch.from_arrays([b.column(c).filter(pa.array(mask)).cast(schema.field(c).type) for c in schema.names], schema=schema)
-
-    probe = docs.withColumn("p", _bits()).select("doc_id", "text", F.expr("bitmap_bucket_number(p)").alias("key"), F.expr("bitmap_bit_position(p)").alias("place"))
-    return probe.mapInArrow(run, "doc_id long, text string")
+    def split(self, docs: DataFrame, inside: bool = True) -> DataFrame:
+        """doc_id and text of the documents that the bitmap may hold (a join on doc_id makes it exact), or of all others."""
+        probe = docs.select("doc_id", "text", self._place().alias("__p"))
+        probe = probe.select("doc_id", "text", F.expr("bitmap_bucket_number(__p)").alias("__bucket"), F.expr("bitmap_bit_position(__p)").alias("__at"))
+        byte = F.conv(F.hex(F.substring("__bits", (F.floor(F.col("__at") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        held = F.expr("doc_id is not null") & F.coalesce(F.floor(byte / F.pow(F.lit(2), F.col("__at") % 8)) % 2 == 1, F.lit(False))
+        # The rows are bounded by MOST_BITS, so the broadcast is too.
+        return probe.join(F.broadcast(self.rows), "__bucket", "left").where(held if inside else ~held).select("doc_id", "text")
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

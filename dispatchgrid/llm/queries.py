@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
@@ -37,7 +38,9 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.without_repeats(table(spark, sf_dir, "documents"))
+    out = lines.without_repeats(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("removed", lambda r: F.concat_ws("-", r["begin"], r["stop"])), ",")
+    return out.select("doc_id", "text", F.size("removed").cast("long").alias("n_removed"), spans.alias("removed"))
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +65,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op9_quality_rules": rules.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_quality_rules": rules.ORACLE}

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batch, bitmap_of, possible, small_batches, texts
+from .common import Bitmap, Scratch, batch, small_batches, texts
 from .components import components
 from .shingles import shingle_set
 
@@ -128,7 +128,7 @@ def member_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 rows = [(i, *digest(s := shingle_set(x, k)), s.tobytes()) for i, x in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True)]
                 yield batch(_MEMBERS, **dict(zip(_MEMBERS.names, zip(*rows, strict=True), strict=True)))
 
-    return possible(docs, bitmap_of(wanted.select("doc_id"))).mapInArrow(build, "doc_id long, c1 long, c2 long, tokens binary")
+    return Bitmap(wanted.select("doc_id")).split(docs).mapInArrow(build, "doc_id long, c1 long, c2 long, tokens binary")
 
 
 class _Group:

@@ -213,18 +213,56 @@ def test_tiles_equal_brute_force():
         assert got == want
 
 
-def test_lines_keep_the_first(spark, empty):
-    line = "this very line is in many documents indeed"
-    docs = [(3, f"a b c d e f g\n{line}\nend"), (1, f"{line}"), (2, f"top\n{line.upper()}!\n{line}\nlast line"), (4, None), (5, ""), (6, "short\nshort")]
-    got = {r["doc_id"]: r for r in lines.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
-    assert {i: r["text"] for i, r in got.items()} == {3: "a b c d e f g\nend", 2: "top\nlast line"}
-    original = dict(docs)
-    for i, r in got.items():
-        gone = [range(x["begin"], x["stop"]) for x in r["removed"]]
-        assert "".join(c for k, c in enumerate(original[i]) if not any(k in g for g in gone)) == r["text"]
+def brute_lines(docs, least):
+    """Sentences that go, by comparing every run of sentences that just reaches `least` words with all earlier ones."""
+    parts, norm = {}, {}
+    for i, text in docs:
+        parts[i] = [x for x in re.findall(r"(?s).*?(?:[.!?]+[ \t\n\x0b\f\r]+|\n|\Z)", text or "") if x]
+        norm[i] = [re.sub(r"[^\w\s]|_", "", x.lower(), flags=re.A).split() for x in parts[i]]
+    seen, gone = set(), {i: set() for i, _ in docs}
+    for i, _ in sorted(docs):
+        w = norm[i]
+        runs = set()
+        for a in range(len(w)):
+            ends = [b for b in range(a, len(w)) if w[a] and sum(map(len, w[a : b + 1])) >= least]
+            starts = [b for b in range(a + 1) if w[a] and sum(map(len, w[b : a + 1])) >= least]
+            runs |= {(a, ends[0])} if ends else set()
+            runs |= {(starts[-1], a)} if starts else set()
+        for a, b in sorted(runs):
+            key = tuple(x for y in w[a : b + 1] for x in y)
+            if key in seen:
+                gone[i] |= set(range(a, b + 1))
+            seen.add(key)
+    return {i: ["" if k in gone[i] else x for k, x in enumerate(parts[i])] for i, _ in docs}
+
+
+def test_lines_equal_brute_force(spark, empty):
+    rng = np.random.default_rng(7)
+    pool = [" ".join(f"w{rng.integers(40)}" for _ in range(rng.integers(1, 9))) for _ in range(30)]
+    docs = [(i, "".join(pool[j] + [". ", "\n", ".\n", "! "][rng.integers(4)] for j in rng.integers(0, 30, rng.integers(0, 25)))) for i in range(60)]
+    docs += [(60, docs[3][1]), (61, docs[4][1] * 3), (62, None), (63, ""), (64, "\n\n"), (65, "".join(f"long{i % 4000} " for i in range(9000)))]
+    frame = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, gone string, first int").repartition(3)
+    for least in (3, 6, 12):
+        got = {r["doc_id"]: r for r in lines.without_repeats(frame, least=least).collect()}
+        want = brute_lines(docs, least)
+        for i, text in docs:
+            text = text or ""
+            assert got[i]["text"].split() == "".join(want[i]).split(), (least, i)
+            gone = [range(x["begin"], x["stop"]) for x in got[i]["removed"]]
+            assert "".join(c for k, c in enumerate(text) if not any(k in g for g in gone)) == got[i]["text"]
     assert lines.without_repeats(empty).count() == 0
 
 
+def test_lines_of_passages_and_headings(spark):
+    passage = " ".join(f"Sentence {i} of a passage that many share." for i in range(8))
+    docs = [(1, "A heading\nown text here"), (2, f"before it {passage} after it"), (3, f"A heading\nx {passage}\nlast line"), (4, passage.upper()), (None, passage), (5, passage), (5, passage)]
+    rows = lines.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    got = {r["doc_id"]: r["text"] for r in rows}
+    assert len(rows) == len(docs) and got[1] == docs[0][1] and got[2] == docs[1][1] and got[None] == passage
+    assert got[3] == "A heading\nx Sentence 0 of a passage that many share. \nlast line" and got[4] == "SENTENCE 0 OF A PASSAGE THAT MANY SHARE. " and got[5] == ""
+    assert {x["kept_in"] for r in rows for x in r["removed"]} == {2, 4}
+
+
 def test_surrogates(spark, empty):
     card, ip, mail = "4111111111111111", "193.195.198.107", "john.smith@mail.example.com"
     docs = [(1, f"Mr. John Smith {mail} +1 (310) 555-4510"), (2, f"{ip} 4111 1111 1111 1111 {card} {mail.upper()}"), (3, None), (4, ""), (5, "order 9870157079875996, 2020"), (None, f"to {ip}."), (2, f"{ip} 4111 1111 1111 1111 {card} {mail.upper()}"), (6, "Mrs Ann Lee met Госпожа Иванова")]
