@@ -5,16 +5,16 @@ or more share at least l of the first ``n - ceil(t*n) + l`` tokens of each, unde
 l of the two. The order takes tokens of rarer hash buckets first, so that passages in many documents come last; l grows
 with the set (`share`), so that documents with no more than a passage in common part early. Rows of leading tokens that no
 other class has go, then documents left with too few, in turn. The rest are dealt into groups: by the document with which
-each shares the most leading tokens, a level of set size, and a salt, about GROUP_SIZE a group however large the cluster.
+each shares the most leading tokens, a level of set size, and a salt, about GROUP_SIZE members or GROUP_TOKENS tokens a group however
+large the cluster. A group is first opened by itself, with the document it is dealt by beside it, which links most copies.
 
-The matrix has a row for each leading token and group. Rows that two groups have in common bound what any member of one
-can share with any of the other; only pairs of groups that reach the bound meet, once. There the group's whole token union
-bounds each query document's overlap, and only groups that qualify are opened, member by member, exactly. Components of
-the links that hold give the result.
+The matrix has a row for each leading token and group; groups that lie within one component of those links are one column
+together. Rows that two columns have in common bound what any member of one can share with any of the other; only pairs
+that reach the bound meet, once. There the group's whole token union bounds each query document's overlap, and only groups
+that qualify are opened, member by member, exactly. Components of the links that hold give the result.
 
 Nothing is capped: long postings only make more groups. Broadcast are the bucket counts (2**BUCKET_BITS integers) and a
-bitmap of candidate ids (2**26 bits), both of fixed size; a crowded bitmap only lets more sets through to a join
-that is exact.
+bitmap of candidate ids, both of bounded size; a crowded bitmap only lets more sets through to a join that is exact.
 
 Nulls and empty texts: an empty set, linked with nothing. Null doc_id: dropped, since it cannot be named in the result.
 Repeated rows of one doc_id count once, under their smallest set digest. Ties: the smallest doc_id. An empty table gives
@@ -37,7 +37,7 @@ from .common import Bitmap, Scratch, batch, small_batches, texts
 from .components import components
 from .shingles import shingle_set
 
-GROUP_SIZE = 64
+GROUP_SIZE, GROUP_TOKENS = 64, 1 << 16
 BUCKET_BITS = 22
 CHUNK = 1 << 14
 PRUNINGS = 2
@@ -218,6 +218,38 @@ def _shared(postings: DataFrame) -> DataFrame:
     return postings.join(held, "token")
 
 
+def _columns(dealt: DataFrame, roots: DataFrame) -> DataFrame:
+    """g, root, col: root where a group's members are all of one component, whose groups then form one column together."""
+    own = dealt.select("doc_id", "g").join(roots, dealt["doc_id"] == roots["node"], "left").select("g", F.coalesce("root", "doc_id").alias("root"))
+    pure = own.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return pure.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("root")).withColumn("col", F.when(F.col("root").isNotNull(), F.xxhash64(F.lit("component"), "root")).otherwise(F.col("g")))
+
+
+def _meeting(rows: DataFrame) -> DataFrame:
+    """Pairs of columns (a < b) that have as many tokens in common as any link between their members needs."""
+    matrix = rows.groupBy("token", "col").agg(F.min("least").alias("least"), F.min("level").alias("lo"), F.max("level").alias("hi"))
+    side = lambda x: matrix.select("token", F.col("col").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("least", "lo", "hi")))
+    met = side("a").join(side("b"), "token").where("a < b and lo_a <= hi_b + 1 and lo_b <= hi_a + 1")
+    enough = met.groupBy("a", "b").agg(F.count("*").alias("have"), F.min("least_a").alias("least_a"), F.min("least_b").alias("least_b"))
+    return enough.where("have >= least_a and have >= least_b").select("a", "b")
+
+
+def _pairs(rows: DataFrame, columns: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of groups (a < b) that may hold a link between two components.
+
+    Groups within one component are one column of the matrix, so a cluster of any size meets itself not at all and others
+    once; the groups of columns that do meet are then told apart over the tokens of those columns alone."""
+    rows = scratch.keep(rows.join(columns.select("g", "col"), "g"), "rows")
+    met = scratch.keep(_meeting(rows), "met")
+    both = met.union(met.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    some = rows.join(both.select(F.col("a").alias("col")).distinct(), "col", "left_semi")
+    matrix = some.groupBy("token", "g", "col").agg(F.min("least").alias("least"), F.min("level").alias("level"))
+    left = matrix.join(met, matrix["col"] == met["a"]).select("token", F.col("g").alias("ga"), "a", "b", F.col("least").alias("least_a"), F.col("level").alias("lo"))
+    right = matrix.select("token", F.col("g").alias("gb"), F.col("col").alias("b"), F.col("least").alias("least_b"), F.col("level").alias("hi"))
+    near = left.join(right, ["token", "b"]).where("abs(lo - hi) <= 1").groupBy("ga", "gb").agg(F.count("*").alias("have"), F.min("least_a").alias("la"), F.min("least_b").alias("lb"))
+    return scratch.keep(near.where("have >= la and have >= lb").select(F.col("ga").alias("g"), F.col("gb").alias("h")), "pairs")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id: components of links with den * intersection >= num * union over k-word shingles."""
     spark = docs.sparkSession
@@ -241,29 +273,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     shared = scratch.keep(shared, "shared")
     scratch.release()
 
-    votes = shared.groupBy("doc_id", "center").agg(F.count("*").alias("votes"))
-    chosen = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("center")).alias("c"))).alias("best")).select("doc_id", (-F.col("best.c")).alias("center"))
-    sizes = chosen.groupBy("center").agg(F.count("*").alias("size"))
-    salt = F.pmod(F.xxhash64("doc_id"), F.floor(F.col("size") / GROUP_SIZE) + 1)
+    votes = shared.groupBy("doc_id", "center").agg(F.count("*").alias("votes"), F.max("least").alias("least"))
+    chosen = votes.groupBy("doc_id").agg(F.max(F.struct("votes", (-F.col("center")).alias("c"))).alias("best"), F.max("least").alias("least"))
+    chosen = chosen.select("doc_id", (-F.col("best.c")).alias("center"), (F.col("best.votes") >= F.col("least")).alias("near"))
+    chosen = chosen.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2", "n"), "doc_id")
+    sizes = chosen.groupBy("center").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"))
+    salt = F.pmod(F.xxhash64("doc_id"), F.greatest(F.floor(F.col("size") / GROUP_SIZE), F.floor(F.col("tokens") / GROUP_TOKENS)) + 1)
     # Sets that link differ in size by the ratio at most, so their levels are equal or next to each other.
     level = F.floor(F.log("n") / math.log(den / num) + 1e-9)
-    dealt = chosen.join(sizes, "center").join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2", "n"), "doc_id")
-    dealt = scratch.keep(dealt.select("doc_id", "c1", "c2", level.alias("level"), F.xxhash64("center", level, salt).alias("g")), "dealt")
-
-    rows = scratch.keep(shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g", "level"), "doc_id"), "rows")
-    matrix = rows.groupBy("token", "g", "level").agg(F.min("least").alias("least"))
-    other = matrix.select("token", F.col("g").alias("h"), F.col("level").alias("next"), F.col("least").alias("other"))
-    bound = matrix.join(other, "token").where("g < h and abs(level - next) <= 1").groupBy("g", "h").agg(F.count("*").alias("have"), F.min("least").alias("least"), F.min("other").alias("other"))
-    pairs = scratch.keep(bound.where("have >= least and have >= other").select("g", "h"), "pairs")
-
-    many = dealt.groupBy("g").agg(F.count("*").alias("n")).where("n > 1").select("g")
-    meet = many.union(pairs.select("g")).union(pairs.select("h")).distinct()
-    dealt = dealt.select("doc_id", "c1", "c2", "g").join(meet, "g")
-    members = member_sets(docs, dealt, k).join(dealt, ["doc_id", "c1", "c2"])
-    groups = scratch.keep(members.groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members")), "groups")
-    scratch.drop("shared", "rows", *(f"shared-{i}" for i in range(PRUNINGS)))
+    dealt = chosen.join(sizes, "center").select("doc_id", "c1", "c2", "center", "near", level.alias("level"), F.xxhash64("center", level, salt).alias("g"))
+    dealt = scratch.keep(dealt, "dealt")
+
+    # Each group is opened once by itself, with its center beside it: that joins most of a cluster before any groups meet.
+    seat = dealt.where("near and center <> doc_id").select("g", F.col("center").alias("doc_id")).distinct()
+    seats = dealt.select("g", "doc_id", "c1", "c2").union(seat.join(classes.select(F.col("rep").alias("doc_id"), "c1", "c2"), "doc_id").select("g", "doc_id", "c1", "c2")).distinct()
+    members = scratch.keep(member_sets(docs, dealt.select("doc_id"), k).join(seats, ["doc_id", "c1", "c2"]), "members")
+    groups = members.groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members"))
+    within = scratch.keep(groups.where(F.size("members") > 1).select("members").mapInArrow(_edges_within(num, den), "a long, b long"), "within")
+    roots = components(within, scratch, "star")
+
+    rows = shared.select("token", "doc_id", "least").join(dealt.select("doc_id", "g", "level"), "doc_id").select("token", "g", "level", "least")
+    pairs = _pairs(rows, _columns(dealt, roots), scratch)
+    scratch.drop("shared", "rows", "met", *(f"shared-{i}" for i in range(PRUNINGS)))
     scratch.release()
-    within = groups.select("members").mapInArrow(_edges_within(num, den), "a long, b long")
+    asked = members.join(pairs.select("g").union(pairs.select(F.col("h").alias("g"))).distinct(), "g", "left_semi")
+    groups = scratch.keep(asked.groupBy("g").agg(F.collect_list(F.struct("doc_id", "tokens")).alias("members")), "groups")
+    scratch.drop("members")
     between = pairs.join(groups, "g").join(groups.select(F.col("g").alias("h"), F.col("members").alias("others")), "h").select("members", "others").mapInArrow(_edges_between(num, den), "a long, b long")
     roots = components(within.union(between), scratch)
 
