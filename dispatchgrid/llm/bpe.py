@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from .common import batch, small_batches, texts
 
-GENERATION = 400_000
+GENERATION = 200_000
 SHORT = 64
 _NEVER = 1 << 60
 #: Fixed value: the pre-tokenisation pattern of byte-level BPE.
@@ -138,7 +138,10 @@ class Bpe:
         return tuple(self.merge(word.encode()))
 
     def _piece(self, key: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self._pretoken, _WORDS.findall(piece_text(key)))))
+        words = _WORDS.findall(piece_text(key))
+        if len(words) == 1 and len(key) <= SHORT:
+            return self._word(words[0])
+        return tuple(chain.from_iterable(map(self._pretoken, words)))
 
     def _pretoken(self, word: str) -> Iterable[int]:
         if len(word) <= SHORT:
