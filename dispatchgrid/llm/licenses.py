@@ -4,11 +4,12 @@ Units are a text's lines, its paragraphs (divided at blank lines) and the text i
 a-z and 0-9. A unit matches a template when 2 |A n B| / (|A| + |B|) >= THRESHOLD over their sets of word bigrams. Since the
 shared set is no larger than the smaller one, |A| must lie within t/(2-t) and (2-t)/t of |B|: templates outside these
 bounds are not compared. Before that, a text without any of the bigrams that every match would need (of each template, one
-more than a match can do without) has no unit worth dividing. All of it is one narrow projection; no row moves.
+more than a match can do without) has no unit worth dividing, and one without any of the words of these isn't normalised.
+All of it is one narrow projection; no row moves.
 
 Nulls and empty texts: no units, no match. Null doc_id: kept. Repeated rows: each on its own. Ties: the template whose
-name comes first. Very long texts: their units beyond the largest bound are not compared with any template. An empty table
-gives no rows. Other columns are ignored by the query.
+name comes first. Very long texts: a unit of n distinct words has n - 1 distinct bigrams or more, so one with too many for
+the largest bound is not compared with any template. An empty table gives no rows. Other columns are ignored by the query.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-#: Notices and permission texts by SPDX identifier.
+#: Notices, permission texts and disclaimers by SPDX identifier, one-line ones and those of several sentences.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
@@ -30,6 +31,9 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
@@ -40,8 +44,12 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
 
 
@@ -51,20 +59,28 @@ def bigrams_of(text: str) -> list[str]:
 
 
 def anchors(templates=TEMPLATES, t: float = THRESHOLD) -> list[str]:
-    """Bigrams of which a matching unit has at least one: of each template one more than a match can miss, rare-looking first."""
-    df: dict[str, int] = {}
-    for _, x in templates:
-        for b in bigrams_of(x):
-            df[b] = df.get(b, 0) + 1
+    """Bigrams of which a matching unit has at least one: of each template one more than a match can miss, those with the
+    longest words first, since these are rare elsewhere."""
     out: dict[str, None] = {}
     for _, x in templates:
-        own = sorted(bigrams_of(x), key=lambda b: (b not in out, df[b], -len(b), b))
+        own = sorted(bigrams_of(x), key=lambda b: (b not in out, -max(map(len, b.split(" "))), b))
         least = math.ceil(t * len(own) / (2 - t) - 1e-9)
         for b in own[: len(own) - least + 1]:
             out[b] = None
     return list(out)
 
 
+def signs(bigrams: list[str], least: int = 6) -> tuple[list[str], list[str]]:
+    """Words of `least` letters or more, found greedily, such that each bigram holds one of them, and the bigrams that have
+    no word of that length."""
+    words, left = [], [b.split(" ") for b in bigrams if max(map(len, b.split(" "))) >= least]
+    while left:
+        best = min({w for b in left for w in b if len(w) >= least}, key=lambda w: (-sum(any(w in x for x in b) for b in left), -len(w), w))
+        words.append(best)
+        left = [b for b in left if not any(best in x for x in b)]
+    return words, [b for b in bigrams if max(map(len, b.split(" "))) < least]
+
+
 def _unit_best(unit: Column, table: Column, t: float) -> Column:
     """The best (dice, negative place, id) over templates within the size bounds; null where none reaches t."""
     words = F.filter(F.split(unit, " "), lambda w: w != "")
@@ -88,20 +104,28 @@ def scan(docs: DataFrame, templates=TEMPLATES, t: float = THRESHOLD) -> DataFram
     """doc_id, license, dice, n_matches: the best template of any unit, and how many units match one."""
     parts = [(i, n, bigrams_of(x)) for n, (i, x) in enumerate(sorted(templates))]
     table = F.array(*(F.struct(F.lit(i).alias("id"), F.lit(-n).alias("rank"), F.lit(len(g)).alias("n"), F.array(*map(F.lit, g)).alias("grams")) for i, n, g in parts))
-    widest = int(max(len(g) for *_, g in parts) * (2 - t) / t) + 2
-    pattern = "|".join(map(re.escape, anchors(templates, t))).replace("\\ ", " ")
-    plain = F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), r"[^a-z0-9\n]+", " ")
-    norm = docs.select("doc_id", plain.alias("norm"))
+    widest = int(max(len(g) for *_, g in parts) * (2 - t) / t + 1e-9)
+    needed = anchors(templates, t)
+    pattern = "|".join(map(re.escape, needed)).replace("\\ ", " ")
+    low = F.lower(F.coalesce("text", F.lit("")))
+    some = docs.select("doc_id", low.alias("low"))
+    words, short = signs(needed)
+    worth = F.lit(False)
+    for w in words:
+        worth = worth | F.contains(F.col("low"), F.lit(w))
+    if short:
+        worth = worth | F.col("low").rlike("|".join(b.replace(" ", "[^a-z0-9]+") for b in short))
+    norm = some.select("doc_id", F.when(worth, F.regexp_replace("low", r"[^a-z0-9\n]+", " ")).otherwise("").alias("norm"))
     # Line feeds stay for dividing; a unit's own line feeds become blanks.
     flat = lambda u: F.translate(u, "\n", " ")
     lines = F.split("norm", "\n", -1)
     paragraphs = F.when(F.col("norm").rlike(r"\n ?\n"), F.split("norm", r"\n ?\n[ \n]*", -1)).otherwise(F.array().cast("array<string>"))
     whole = F.when(F.instr("norm", "\n") > 0, F.array("norm")).otherwise(F.array().cast("array<string>"))
-    short = lambda u: F.size(F.split(u, " ", widest + 3)) <= widest + 2
+    narrow = lambda u: F.size(F.array_distinct(F.split(F.btrim(u), " +"))) <= widest + 1
     near = F.filter(F.transform(F.concat(lines, paragraphs, whole), flat), lambda u: u.rlike(pattern))
-    near = F.filter(near, short)
+    near = F.filter(near, narrow)
     best = F.filter(F.transform(near, lambda u: _unit_best(u, table, t)), lambda s: s.isNotNull())
-    found = norm.select("doc_id", F.when(F.translate("norm", "\n", " ").rlike(pattern), best).alias("found"))
+    found = norm.select("doc_id", F.when(flat(F.col("norm")).rlike(pattern), best).alias("found"))
     top = F.array_max("found")
     return found.select("doc_id", top["id"].alias("license"), F.round(top["dice"], 6).alias("dice"), F.coalesce(F.size("found"), F.lit(0)).cast("long").alias("n_matches"))
 
@@ -118,7 +142,7 @@ u as (select doc_id, unnest(string_split(norm, chr(10))) as unit from d
       union all select doc_id, unnest(regexp_split_to_array(norm, '\\n ?\\n[ \\n]*')) from d where regexp_matches(norm, '\\n ?\\n')
       union all select doc_id, norm from d where contains(norm, chr(10))),
 w as (select doc_id, list_filter(string_split(replace(unit, chr(10), ' '), ' '), lambda x: x <> '') as words from u),
-g as (select doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as grams from w where len(words) > 1 and len(words) < 200),
+g as (select doc_id, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) as grams from w where len(words) > 1),
 s as (select doc_id, id, rank, 2.0::double * len(list_intersect(g.grams, t.grams)) / (len(g.grams) + len(t.grams)) as dice, g.grams as unit_grams from g, t),
 b as (select doc_id, max(dice) as dice, arg_max(id, (dice, -rank)) as id, min(-rank) as r from s where dice >= {THRESHOLD} group by doc_id, unit_grams),
 m as (select doc_id, arg_max(id, (dice, r)) as license, max(dice) as dice from b group by doc_id),
