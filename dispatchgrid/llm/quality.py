@@ -41,14 +41,14 @@ def _characters(text: Column, which: str) -> Column:
     return F.length(text) - F.length(F.translate(text, which, ""))
 
 
-def _prepared(docs: DataFrame, *carry: str) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    inner = F.regexp_replace(text, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
+def _prepared(docs: DataFrame, text: Column, *carry: str) -> DataFrame:
+    text = F.coalesce(text, F.lit(""))
+    inner = F.btrim(text, F.lit(BLANK))
     words = F.when(F.length(inner) == 0, F.array().cast("array<string>")).otherwise(F.split(inner, r"[ \t\n\x0B\f\r]+"))
     out = docs.select(*carry, text.alias("text"), words.alias("words"))
     at = lambda i, j: F.get(F.col("words"), i + j)
     windows = F.when(F.size("words") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.xxhash64(*(at(i, j) for j in range(WINDOW))))).otherwise(F.array().cast("array<bigint>"))
-    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.translate(x, BLANK, "")) > 0)
+    lines = F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(BLANK))) > 0)
     return out.select(*carry, "text", "words", lines.alias("lines"), windows.alias("windows"))
 
 
@@ -71,7 +71,7 @@ def metrics() -> dict[str, Column]:
     per_word = lambda c: F.when(n > 0, c / n).otherwise(0.0)
     chars = F.length(F.translate("text", BLANK, ""))
     dup = F.size("lines") - F.size(F.array_distinct("lines"))
-    stop = F.array(*(F.lit(w) for w in dict.fromkeys(STOP_WORDS)))
+    stop = list(dict.fromkeys(STOP_WORDS))
     return {
         "n_words": n.cast("long"),
         "word_chars": chars.cast("long"),
@@ -81,7 +81,7 @@ def metrics() -> dict[str, Column]:
         "mean_word_chars": per_word(chars),
         "symbol_ratio": per_word(_characters(F.col("text"), SYMBOLS)),
         "shout_ratio": per_word(_characters(F.col("text"), "!")),
-        "stop_ratio": per_word(F.size(F.filter("words", lambda w: F.array_contains(stop, w)))),
+        "stop_ratio": per_word(F.size(F.filter("words", lambda w: w.isin(stop)))),
         "dup_line_ratio": F.when(F.size("lines") > 0, dup / F.size("lines")).otherwise(0.0),
     }
 
@@ -97,19 +97,20 @@ def compile_rules(rules: tuple = RULES) -> Column:
 
 def quality(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """doc_id, metrics, base_failed and kept for every document."""
-    m = _prepared(docs, "doc_id").select("doc_id", *(c.alias(k) for k, c in metrics().items()))
+    m = _prepared(docs, F.col("text"), "doc_id").select("doc_id", *(c.alias(k) for k, c in metrics().items()))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return m.select("*", base.alias("base_failed"), (~base & ~compile_rules(rules)).alias("kept"))
 
 
 def kept_rows(docs: DataFrame, rules: tuple = RULES) -> DataFrame:
     """The rows of docs that quality() keeps, with their own columns and texts, in one narrow pass."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    m = _prepared(row, "row").select("row", *(c.alias(k) for k, c in metrics().items()))
+    names = [f"__{i}" for i in range(len(docs.columns))]  # so that no column clashes with those of the metrics
+    own = docs.toDF(*names)
+    m = _prepared(own, F.col(names[docs.columns.index("text")]), *names).select(*names, *(c.alias(k) for k, c in metrics().items()))
     base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     # The guard keeps the optimiser from moving the filter below the projections, where each metric would be evaluated anew.
-    kept = m.select("row", (~base & ~compile_rules(rules)).alias("kept"), F.monotonically_increasing_id().alias("guard"))
-    return kept.where("kept and guard >= 0").select("row.*")
+    kept = m.select(*names, (~base & ~compile_rules(rules)).alias("kept"), F.monotonically_increasing_id().alias("guard"))
+    return kept.where("kept and guard >= 0").select(*names).toDF(*docs.columns)
 
 
 ORACLE = f"""
