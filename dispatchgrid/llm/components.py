@@ -26,6 +26,12 @@ def _small(e: DataFrame) -> DataFrame:
     return far.union(m.select("a", F.col("m").alias("b"))).distinct()
 
 
+def _stars(e: DataFrame) -> bool:
+    """Whether every node has one edge up, or is the smallest of its star and has none."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("top")).union(e.select("b", F.lit(0), F.lit(1)))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up + top > 1").limit(1).count()
+
+
 def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFrame:
     """(node, root) for every node that has an edge: root is the smallest node of its component.
 
@@ -33,16 +39,12 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "cc") -> DataFram
     """
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e = scratch.keep(e, f"{name}-0")
-    seen = None
-    for i in range(1, MAX_ROUNDS + 1):
-        new = scratch.keep(_small(_large(e)), f"{name}-{i}")
-        state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    i = 0
+    while not _stars(e):
+        i += 1
+        if i > MAX_ROUNDS:
+            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        e = scratch.keep(_small(_large(e)), f"{name}-{i}")
         scratch.drop(f"{name}-{i - 1}")
-        e = new
-        if state == seen:
-            break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("root"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)
