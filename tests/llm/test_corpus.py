@@ -132,6 +132,31 @@ def test_token_files(spark, odd, empty):
         assert len(got) == len(rows)
 
 
+def test_token_files_of_unsorted_and_repeated_ids(spark):
+    rng = np.random.default_rng(3)
+    docs = [(int(i), f"text {i} of {'many ' * int(rng.integers(0, 30))}words\nand  more\u00a0{i % 3}") for i in rng.permutation(300)]
+    docs += [(7, "a second text of one id"), (7, "a second text of one id"), (None, "no id")]
+    path = Scratch(spark, "test").path("files")
+    token_files.write(spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, chunk int, ids string").repartition(5), path, PATH)
+    got = sorted(tuple(r) for r in token_files.read(spark, path).collect())
+    assert len(got) == len(docs) - 1 and [r[0] for r in sorted(got, key=lambda r: r[1])] == sorted(i for i, _ in docs if i is not None)
+    want = {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, t in docs if i is not None for x in [LIB.encode(t, add_special_tokens=False).ids + [2]]}
+    assert {(r[0], r[2], r[3]) for r in got} == want
+    assert all(a[1] + a[2] == b[1] for a, b in zip(sorted(got, key=lambda r: r[1]), sorted(got, key=lambda r: r[1])[1:], strict=False))
+
+
+def test_pieces_equal_the_library(monkeypatch):
+    rng = np.random.default_rng(5)
+    alphabet = list("ab'sté中😀 \n.,-!12\t x\x01")
+    many = ["".join(rng.choice(alphabet, int(rng.integers(0, 60)))) for _ in range(3000)] + ["", "\n", " ", "<|endoftext|> a", "a\x85b", "don't 've"]
+    monkeypatch.setattr(token_files, "PIECES", 500)
+    own = token_files._Library(PATH)
+    for at in range(0, len(many), 250):
+        for text, got in zip(many[at : at + 250], own.encode(many[at : at + 250]), strict=True):
+            assert np.frombuffer(got, "<u2").tolist() == LIB.encode(text, add_special_tokens=False).ids, text
+    assert len(own.keys) <= 500 and list(own.encode([])) == []
+
+
 def test_blocks_round_trip_and_checksums():
     rng = np.random.default_rng(2)
     for n in (1, 63, 64, 65, token_files.BLOCK + 5, 3 * token_files.BLOCK):
@@ -160,6 +185,21 @@ def test_quality_counts(odd, empty):
     assert quality.quality(empty).count() == 0
 
 
+def test_quality_of_long_runs_of_blanks(spark):
+    docs = [(1, "a" + " " * 300_000 + "b " * 10), (2, "\t\n " * 50_000)]
+    got = {r["doc_id"]: r["n_words"] for r in quality.quality(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 11, 2: 0}
+
+
+def test_licence_units_by_their_distinct_bigrams(spark):
+    docs = [(n, "Released under the MIT License. " * n) for n in (1, 2, 25, 30, 3000)] + [(31, " ".join(f"word{i}" for i in range(5000)) + " under the MIT License"), (32, ("Released under the MIT License.\n" + "x y z\n") * 40)]
+    frame = spark.createDataFrame([(*d, "a", 1) for d in docs], "doc_id long, text string, low string, norm int").union(spark.createDataFrame([(1, docs[0][1], "b", 2)], "doc_id long, text string, low string, norm int"))
+    rows = licenses.scan(frame).collect()
+    got = {r["doc_id"]: (r["license"], r["dice"], r["n_matches"]) for r in rows}
+    assert len(rows) == len(docs) + 1 and got[1] == ("MIT", 1.0, 1) and got[31] == (None, None, 0) and got[32][::2] == ("MIT", 40)
+    assert all(got[n][0] == "MIT" and got[n][1] == 0.888889 for n in (2, 25, 30, 3000))
+
+
 def test_licenses(spark, empty):
     docs = [(1, "some prose that goes on for a while\nReleased under the MIT License."), (2, "Licensed under the Apache License, Version 2.0."), (3, "no licence here at all"), (4, None), (5, ""), (6, "Licensed under CC BY-NC 4.0.\nReleased under the MIT License.")]
     got = {r["doc_id"]: (r["license"], r["n_matches"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}

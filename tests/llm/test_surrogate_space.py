@@ -3,6 +3,8 @@
 import itertools
 import re
 
+import pytest
+
 from dispatchgrid.llm import surrogates
 from dispatchgrid.llm.common import Scratch
 
@@ -44,3 +46,35 @@ def test_short_phone_numbers_grow(spark):
     rows = surrogates.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     digits = [re.sub(r"\D", "", r["text"]) for r in rows]
     assert len(set(digits)) == len({re.sub(r"\D", "", t) for _, t in docs})
+
+
+def test_a_family_name_is_one_with_and_without_a_given_name(spark):
+    docs = [(1, "Mr John Smith wrote. Mr Smith left. Mrs Smith too. Mr. Smith"), (2, "Mrs Ann Smith and Mr Jack Smith, Mr John Lee")]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    m = re.fullmatch(r"Mr (\w+) (\w+) wrote\. Mr (\w+) left\. Mrs (\w+) too\. Mr\. (\w+)", got[1])
+    assert len(set(m.groups()[1:])) == 1 and "Smith" not in got[1]
+    n = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+) (\w+), Mr (\w+) (\w+)", got[2])
+    assert n[2] == n[4] == m[2] != n[6] and n[5] == m[1] and len({n[1], n[3], n[5]}) == 3
+
+
+def mod97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_account_numbers_keep_country_and_valid_check_digits(spark):
+    good, bad = "DE89370400440532013000", "GB82WEST12345698765431"
+    docs = [(1, f"to {good}."), (2, "to DE89 3704 0044 0532 0130 00."), (3, f"to {bad}.")]
+    got = {r["doc_id"]: r["text"][3:-1] for r in surrogates.replace_pii(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[1] != good and got[1][:2] == "DE" and mod97(got[1]) == 1 and got[2].replace(" ", "") == got[1]
+    assert mod97(bad) != 1 and got[3][:2] == "GB" and mod97(got[3]) != 1
+
+
+def test_columns_of_any_name_and_long_texts(spark):
+    rows = [(1, "Mr Smith " * 3000, "a", "b", "c", "d"), (2, "nothing", "a", "b", "c", "d"), (2, "nothing", "a", "b", "c", "d"), (3, None, "a", "b", "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __t string, put string, kind string, pii_kinds string")
+    got = surrogates.replace_pii(docs, kinds=None).collect()
+    assert len(got) == 4 and all(r["__t"] == "a" and r["put"] == "b" and r["kind"] == "c" and r["pii_kinds"] == "d" for r in got)
+    long = next(r["text"] for r in got if r["doc_id"] == 1)
+    assert "Smith" not in long and len(set(long.split())) == 2 and len(long.split()) == 6000
+    with pytest.raises(ValueError):
+        surrogates.replace_pii(docs)
