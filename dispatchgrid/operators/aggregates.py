@@ -203,7 +203,7 @@ def d34(spark, sf_dir):
     return b.select("block", R6(F.when(some, F.col("suppliers")).otherwise(F.col("customers")).cast("double"), "activity"))
 
 
-@query("d35_nansum_vector", sql("select vec_id, round(list_sum(list_filter(embedding[1:8]::double[], lambda x: not isnan(x))), 6) as total from embeddings"))
+@query("d35_nansum_vector", sql("select vec_id, round(list_sum(list_filter(embedding::double[], lambda x: not isnan(x))), 6) as total from embeddings"))
 def d35(spark, sf_dir):
     v = F.filter("embedding", lambda x: ~F.isnan(x))
     return Region(spark, sf_dir).table("embeddings").select("vec_id", R6(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double")), "total"))

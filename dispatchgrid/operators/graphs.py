@@ -86,7 +86,7 @@ def k7(spark, sf_dir):
     return r.edges().join(c, F.col("src") == F.col("block"), "left_semi").select(F.col("dst").alias("block")).distinct().join(c, "block", "left_anti")
 
 
-@query("k8_hull", sql("""with p as (select stop, x_km as x, y_km as y from stops where stop <= 40), e as (select a.stop as a, b.stop as b from p a join p b on a.stop <> b.stop join p c on true group by a.stop, b.stop having max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9)
+@query("k8_hull", sql("""with p as (select stop, x_km as x, y_km as y from stops), e as (select a.stop as a, b.stop as b from p a join p b on a.stop <> b.stop join p c on true group by a.stop, b.stop having max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9)
 select distinct a as stop from (select a from e union select b from e) h(a) where not exists (select 1 from p q1, p q2, p p0 where p0.stop = h.a and q1.stop <> h.a and q2.stop <> h.a and q1.stop <> q2.stop and abs((q1.x - p0.x) * (q2.y - p0.y) - (q1.y - p0.y) * (q2.x - p0.x)) <= 1e-9 and (q1.x - p0.x) * (q2.x - p0.x) + (q1.y - p0.y) * (q2.y - p0.y) < 0)""", "stops"))
 def k8(spark, sf_dir):
     """Corners of the convex hull: each task reduces its places to their own hull, and one task joins the small hulls.

@@ -88,7 +88,7 @@ def inside(x, y, ring):
 _SEGMENTS = "select route, seq, x_km as ax, y_km as ay, lead(x_km) over (partition by route order by seq) as bx, lead(y_km) over (partition by route order by seq) as b_y from stops"
 
 
-@query("c9_segment_touches_block", sql(f"select block, exists (select 1 from ({_SEGMENTS}) s where bx is not null and least(ax, bx) <= x_km + 1 and greatest(ax, bx) >= x_km and least(ay, b_y) <= y_km + 1 and greatest(ay, b_y) >= y_km and seq <= 5) as near_line from blocks", "stops", "blocks"))
+@query("c9_segment_touches_block", sql(f"select block, exists (select 1 from ({_SEGMENTS}) s where bx is not null and least(ax, bx) <= x_km + 1 and greatest(ax, bx) >= x_km and least(ay, b_y) <= y_km + 1 and greatest(ay, b_y) >= y_km) as near_line from blocks", "stops", "blocks"))
 def c9(spark, sf_dir):
     """Blocks whose box meets the box of a segment of a route: segments dealt to the cells they span."""
     r = Region(spark, sf_dir)

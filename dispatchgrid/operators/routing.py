@@ -144,9 +144,10 @@ def l16(spark, sf_dir):
     return Region(spark, sf_dir).stops().groupBy((F.col("stop") % 12).alias("cell")).agg(F.round(F.sum(km), 6).alias("km"))
 
 
-@query("m5_skip_limited_path", sql("""with p as (select route, seq, x_km as x, y_km as y from stops where seq <= 8), w as (select route, seq, 0.0::double as km from p where seq = 1 union all
-select b.route, b.seq, w.km + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) from w join p a on a.route = w.route and a.seq = w.seq join p b on b.route = a.route and b.seq > a.seq and b.seq <= a.seq + 3)
-select route, round(min(km), 6) as km from w where seq = 8 group by route""", "stops", recursive=True))
+@query("m5_skip_limited_path", sql("""with p as (select route, seq, x_km as x, y_km as y from stops), w as (select route, seq, 0.0::double as c1, null::double as c2, null::double as c3 from p where seq = 1 union all
+select b.route, b.seq, least(c1 + sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), coalesce(c2 + sqrt((a2.x - b.x) ** 2 + (a2.y - b.y) ** 2), 1e18), coalesce(c3 + sqrt((a3.x - b.x) ** 2 + (a3.y - b.y) ** 2), 1e18)), c1, c2
+from w join p a on a.route = w.route and a.seq = w.seq join p b on b.route = a.route and b.seq = a.seq + 1 left join p a2 on a2.route = w.route and a2.seq = w.seq - 1 left join p a3 on a3.route = w.route and a3.seq = w.seq - 2)
+select route, round(arg_max(c1, seq), 6) as km from w group by route""", "stops", recursive=True))
 def m5(spark, sf_dir):
     """Shortest way along a line that may skip at most two checkpoints in a row: a fold that keeps the last three costs."""
     s = Region(spark, sf_dir).stops().groupBy("route").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("x_km").alias("x"), F.col("y_km").alias("y")))).alias("p"))

@@ -313,7 +313,7 @@ def h37(spark, sf_dir):
     return Region(spark, sf_dir).stops().select("route").distinct().select("route", name.alias("name"))
 
 
-@query("h38_one_hot_argmax", sql("select vec_id, list_position(embedding[1:16], list_max(embedding[1:16]))::bigint as label from embeddings"))
+@query("h38_one_hot_argmax", sql("select vec_id, list_position(embedding, list_max(embedding))::bigint as label from embeddings"))
 def h38(spark, sf_dir):
     v = F.col("embedding")
     return _t(spark, sf_dir, "embeddings").select("vec_id", F.array_position(v, F.array_max(v)).alias("label"))

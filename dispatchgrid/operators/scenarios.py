@@ -145,7 +145,7 @@ def queue_wait(times: Column, service: Column, servers: int) -> Column:
     return F.aggregate(times, start, step)["wait"]
 
 
-@query("i2_fleet_queue", sql(f"""with a as (select floor(t_h / 6)::bigint as s, t_h - 6 * floor(t_h / 6) as t, event_id, row_number() over (partition by floor(t_h / 6)::bigint order by t_h, event_id) as i from ({_ARRIVALS}) where t_h < 24),
+@query("i2_fleet_queue", sql(f"""with a as (select floor(t_h / 6)::bigint as s, t_h - 6 * floor(t_h / 6) as t, event_id, row_number() over (partition by floor(t_h / 6)::bigint order by t_h, event_id) as i from ({_ARRIVALS})),
 f as (select s, i, t, [0.0::double, t + 0.03] as free, 0.0::double as wait from a where i = 1 union all
 select a.s, a.i, a.t, list_sort([f.free[2], greatest(a.t, f.free[1]) + 0.03]), f.wait + greatest(a.t, f.free[1]) - a.t from f join a on a.s = f.s and a.i = f.i + 1)
 select s, round(max(wait), 6) as total_wait, max(i)::bigint as n from f group by s""", recursive=False).replace("with a as", "with recursive a as", 1))
@@ -156,7 +156,7 @@ def i2(spark, sf_dir):
     return g.select("s", R6(queue_wait(F.col("times"), F.lit(0.03), 2), "total_wait"), F.size("times").cast("bigint").alias("n"))
 
 
-@query("i3_shared_arrivals", sql(f"select floor(t_h / 6)::bigint as s, count(*)::bigint as n, round(sum(km), 6) as km from (select t_h, sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2) as km from ({_ARRIVALS}) a join blocks b on a.block = b.block where t_h < 48) group by 1", "blocks"))
+@query("i3_shared_arrivals", sql(f"select floor(t_h / 6)::bigint as s, count(*)::bigint as n, round(sum(km), 6) as km from (select t_h, sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2) as km from ({_ARRIVALS}) a join blocks b on a.block = b.block) group by 1", "blocks"))
 def i3(spark, sf_dir):
     r = Region(spark, sf_dir)
     a = arrivals(r).join(F.broadcast(r.blocks()), "block")

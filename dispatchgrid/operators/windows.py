@@ -33,7 +33,7 @@ def e2(spark, sf_dir):
     return c.where(F.col("cum") >= F.col("k") / 4.0 - 1e-12).groupBy("k").agg(F.min((F.col("x") + F.coalesce("nx", "x")) / 2).alias("cut"))
 
 
-@query("e3_capacity_truncation", sql("""with o as (select o_custkey % 25 as block, o_orderkey as loc, o_totalprice as q from orders where o_orderdate < timestamp '1994-01-01'), c as (select block, loc, q, sum(q) over (partition by block order by q desc, loc rows unbounded preceding) - q as before from o)
+@query("e3_capacity_truncation", sql("""with o as (select o_custkey % 25 as block, o_orderkey as loc, o_totalprice as q from orders), c as (select block, loc, q, sum(q) over (partition by block order by q desc, loc rows unbounded preceding) - q as before from o)
 select block, count(*)::bigint as kept, round(sum(q), 2) as load from c where before <= 1500000 group by block"""))
 def e3(spark, sf_dir):
     """Largest first until the capacity is passed, the location that passes it included."""
@@ -70,7 +70,7 @@ def e6(spark, sf_dir):
     return s.select("route", "seq", R6(F.sum("h").over(w.rowsBetween(Window.unboundedPreceding, 0)), "offset_h"))
 
 
-@query("e7_arrival_times", sql("select l_orderkey % 50 as vehicle, l_orderkey as trip, l_linenumber as seq, round(sum(0.01 + l_quantity / 600) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding), 6) as arrival_h from lineitem where l_orderkey % 50 = 7"))
+@query("e7_arrival_times", sql("select l_orderkey % 50 as vehicle, l_orderkey as trip, l_linenumber as seq, round(sum(0.01 + l_quantity / 600) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey rows unbounded preceding), 6) as arrival_h from lineitem"))
 def e7(spark, sf_dir):
     t = Region(spark, sf_dir).table("lineitem")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey").rowsBetween(Window.unboundedPreceding, 0)
