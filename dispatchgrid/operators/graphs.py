@@ -131,7 +131,7 @@ def k11(spark, sf_dir):
     return spark.range(36).select(i.alias("block"), (i % 6).alias("col"), F.floor(i / 6).cast("int").alias("row"), F.round(F.lit(100.0) / 36, 6).alias("area"))
 
 
-_ANGLES = 24
+_ANGLES = 360
 
 
 @query("k12_ham_sandwich", sql(f"""with b as (select block, x_km, y_km, coalesce(p, 0) as p from blocks left join demand using (block)), r as (select a, block, sum(p) over w as mass, count(*) over w as n from b, (select unnest(range({_ANGLES})) as a) window w as (partition by a order by round(x_km * cos(a * 2 * pi() / {_ANGLES}) + y_km * sin(a * 2 * pi() / {_ANGLES}), 9) desc, block rows unbounded preceding))

@@ -50,16 +50,15 @@ def a14(spark, sf_dir):
     return c.select(geoid.alias("geoid"), F.coalesce(raw.try_cast("int"), F.lit(0)).alias("pop"))
 
 
-@query("a18_json_sink", sql("select o_orderkey, '{\"cost\":' || case when round(o_totalprice, 2) = floor(o_totalprice) then floor(o_totalprice)::bigint::varchar || '.0' else null end || '}' as j from orders where round(o_totalprice, 2) = floor(o_totalprice) and o_totalprice < 1000000"))
+@query("a18_json_sink", sql("select o_orderkey, '{\"cents\":' || (round(o_totalprice * 100))::bigint || ',\"status\":\"' || o_orderstatus || '\"}' as j from orders"))
 def a18(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders").where("round(o_totalprice, 2) = floor(o_totalprice) and o_totalprice < 1000000")
-    return o.select("o_orderkey", F.to_json(F.struct(F.round("o_totalprice", 6).alias("cost"))).alias("j"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.to_json(F.struct(F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.col("o_orderstatus").alias("status"))).alias("j"))
 
 
-@query("a21_resume", sql("select l::int as setting_index from (select unnest(range(1, 40)) as l) where l not in (select p_size from part where p_partkey % 3 = 0)"))
+@query("a21_resume", sql("select l::int as setting_index from (select unnest(range(1, 40)) as l) where l not in (select p_size from part where p_partkey % 40 = 0)"))
 def a21(spark, sf_dir):
     """Settings whose result is not written yet."""
-    done = _t(spark, sf_dir, "part").where("p_partkey % 3 = 0").select(F.col("p_size").alias("setting_index"))
+    done = _t(spark, sf_dir, "part").where("p_partkey % 40 = 0").select(F.col("p_size").alias("setting_index"))
     return spark.range(1, 40).select(F.col("id").cast("int").alias("setting_index")).join(done, "setting_index", "left_anti")
 
 

@@ -27,10 +27,10 @@ def g2(spark, sf_dir):
     return of("A").intersect(of("N")).intersect(of("R"))
 
 
-@query("g3_difference", sql("select block from blocks where block not in (select s_nationkey from supplier)", "blocks"))
+@query("g3_difference", sql("select block from blocks where block not in (select s_nationkey from supplier where s_acctbal < 0)", "blocks"))
 def g3(spark, sf_dir):
     r = Region(spark, sf_dir)
-    return r.blocks().select("block").join(r.table("supplier").select(F.col("s_nationkey").alias("block")), "block", "left_anti")
+    return r.blocks().select("block").join(r.table("supplier").where("s_acctbal < 0").select(F.col("s_nationkey").alias("block")), "block", "left_anti")
 
 
 @query("g4_distinct_on_key", sql("select o_custkey, min(o_orderkey) as o_orderkey from orders group by o_custkey"))
