@@ -4,9 +4,10 @@ Entities are found by one pattern of alternatives: e-mail addresses, card and ac
 social security numbers, IPv4 addresses, assigned credentials, and names after a form of address. Each has a canonical
 form (digits alone, lower case), so that the same entity written in two ways is one. A surrogate is drawn from
 sha2(key | type | canonical | attempt): digits for digits, letters for letters in the same case and script, the separators
-as they are; cards keep their first digit and a valid check digit where the original's was valid, addresses stay valid
-addresses in the same kind of range, e-mail domains map label by label so that two addresses of one domain keep one, names
-follow the form of address in gender and the original in script.
+as they are; cards and account numbers keep their first signs and valid check digits where the original's were valid, addresses stay
+valid addresses in the same kind of range, e-mail domains map label by label so that two addresses of one domain keep one.
+A name is two entities, the given and the family name, so that a family name by itself and one after a given name stay the
+same person's; they follow the form of address in gender and the original in script.
 
 Distinct entities get distinct surrogates over the whole corpus: entities are grouped by surrogate, all but the first of a
 collision (and any that equals a real entity) draw again with the next attempt, until there is none. So that this ends at
@@ -19,7 +20,8 @@ Texts without entities pass through unmoved. An entity in a third of all documen
 join back is one that adaptive execution splits.
 
 Nulls: a null text stays null. Empty texts stay empty. Null doc_id and repeated rows: each row is rewritten by its own text.
-An empty table gives no rows. Other columns are kept, whatever their names.
+Ties: of entities that draw one surrogate the smallest canonical form keeps it. Very long texts: rewritten whole. An empty
+table gives no rows. Other columns are kept, whatever their names; one of the name asked for the kinds raises ValueError.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ PATTERNS = {
     "phone": r"(?<![\w.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0](?:{_NAME})(?:[ \u00A0]{_NAME})?",
+    "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0](?:{_NAME})(?:[ \u00A0](?!(?:{_TITLE})(?!\p{{L}})){_NAME})?",
 }
 
 
@@ -96,18 +98,26 @@ def kind_of(raw: Column) -> Column:
 
 def canonical(kind: Column, raw: Column) -> Column:
     value = F.regexp_extract(raw, r"[\"']([^\"'\s]+)[\"']$", 1)
-    family = F.lower(F.regexp_replace(raw, rf"^(?:{_TITLE})\.?[ \u00A0]", ""))
     digits = F.regexp_replace(raw, r"\D", "")
     return (
         F.when(kind == "email", F.lower(raw))
         .when(kind == "credential", value)
         .when(kind.isin("card", "phone", "ssn"), digits)
         .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
-        .when(kind == "name", F.concat(_gender(raw), F.lit("|"), family))
         .otherwise(raw)
     )
 
 
+def name_parts(raw: Column) -> Column:
+    """(kind, canon, lead) of a name after its form of address: the given name, if there are two words, and the family name;
+    lead is what stands before it in the text."""
+    title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.?[ \u00A0]", 0)
+    words = F.split(F.substring(raw, F.length(title) + 1, F.length(raw)), "[ \u00a0]")
+    given = F.struct(F.lit("given").alias("kind"), F.concat(_gender(raw), F.lit("|"), F.lower(F.get(words, F.lit(0)))).alias("canon"), title.alias("lead"))
+    family = lambda at, lead: F.struct(F.lit("family").alias("kind"), F.lower(F.get(words, F.lit(at))).alias("canon"), lead.alias("lead"))
+    return F.when(F.size(words) > 1, F.array(given, family(1, F.lit(" ")))).otherwise(F.array(family(0, title)))
+
+
 def _gender(raw: Column) -> Column:
     return F.when(raw.rlike("^(?:" + "|".join(TITLES["f"]) + r")\b"), F.lit("f")).otherwise(F.lit("m"))
 
@@ -201,19 +211,34 @@ def _credential(canon: Column, h: Column, attempt: Column) -> Column:
     return F.when(attempt < 1, _like(canon, h)).otherwise(F.concat(_like(F.regexp_replace(canon, "[^A-Za-z0-9]", "z"), h), _more(h, attempt, "abcdefghijklmnop")))
 
 
-def _name(canon: Column, h: Column, attempt: Column) -> Column:
-    gender, words = F.split_part(canon, F.lit("|"), F.lit(1)), F.split(F.split_part(canon, F.lit("|"), F.lit(2)), "[ \u00a0]")
+def _name(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
+    """A given name of the gender from the list, a family name of three syllables; one that comes again gets more of them."""
+    gender = F.split_part(canon, F.lit("|"), F.lit(1))
     out = F.lit(None).cast("string")
     for script in SYLLABLES:
         syllables = F.array(*map(F.lit, SYLLABLES[script]))
         further = F.array_join(F.transform(F.filter(F.sequence(F.lit(0), attempt), lambda i: i > 0), _nth(syllables, h)), "")
         family = F.concat(*(_pick(SYLLABLES[script], h, at) for at in (1, 9, 17)), further)
-        given = F.when(gender == "f", _pick(GIVEN[script, "f"], h, 25)).otherwise(_pick(GIVEN[script, "m"], h, 25))
-        full = F.when(F.size(words) > 1, F.concat(given, F.lit(" "), F.initcap(family))).otherwise(F.initcap(family))
-        out = F.when(_script(canon) == script, full).otherwise(out)
+        given = F.concat(F.when(gender == "f", _pick(GIVEN[script, "f"], h, 25)).otherwise(_pick(GIVEN[script, "m"], h, 25)), further)
+        out = F.when(_script(canon) == script, F.when(kind == "given", given).otherwise(F.initcap(family))).otherwise(out)
     return out
 
 
+def _mod97(iban: Column) -> Column:
+    """Remainder by 97 of an account number whose first four signs come last, letters as 10 to 35."""
+    signs = F.filter(F.split(F.concat(F.substring(iban, F.lit(5), F.length(iban)), F.substring(iban, 1, 4)), ""), lambda c: c != "")
+    digit = lambda c: F.conv(c, 36, 10).cast("int")
+    return F.aggregate(signs, F.lit(0), lambda a, c: (a * F.when(c.rlike("[0-9]"), 10).otherwise(100) + digit(c)) % 97)
+
+
+def _iban(canon: Column, h: Column) -> Column:
+    """The country stays; check digits are valid where the original's are."""
+    country, body = F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(5), F.length(canon)), h)
+    check = 98 - _mod97(F.concat(country, F.lit("00"), body))
+    wrong = (check + 1 + _number(h, 50, 90)) % 97
+    return F.concat(country, F.lpad(F.when(_mod97(canon) == 1, check).otherwise(wrong).cast("string"), 2, "0"), body)
+
+
 def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     h = _hex(key, kind, canon, attempt.cast("string"))
     return (
@@ -221,15 +246,15 @@ def draw(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
         .when(kind == "card", _card(canon, h))
         .when(kind == "phone", _phone(canon, h, attempt))
         .when(kind == "ip", _ip(canon, h, attempt))
-        .when(kind == "name", _name(canon, h, attempt))
+        .when(kind.isin("given", "family"), _name(kind, canon, h, attempt))
         .when(kind == "credential", _credential(canon, h, attempt))
-        .when(kind == "iban", F.concat(F.substring(canon, 1, 2), _like(F.substring(canon, F.lit(3), F.length(canon)), h)))
+        .when(kind == "iban", _iban(canon, h))
         .otherwise(_like(canon, h))
     )
 
 
-def formatted(kind: Column, raw: Column, sur: Column) -> Column:
-    """The surrogate written as the original is: its separators, prefix and quotes."""
+def formatted(kind: Column, raw: Column, sur: Column, lead: Column) -> Column:
+    """The surrogate written as the original is: its separators, prefix and quotes, or what stands before a name."""
     chars = F.filter(F.split(raw, ""), lambda c: c != "")
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
     step = lambda a, c: F.struct(
@@ -238,11 +263,10 @@ def formatted(kind: Column, raw: Column, sur: Column) -> Column:
     )
     # What a longer surrogate has left comes after the last place.
     spread = F.aggregate(chars, start, step, lambda a: F.concat(a["out"], F.substring(sur, a["at"], F.length(sur))))
-    title = F.regexp_extract(raw, rf"^(?:{_TITLE})\.?[ \u00A0]", 0)
     assigned = F.regexp_extract(raw, r"^(.*?[\"'])[^\"'\s]+[\"']$", 1)
     return (
         F.when(kind == "credential", F.concat(assigned, sur, F.right(raw, F.lit(1))))
-        .when(kind == "name", F.concat(title, sur))
+        .when(kind.isin("given", "family"), F.concat(lead, sur))
         .when(kind.isin("card", "phone", "ssn", "iban"), spread)
         .otherwise(sur)
     )
@@ -254,7 +278,7 @@ def entity_table(found: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     for i in range(1, ROUNDS + 1):
         drawn = scratch.keep(e.withColumn("sur", draw(F.col("kind"), F.col("canon"), F.col("attempt"), key)), f"drawn-{i}")
         taken = drawn.groupBy("kind", "sur").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
-        real = drawn.select("kind", F.col("canon").alias("sur"), F.lit(True).alias("real"))
+        real = drawn.select("kind", F.when(F.col("kind") == "family", F.initcap("canon")).otherwise(F.col("canon")).alias("sur"), F.lit(True).alias("real"))
         again = drawn.join(taken, ["kind", "sur"]).join(real, ["kind", "sur"], "left").withColumn("again", F.coalesce("real", F.lit(False)) | (F.col("canon") != F.col("owner")))
         if not again.where("again").limit(1).count():
             return drawn
@@ -262,25 +286,33 @@ def entity_table(found: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
 
 
-def replace_pii(docs: DataFrame, key: str = KEY) -> DataFrame:
-    """All rows and columns of docs, text rewritten, and pii_kinds: the kinds replaced, in order of place."""
+def replace_pii(docs: DataFrame, key: str = KEY, kinds: str | None = "pii_kinds") -> DataFrame:
+    """All rows and columns of docs, text rewritten, and in `kinds` (unless None) the kinds replaced, in order of place."""
+    if kinds in docs.columns:
+        raise ValueError(f"docs has a column {kinds} already")
     scratch = Scratch(docs.sparkSession, "surrogates")
-    text = F.col("text")
-    flagged = docs.withColumn("__pii", F.coalesce(text.rlike(HINT), F.lit(False)) & F.coalesce(text.rlike(PATTERN), F.lit(False)))
-    clean = flagged.where("not __pii").drop("__pii").withColumn("pii_kinds", F.array().cast("array<string>"))
-    dirty = flagged.where("__pii").drop("__pii")
-
-    own = dirty.select(F.sha2("text", 256).alias("t"), F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)).alias("raws")).distinct()
-    raw = own.select("t", F.posexplode("raws").alias("place", "raw")).withColumn("kind", kind_of(F.col("raw")))
-    found = scratch.keep(raw.withColumn("canon", canonical(F.col("kind"), F.col("raw"))), "found")
-    table = entity_table(found.where("kind <> 'number'"), scratch, key)
+    names = [f"__{i}" for i in range(len(docs.columns))]  # so that no column clashes with those below
+    at = names[docs.columns.index("text")]
+    text = F.col(at)
+    own = docs.toDF(*names).withColumn("pii", F.coalesce(text.rlike(HINT), F.lit(False)) & F.coalesce(text.rlike(PATTERN), F.lit(False)))
+    clean = own.where("not pii").select(*names, F.array().cast("array<string>").alias("pii_kinds"))
+    # Texts that hold something are matched once: what was found, and what stands between.
+    dirty = own.where("pii").select(*names, F.sha2(text, 256).alias("t"), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)).alias("raws"), F.split(text, PATTERN, -1).alias("between"))
+    dirty = scratch.keep(dirty, "dirty")
+
+    raw = dirty.groupBy("t").agg(F.first("raws").alias("raws")).select("t", F.posexplode("raws").alias("place", "raw")).withColumn("found", kind_of(F.col("raw")))
+    single = F.array(F.struct(F.col("found").alias("kind"), canonical(F.col("found"), F.col("raw")).alias("canon"), F.lit("").alias("lead")))
+    parts = raw.select("t", "place", "raw", "found", F.posexplode(F.when(F.col("found") == "name", name_parts(F.col("raw"))).otherwise(single)).alias("part", "p"))
+    found = scratch.keep(parts.select("t", "place", "part", "raw", "found", "p.*"), "found")
+    table = entity_table(found.where("found <> 'number'"), scratch, key)
     put = found.join(table.select("kind", "canon", "sur"), ["kind", "canon"], "left")
-    new = F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("sur")), F.col("raw"))
-    put = put.select("t", "place", "kind", new.alias("new"))
-    lists = put.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "new"))).alias("put"))
-
-    between = F.split("text", PATTERN, -1)
-    parts = F.transform("__between", lambda s, i: F.concat(s, F.coalesce(F.get(F.col("__put"), i)["new"], F.lit(""))))
-    joined = dirty.withColumn("__t", F.sha2("text", 256)).join(lists.select(F.col("t").alias("__t"), F.col("put").alias("__put")), "__t").withColumn("__between", between)
-    out = joined.withColumn("text", F.array_join(parts, "")).withColumn("pii_kinds", F.filter(F.transform("__put", lambda p: p["kind"]), lambda k: k != "number"))
-    return clean.unionByName(out.select(*docs.columns, "pii_kinds"))
+    new = F.coalesce(formatted(F.col("kind"), F.col("raw"), F.col("sur"), F.col("lead")), F.col("raw"))
+    put = put.select("t", "place", "part", "found", new.alias("new"))
+    at_place = put.groupBy("t", "place", "found").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "new"))), lambda p: p["new"]), "").alias("new"))
+    lists = at_place.groupBy("t").agg(F.array_sort(F.collect_list(F.struct("place", "found", "new"))).alias("put"))
+
+    joined = dirty.join(lists, "t")
+    whole = F.array_join(F.transform("between", lambda s, i: F.concat(s, F.coalesce(F.get(F.col("put"), i)["new"], F.lit("")))), "")
+    out = joined.select(*(whole.alias(n) if n == at else n for n in names), F.filter(F.transform("put", lambda p: p["found"]), lambda k: k != "number").alias("pii_kinds"))
+    every = clean.union(out)
+    return every.toDF(*docs.columns, kinds) if kinds else every.drop("pii_kinds").toDF(*docs.columns)
