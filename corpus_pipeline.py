@@ -1,6 +1,9 @@
 """From raw documents to encoded ones in five stages; each works on all that the one before it kept.
 
-Rows with a null doc_id pass the quality stage by their text, and leave at the join stage, which cannot name them.
+Null and empty texts have no words and leave at the quality stage. Rows with a null doc_id pass it by their text, and leave
+at the join stage, which cannot name them. Ties: of linked documents the smallest doc_id stays. Repeated rows of one doc_id
+stay or go together. Very long texts are worked on whole. Empty tables give no rows. Other columns are carried through the
+first four stages, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,17 +30,17 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Of documents linked over five-word shingles at 0.8 or more, the smallest doc_id stays."""
     groups = jaccard_components(docs, k=5, num=80, den=100)
     stay = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id")
-    return docs.join(stay, "doc_id", "left_semi")
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that cover no benchmark item to the threshold."""
     leaks = tiling.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return surrogates.replace_pii(docs).select(*docs.columns)
+    return surrogates.replace_pii(docs, kinds=None)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
