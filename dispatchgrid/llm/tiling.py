@@ -1,7 +1,7 @@
 """Benchmark decontamination by greedy string tiling.
 
-A text and an item that share a run of MIN_MATCH words (seeds, compared by rolling Karp-Rabin hashes) are tiled: the longest
-runs of words that neither side has marked yet are marked, longest first, until none of MIN_MATCH words is left. The share
+A text and an item that share a run of MIN_MATCH words (seeds, joined by their hashes) are tiled: running Karp-Rabin hashes
+find the longest runs of words that neither side has marked yet, and these are marked, until none of MIN_MATCH words is left. The share
 of an item's words under tiles is its coverage; since tiles may lie anywhere, a passage whose sentences were reordered is
 covered as well as a verbatim one. Seeds found bound the coverage, so only items that can still reach the threshold are
 tiled. Words are those of the lower-cased text without ASCII punctuation.
@@ -33,6 +33,10 @@ MIN_MATCH = 5
 COVERAGE = 0.5
 BLOCK_WORDS = 2_000_000
 
+#: An odd base of the running hashes and its inverse modulo 2**64.
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_ONE = np.ones(1, np.uint64)
 _PUNCTUATION = string.punctuation.encode()
 _FOUND = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("coverage", pa.float64()), ("tiles", pa.int64()), ("longest", pa.int64())])
 
@@ -42,29 +46,65 @@ def words_of(text: str) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def tile(item: np.ndarray, text: np.ndarray, starts: list[tuple[int, list[int]]], least: int = MIN_MATCH) -> list[tuple[int, int, int]]:
-    """Greedy tiles (item place, text place, length). starts: item places with a seed, each with its places in the text."""
-    a, b = item.tolist(), text.tolist()
-    marked_a, marked_b, tiles = bytearray(len(a)), bytearray(len(b)), []
-    while True:
-        longest, found = least, []
-        for p, places in starts:
-            if marked_a[p]:
-                continue
-            for t in places:
-                n = 0
-                while p + n < len(a) and t + n < len(b) and a[p + n] == b[t + n] and not marked_a[p + n] and not marked_b[t + n]:
-                    n += 1
-                if n > longest:
-                    longest, found = n, [(p, t)]
-                elif n == longest:
-                    found.append((p, t))
-        if not found:
-            return tiles
-        for p, t in found:
-            if not any(marked_a[p : p + longest]) and not any(marked_b[t : t + longest]):
-                marked_a[p : p + longest] = marked_b[t : t + longest] = b"\1" * longest
-                tiles.append((p, t, longest))
+class _Running:
+    """Karp-Rabin hashes of all runs of a length, for any length in one pass: differences of sums of words times powers."""
+
+    def __init__(self, words: np.ndarray):
+        n = len(words)
+        self.up = np.cumprod(np.concatenate([_ONE, np.full(n, _BASE)]))
+        down = np.cumprod(np.concatenate([_ONE, np.full(n, _INVERSE)]))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * down[:n])])
+        self.open = np.ones(n, bool)
+
+    def mark(self, at: int, size: int) -> None:
+        self.open[at : at + size] = False
+
+    def free(self, at: int, size: int) -> bool:
+        return bool(self.open[at : at + size].all())
+
+    def runs(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the runs of `size` words of which none is marked."""
+        n = len(self.open) - size + 1
+        if n <= 0:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        shut = np.concatenate([[0], np.cumsum(~self.open)])
+        at = np.flatnonzero(shut[size:] == shut[:n])
+        return at, (self.sums[at + size] - self.sums[at]) * self.up[at]
+
+
+def tile(item: np.ndarray, text: np.ndarray, least: int = MIN_MATCH, where: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (item place, text place, length). where: words of the text that can lie in a tile.
+
+    Each round finds the longest length at which unmarked runs of both sides meet (a run of some length holds runs of all
+    lesser ones, so bisection finds it) and marks those that don't overlap, by place in the item, then in the text.
+    """
+    a, b, tiles = _Running(item), _Running(text), []
+    if where is not None:
+        b.open &= where
+    most = min(len(item), len(text))
+    while most >= least:
+        lo, hi = least - 1, most
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if np.isin(a.runs(mid)[1], b.runs(mid)[1]).any() else (lo, mid - 1)
+        most = lo
+        if most < least:
+            break
+        (at, own), (to, other) = a.runs(most), b.runs(most)
+        order = np.argsort(other, kind="stable")
+        to, other = to[order], other[order]
+        left, right = np.searchsorted(other, own), np.searchsorted(other, own, "right")
+        found = False
+        for p, i, j in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
+            for t in to[i:j].tolist():
+                if a.free(p, most) and b.free(t, most) and (item[p : p + most] == text[t : t + most]).all():
+                    a.mark(p, most)
+                    b.mark(t, most)
+                    tiles.append((p, t, most))
+                    found = True
+        if not found:  # equal hashes of unequal runs alone
+            most -= 1
+    return tiles
 
 
 class Benchmark:
@@ -88,25 +128,29 @@ class Benchmark:
         hit = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == grams)
         if not len(hit):
             return
-        places: dict[int, list[int]] = defaultdict(list)
-        for t, g in zip(hit.tolist(), grams[hit].tolist(), strict=True):
-            places[g].append(t)
-        starts: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-        for g, where in places.items():
-            for j in range(int(np.searchsorted(self.seeds, np.uint64(g))), int(np.searchsorted(self.seeds, np.uint64(g), "right"))):
-                starts[int(self.owner[j])].append((int(self.place[j]), where))
-        for k, own in starts.items():
+        left, right = np.searchsorted(self.seeds, grams[hit]), np.searchsorted(self.seeds, grams[hit], "right")
+        seen: dict[int, tuple[set[int], list[int]]] = defaultdict(lambda: (set(), []))
+        for t, i, j in zip(hit.tolist(), left.tolist(), right.tolist(), strict=True):
+            for k, p in zip(self.owner[i:j].tolist(), self.place[i:j].tolist(), strict=True):
+                seen[k][0].add(p)
+                seen[k][1].append(t)
+        for k, (starts, ends) in seen.items():
             i, item = self.items[k]
-            reach = np.zeros(len(item), bool)
-            for p, _ in own:
-                reach[p : p + self.least] = True
-            if reach.sum() < least_coverage * len(item):
+            if self._reach(len(item), starts).sum() < least_coverage * len(item):
                 continue
-            tiles = tile(item, text, sorted(own), self.least)
+            tiles = tile(item, text, self.least, self._reach(len(text), ends))
             coverage = sum(n for *_, n in tiles) / len(item)
             if coverage >= least_coverage:
                 yield i, coverage, len(tiles), max(n for *_, n in tiles)
 
+    def _reach(self, n: int, starts) -> np.ndarray:
+        """Which of n words lie in a seed that starts at one of the places."""
+        edge = np.zeros(n + 1, np.int64)
+        at = np.unique(np.fromiter(starts, np.int64))
+        edge[at] += 1
+        edge[at + self.least] -= 1
+        return np.cumsum(edge[:n]) > 0
+
 
 def _blocks(items: DataFrame, id_col: str) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of about BLOCK_WORDS words; one block at a time is on the driver."""
