@@ -5,7 +5,12 @@ alone: a token, or a part of its right edge before the merge that hides it, can
 which depends on the bytes of z and on what can in turn take z's right edge before that rank. `lookahead` is the longest
 such reach over all tokens, found in one pass over the merges by rank. So the transducer holds a window of a few times that
 reach, merges it, emits the tokens that end at least the reach before the window's end, drops their bytes and reads on:
-memory doesn't grow with the text or with a word. Results of short words are kept in a table of two bounded generations.
+memory doesn't grow with a word. A text is read in segments, each encoded, digested and decoded before the next, so memory
+doesn't grow with the text either but for the text itself. Results of short words are kept in a table of two bounded
+generations.
+
+Nulls and empty texts: no tokens, the empty text. Null doc_id, repeated rows and ties: each row on its own. Very long texts
+and words: segments and windows as above. An empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -43,9 +48,26 @@ def byte_symbols() -> dict[str, int]:
 def pieces(text: str) -> list[str] | None:
     """Keys of the pieces of text, divided at word starts so that each is a sequence of whole pre-tokens: a word stands for
     itself after a blank, one marked by \x01 for itself alone. None where white space isn't even."""
+    first = "\x01"
+    if text[:1] == " ":
+        text, first = text[1:], ""
     if _UNEVEN.search(text):
         return None
-    return ("\x01" + text).replace("\n", " \n \x01").split(" ") if text else []
+    return (first + text).replace("\n", " \n \x01").split(" ") if text else [] if first else None
+
+
+def segments(text: str, size: int = 1 << 16) -> Iterator[str]:
+    """The text in parts of about `size` characters, divided before single blanks, where a pre-token begins in any case."""
+    at = 0
+    while len(text) - at > size:
+        i = text.find(" ", at + size)
+        while 0 <= i < len(text) - 1 and (text[i - 1].isspace() or text[i + 1].isspace()):
+            i = text.find(" ", i + 1)
+        if not 0 <= i < len(text) - 1:
+            break
+        yield text[at:i]
+        at = i
+    yield text[at:]
 
 
 def piece_text(key: str) -> str:
@@ -159,29 +181,41 @@ class Bpe:
             for p in parts:
                 yield from memo[p] if len(p) <= SHORT else self._piece(p)
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text; strings of special tokens become their ids."""
-        if self._special is None or not self._special.search(text):
-            parts = pieces(text)
-            if parts is not None and max(map(len, parts), default=0) <= SHORT:
-                return list(chain.from_iterable(map(self.memo.__getitem__, parts)))
-            return list(self._plain(text))
-        out, at = [], 0
-        for m in self._special.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(self.special[m[0]])
+    def _segment(self, text: str) -> list[int]:
+        parts = pieces(text)
+        if parts is not None and max(map(len, parts), default=0) <= SHORT:
+            return list(chain.from_iterable(map(self.memo.__getitem__, parts)))
+        return list(self._plain(text))
+
+    def encode_parts(self, text: str) -> Iterator[list[int]]:
+        """Ids of a whole text, some at a time, each as soon as it is stable; strings of special tokens become their ids."""
+        at = 0
+        for m in self._special.finditer(text) if self._special is not None else ():
+            for x in segments(text[at : m.start()]):
+                yield self._segment(x)
+            yield [self.special[m[0]]]
             at = m.end()
-        out += self._plain(text[at:])
-        return out
+        for x in segments(text[at:] if at else text):
+            yield self._segment(x)
+
+    def encode(self, text: str) -> list[int]:
+        return list(chain.from_iterable(self.encode_parts(text)))
 
     def decode(self, ids: Iterable[int], chunk: int = 1 << 14) -> Iterator[str]:
         """Text of ids piece by piece; a character whose bytes are split over tokens is held until it is whole, and bytes that
         form none become U+FFFD."""
-        machine, ids = codecs.getincrementaldecoder("utf-8")("replace"), iter(ids)
+        machine, ids = self.machine(), iter(ids)
         while part := list(islice(ids, chunk)):
-            yield machine.decode(b"".join(map(self.bytes_of.__getitem__, part)))
+            yield machine.decode(self.joined(part))
         yield machine.decode(b"", True)
 
+    def joined(self, ids: Iterable[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    @staticmethod
+    def machine() -> codecs.IncrementalDecoder:
+        return codecs.getincrementaldecoder("utf-8")("replace")
+
 
 @lru_cache(maxsize=2)
 def load(path: str) -> Bpe:
@@ -228,13 +262,16 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
         for b in batches:
             n, coded, decoded = [], [], []
             for text in b.column("text").to_pylist():
-                ids = bpe.encode(text)
-                n.append(len(ids))
-                coded.append(hashlib.sha256(",".join(map(shown.__getitem__, ids)).encode()).hexdigest())
-                h = hashlib.sha256()
-                for part in bpe.decode(ids):
-                    h.update(part.encode())
-                decoded.append(h.hexdigest())
+                size, machine, of_ids, of_text = 0, bpe.machine(), hashlib.sha256(), hashlib.sha256()
+                for ids in bpe.encode_parts(text):
+                    if ids:
+                        of_ids.update(("," * (size > 0) + ",".join(map(shown.__getitem__, ids))).encode())
+                        of_text.update(machine.decode(bpe.joined(ids)).encode())
+                        size += len(ids)
+                of_text.update(machine.decode(b"", True).encode())
+                n.append(size)
+                coded.append(of_ids.hexdigest())
+                decoded.append(of_text.hexdigest())
             yield batch(_DIGESTS, doc_id=b.column("doc_id"), n_tokens=n, ids_sha256=coded, decoded_sha256=decoded)
 
     return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
