@@ -12,6 +12,7 @@ import public_tokenizers
 from . import bpe, language, licenses, lines, secrets, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
+from . import token_groups
 from .token_groups import jaccard_components
 
 
@@ -65,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_quality_rules": rules.ORACLE}
+    return {"op1_license_scan": licenses.ORACLE, "op6_line_dedup": lines.ORACLE, "op9_quality_rules": rules.ORACLE, "op10_ngram_jaccard_join": token_groups.ORACLE}

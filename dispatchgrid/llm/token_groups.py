@@ -305,3 +305,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     named = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("c1", "c2", F.coalesce("root", "rep").alias("component_id"))
     out = own.join(named, ["c1", "c2"])
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+#: op10 by joining every two texts that share a shingle, and components by the smallest reachable doc_id.
+ORACLE = r"""
+with recursive t as (select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents where doc_id is not null),
+l as (select doc_id, case when len(w) = 0 then [] when len(w) < 3 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) end as s from t),
+g as (select doc_id, unnest(s) as x from l),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.x = b.x and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+e as (select p.a, p.b from p join l x on x.doc_id = p.a join l y on y.doc_id = p.b where 100 * shared >= 90 * (len(x.s) + len(y.s) - shared)),
+d as (select a, b from e union all select b, a from e),
+r as (select a as node, b as seen from d union select r.node, d.b from r join d on d.a = r.seen)
+select doc_id, len(s)::bigint as n_shingles, least(doc_id, coalesce((select min(seen) from r where r.node = l.doc_id), doc_id))::bigint as component_id from l"""
