@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from dispatchgrid.operators import partition, pooled
+from dispatchgrid.operators import fans, partition, pooled, waves
 from dispatchgrid.plans.region import Region
 from tests.conftest import DATA
 
@@ -90,3 +90,73 @@ def test_small_batches_are_planned_no_worse_than_greedily():
         routes, left = b.plan()
         assert score((routes, left)) <= score(b._greedy(order, [pooled.Route()] * 2))
         assert sorted([*left, *(i for r in routes for i in r.order)]) == list(range(n))
+
+
+def grid(n):
+    rng = np.random.default_rng(n)
+    x = rng.random((n, 2)) * 4
+    return np.hypot(*(x[:, None, k] - x[None, :, k] for k in (0, 1)))
+
+
+def plain_routes(d, q, vehicles, capacity):
+    """Every way to put the places in order and to cut the order into routes."""
+    best = np.inf
+    for order in itertools.permutations(range(1, len(d))):
+        for cuts in itertools.product((0, 1), repeat=len(order) - 1):
+            parts, own = [], [order[0]]
+            for place, cut in zip(order[1:], cuts, strict=True):
+                if cut:
+                    parts.append(own)
+                    own = []
+                own.append(place)
+            parts.append(own)
+            if len(parts) <= vehicles and all(q[p].sum() <= capacity for p in parts):
+                best = min(best, sum(d[[0, *p], [*p, 0]].sum() for p in parts))
+    return best
+
+
+def test_exact_routes_equal_all_ways():
+    for n in (2, 3, 4, 5, 6):
+        d, q = grid(n), np.array([0.0, *np.random.default_rng(n).integers(1, 4, n - 1)])
+        for vehicles, capacity in ((1, 100), (2, 5), (3, 4)):
+            plan = waves.exact_routes(d, q, vehicles, capacity)
+            want = plain_routes(d, q, vehicles, capacity)
+            assert (plan is None) == np.isinf(want)
+            if plan is not None:
+                assert sum(d[[0, *r], [*r, 0]].sum() for r in plan) == pytest.approx(want)
+                assert sorted(i for r in plan for i in r) == list(range(1, n)) and all(q[r].sum() <= capacity for r in plan)
+
+
+def test_joined_routes_serve_all_and_are_no_shorter():
+    d, q = grid(8), np.array([0.0] + [1.0] * 7)
+    for vehicles in (1, 2, 3):
+        plan = waves.joined_routes(d, q, vehicles, 4)
+        assert sorted(i for r in plan for i in r) == list(range(1, 8)) and len(plan) <= vehicles
+    exact = waves.exact_routes(d, q, 2, 4)
+    assert sum(d[[0, *r], [*r, 0]].sum() for r in exact) <= sum(d[[0, *r], [*r, 0]].sum() for r in waves.joined_routes(d, q, 2, 4)) + 1e-9
+
+
+def test_fleet_plan_equals_all_plans():
+    table = [(0, 9.0, 1), (1, 5.0, 1), (2, 3.0, 2), (3, 2.0, 3)]
+    away = {k: a for k, _, a in table}
+    hours = {k: h for k, h, _ in table}
+    for fleet in (1, 2, 3, 4):
+        best = np.inf
+        for plan in itertools.product(range(4), repeat=5):
+            out = [sum(k for j, k in enumerate(plan[: m + 1]) if away[k] > m - j) for m in range(5)]
+            if max(out) <= fleet:
+                best = min(best, sum(hours[k] for k in plan))
+        cost, plan = waves.fleet_plan(table, fleet, 5)
+        assert cost * 5 == pytest.approx(best) == pytest.approx(sum(hours[k] for k in plan))
+
+
+def test_cuts_share_the_load():
+    rng = np.random.default_rng(4)
+    x, y = rng.random((2, 900)) * 5
+    tour, ride = rng.random(900), rng.random(900) * (1 + x)
+    for share in (0.5, 0.25):
+        side = fans.line_split(x, y, tour, ride, share)
+        assert tour[side].sum() / tour.sum() == pytest.approx(share, abs=0.01) and ride[side].sum() / ride.sum() == pytest.approx(share, abs=0.02)
+    out = fans.divide(x, y, tour, ride, 5)
+    assert set(out) == set(range(5))
+    assert all(tour[out == k].sum() / tour.sum() == pytest.approx(0.2, abs=0.05) for k in range(5))
