@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from dispatchgrid.operators import fans, partition, pooled, waves
+from dispatchgrid.operators import detours, fans, partition, pooled, waves
 from dispatchgrid.plans.region import Region
 from tests.conftest import DATA
 
@@ -160,3 +160,52 @@ def test_cuts_share_the_load():
     out = fans.divide(x, y, tour, ride, 5)
     assert set(out) == set(range(5))
     assert all(tour[out == k].sum() / tour.sum() == pytest.approx(0.2, abs=0.05) for k in range(5))
+
+
+A, B, C = np.array([0.0, 0.0]), np.array([1.0, 0.5]), np.array([2.0, 0.0])
+
+
+def test_access_and_way_of_a_line():
+    cp = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 1.0]])
+    assert detours.access_km(cp, np.zeros(2)) == pytest.approx(1.0)
+    assert detours.access_km(cp, np.zeros(2)) + detours.least_way(cp, 1) == pytest.approx(2.0)
+
+
+def test_arcs_by_reach_slack_and_skips():
+    line, stops = np.stack([A, C]), B[None, :]
+    served = lambda **r: {s for *_, s, _ in detours.arcs(line, stops, detours.Rules(**r))}
+    assert served(reach_km=0.0) == {()} and served(reach_km=0.8, slack=0.5) == {(), (0,)} and served(reach_km=0.8, slack=0.0) == {()}
+    three = np.stack([A, B, C])
+    ends = lambda skip: {a[:2] for a in detours.arcs(three, np.zeros((0, 2)), detours.Rules(skip=skip))}
+    assert (0, 2) not in ends(0) and (0, 2) in ends(1)
+    assert detours.reachable(line, stops, detours.Rules(reach_km=0.8)).all() and not detours.reachable(line, stops, detours.Rules(reach_km=0.8, slack=0.0)).any()
+
+
+def test_riders_at_stops_that_are_not_served_walk_to_a_checkpoint():
+    xy = np.array([[0.0, 0.0], [1.0, 0.0]])
+    out = detours.evaluate(np.array([[1.1, 0.0]]), [detours.Line((0,), (1,), 1.0)], xy, np.array([-12.0, 0.0]), detours.Rules())
+    assert out["walk_km"] == pytest.approx(1.1) and out["ride_h"] == pytest.approx(0.4) and out["reassigned"] == 1
+    out = detours.evaluate(np.array([[0.0, 0.0]]), [detours.Line((0,), (), 1.0)], xy, np.array([-6.0, 0.0]), detours.Rules())
+    assert out["walk_km"] == 0.0 and out["ride_h"] == pytest.approx(0.2) and out["reassigned"] == 0
+
+
+def test_plan_equals_all_ways():
+    rng = np.random.default_rng(6)
+    for _ in range(12):
+        cp, stops = np.cumsum(rng.random((4, 2)) + 0.3, axis=0), rng.random((5, 2)) * 4
+        load, penalty = rng.integers(1, 4, 5).astype(float), rng.random(5) * 3
+        rules = detours.Rules(reach_km=1.0, slack=1.0, skip=1, capacity=5)
+        ways = detours.arcs(cp, stops, rules)
+        best = np.inf
+
+        def walk(i, served, cost, cp=cp, ways=ways, load=load, penalty=penalty):
+            nonlocal best
+            if i == len(cp) - 1:
+                best = min(best, cost + sum(p for s, p in enumerate(penalty) if s not in served))
+            for a, j, own, km in ways:
+                if a == i and not served & set(own) and sum(load[s] for s in served | set(own)) <= 5:
+                    walk(j, served | set(own), cost + km)
+
+        walk(0, set(), 0.0)
+        cost, km, served, path = detours.plan(cp, stops, load, penalty, rules, 1.0)
+        assert cost == pytest.approx(best) and cost == pytest.approx(km + sum(p for s, p in enumerate(penalty) if s not in served))
