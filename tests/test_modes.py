@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
-from dispatchgrid.operators import detours, fans, partition, pooled, waves
+from dispatchgrid.operators import detours, fans, partition, pooled, studies, waves
 from dispatchgrid.plans.region import Region
 from tests.conftest import DATA
 
@@ -209,3 +209,18 @@ def test_plan_equals_all_ways():
         walk(0, set(), 0.0)
         cost, km, served, path = detours.plan(cp, stops, load, penalty, rules, 1.0)
         assert cost == pytest.approx(best) and cost == pytest.approx(km + sum(p for s, p in enumerate(penalty) if s not in served))
+
+
+def test_branching_equals_enumeration(region):
+    x = partition.corner(region)
+    best, one, _ = studies.best_pair(x)
+    cost = lambda m: x.district(m, float(x.km[0, list(m)].min()))["cost"]
+    ways = [(tuple(i for i in range(9) if not m >> i & 1), tuple(i for i in range(9) if m >> i & 1)) for m in range(1, 2**9 - 1)]
+    assert best == pytest.approx(min(max(cost(a), cost(b)) for a, b in ways)) and 0 < len(one) < 9
+
+
+def test_map_of_plane_distances_is_exact():
+    p = np.random.default_rng(2).random((12, 2)) * 5
+    d = np.hypot(*(p[:, None, k] - p[None, :, k] for k in (0, 1)))
+    at, stress = studies.embedded(d)
+    assert stress < 1e-9 and np.hypot(*(at[:, None, k] - at[None, :, k] for k in (0, 1))) == pytest.approx(d, abs=1e-9)
