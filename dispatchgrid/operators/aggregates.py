@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
+from dispatchgrid.functions.medians import exact_medians
 from dispatchgrid.plans.region import Region, minmax, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -132,8 +133,9 @@ def d22(spark, sf_dir):
 @query("d24_median_mad", sql("with m as (select median(o_totalprice) as m from orders) select round(m, 6) as median, round((select median(abs(o_totalprice - m)) from orders), 6) as mad from m"))
 def d24(spark, sf_dir):
     o = Region(spark, sf_dir).table("orders").select("o_totalprice")
-    m = o.agg(F.median("o_totalprice").alias("m"))
-    return o.crossJoin(F.broadcast(m)).agg(R6(F.first("m"), "median"), R6(F.median(F.abs(F.col("o_totalprice") - F.col("m"))), "mad"))
+    m = exact_medians(o, F.col("o_totalprice")).select(F.col("median").alias("m"))
+    d = exact_medians(o.crossJoin(F.broadcast(m)), F.abs(F.col("o_totalprice") - F.col("m"))).select(F.col("median").alias("mad"))
+    return m.crossJoin(d).select(R6("m", "median"), R6("mad", "mad"))
 
 
 @query("d25_median_speed", sql("select round(coalesce(median(km / (secs / 3600.0)), 20.0), 6) as speed from (select sqrt((x_km - lag(x_km) over w) ** 2 + (y_km - lag(y_km) over w) ** 2) as km, secs from stops window w as (partition by route order by seq)) where km is not null", "stops"))
@@ -143,7 +145,8 @@ def d25(spark, sf_dir):
     w = Window.partitionBy("route").orderBy("seq")
     s = Region(spark, sf_dir).stops()
     s = s.select(distance(F.col("x_km"), F.col("y_km"), F.lag("x_km").over(w), F.lag("y_km").over(w)).alias("km"), "secs").where("km is not null")
-    return s.agg(R6(F.coalesce(F.median(F.col("km") / (F.col("secs") / 3600.0)), F.lit(20.0)), "speed"))
+    m = exact_medians(s, F.col("km") / (F.col("secs") / 3600.0)).agg(F.max("median").alias("m"))
+    return m.select(R6(F.coalesce("m", F.lit(20.0)), "speed"))
 
 
 @query("d26_occupancy_histogram", sql("select least(4, floor(x_km))::int + 5 * least(4, floor(y_km))::int as block, round(count(*) / (select count(*) from stops), 6) as p from stops group by 1", "stops"))

@@ -11,7 +11,6 @@ from dispatchgrid.catalog import query
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
-MAX_ROUNDS = 64
 
 
 def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -24,7 +23,7 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     e = edges.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("km").alias("step"))
     best = seeds.select(F.col("block").alias("src"), F.col("block").alias("dst"), F.lit(0.0).alias("km"))
     frontier = best
-    for _ in range(MAX_ROUNDS):
+    while True:
         longer = frontier.join(e, F.col("dst") == F.col("via")).groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("km") + F.col("step")).alias("new"))
         better = longer.join(best, ["src", "dst"], "left").where(F.col("km").isNull() | (F.col("new") < F.col("km") - 1e-12)).select("src", "dst", F.col("new").alias("km"))
         better = _cut(spark, better)
@@ -32,7 +31,6 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
             return best
         best = _cut(spark, best.unionByName(better).groupBy("src", "dst").agg(F.min("km").alias("km")))
         frontier = better
-    raise RuntimeError(f"paths did not settle in {MAX_ROUNDS} rounds")
 
 
 def _cut(spark, df: DataFrame) -> DataFrame:
@@ -160,22 +158,21 @@ def m9(spark, sf_dir):
     return s.groupBy("strip").agg(F.count("*").alias("n"), F.get(members, F.floor(F.count("*") / 2).cast("int")).alias("root"))
 
 
-def lloyd(r: Region, roots: DataFrame, rounds: int = 10) -> DataFrame:
-    """block, root: alternate nearest-centre assignment and one-median recentring until the centres stay."""
+def lloyd(r: Region, roots: DataFrame) -> DataFrame:
+    """block, root: alternate nearest-centre assignment and one-median recentring until the centres stay or come again."""
     d = _cut(r.spark, r.distances())
     centers = roots.select(F.col("root").alias("center"))
-    seen = None
-    for _ in range(rounds):
+    seen = []
+    while True:
         near = d.join(F.broadcast(centers), F.col("dst") == F.col("center")).groupBy(F.col("src").alias("block")).agg(F.min_by("center", F.struct(F.round("km", 9), "center")).alias("root"))
         near = _cut(r.spark, near)
         a, b = near.select(F.col("block").alias("src"), "root"), near.select(F.col("block").alias("dst"), "root")
         totals = a.join(b, "root").join(d, ["src", "dst"]).groupBy("root", "src").agg(F.sum("km").alias("s"))
         centers = _cut(r.spark, totals.groupBy("root").agg(F.min_by("src", F.struct(F.round("s", 9), "src")).alias("center")).select("center"))
         now = centers.agg(F.sort_array(F.collect_list("center"))).first()[0]  # one entry per district
-        if now == seen:
-            break
-        seen = now
-    return near
+        if now in seen:
+            return near
+        seen.append(now)
 
 
 @query("l6_lloyd_partition", None)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.functions.exprs import distance
 
-BROADCAST_ROWS = 20_000
+BROADCAST_ROWS = 500
 
 
 def nearest(points: DataFrame, sites: DataFrame, key: str, rank: str, x: str = "x_km", y: str = "y_km") -> DataFrame:

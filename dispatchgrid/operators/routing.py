@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dispatchgrid.catalog import query
 from dispatchgrid.plans.region import Region, sql
 
-EXACT = 9
+EXACT = 12
 
 
 def _matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:

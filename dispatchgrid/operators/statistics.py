@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
+from dispatchgrid.functions.medians import exact_medians
 from dispatchgrid.functions import exprs as E
 from dispatchgrid.operators.evaluate import ARRIVALS, TERMS_SQL, WR, _terms, newton_sql
 from dispatchgrid.plans.region import Region, sql
@@ -49,8 +50,9 @@ select g, count(*)::bigint as kept from (select *, sum(ok::int) over (partition
 def p6(spark, sf_dir):
     """Modified z-scores on logs; a small group that would lose more than two rows keeps all."""
     o = Region(spark, sf_dir).table("orders").where("o_totalprice > 0").select(F.col("o_orderpriority").alias("g"), F.log10("o_totalprice").alias("v"))
-    o = o.join(o.groupBy("g").agg(F.median("v").alias("m"), F.count("*").alias("n")), "g").withColumn("d", F.abs(F.col("v") - F.col("m")))
-    o = o.join(o.groupBy("g").agg(F.median("d").alias("mad")), "g")
+    middle = exact_medians(o, F.col("v"), F.col("g")).select(F.col("key").alias("g"), F.col("median").alias("m"))
+    o = o.join(o.groupBy("g").agg(F.count("*").alias("n")), "g").join(middle, "g").withColumn("d", F.abs(F.col("v") - F.col("m")))
+    o = o.join(exact_medians(o, F.col("d"), F.col("g")).select(F.col("key").alias("g"), F.col("median").alias("mad")), "g")
     o = o.withColumn("ok", (F.col("n") < 5) | (F.col("mad") == 0) | (0.6745 * F.col("d") / F.nullif("mad", F.lit(0.0)) <= 3.5))
     c = o.groupBy("g").agg(F.count_if("ok").alias("n_ok"), F.count("*").alias("n"))
     return c.select("g", F.when((F.col("n_ok") < F.greatest(F.lit(3), F.col("n") - 2)) & (F.col("n") < 10), F.col("n")).otherwise(F.col("n_ok")).alias("kept"))
