@@ -2,7 +2,8 @@
 
 Evidence of a page: the likelihood of its text under hashed byte-trigram models, the language its markup declares, its
 address suffix, and a prior for its host. The trigram models are fitted on a bounded, documented sample of labelled
-documents (TRAIN_ROWS, those of smallest hashed id). Everything else comes from all pages by grouped aggregation of the
+documents (TRAIN_ROWS, those of smallest hashed id), and how much a text's evidence counts on one half held out from the
+other. Everything else comes from all pages by grouped aggregation of the
 text posteriors: how often each declared value and suffix goes with each language, and host priors smoothed up a hierarchy:
 a host's counts are added to KAPPA times its domain's shares, which are smoothed likewise by the corpus's. A page's own
 text is taken out of the counts that serve as its prior.
@@ -30,8 +31,9 @@ from .common import Scratch, small_batches
 TRAIN_ROWS = 3000
 BUCKETS = 1 << 15
 KAPPA = 5.0
-#: Neighbouring trigrams share bytes, so the log-likelihood counts by this share, and up to this many trigrams.
-WEIGHT, MOST = 0.3, 200
+#: Neighbouring trigrams share bytes, so the log-likelihood counts by a share, and up to some number of trigrams: the pair of
+#: these that predicts the languages of held-out labelled documents best.
+WEIGHTS, MOST = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0), (50, 100, 200, 400, 800)
 
 _SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
 _LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
@@ -48,29 +50,54 @@ def trigrams(text: str) -> np.ndarray:
 class TextModel:
     """Log-probabilities of trigram buckets by language."""
 
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        self.langs = langs
+    def __init__(self, langs: list[str], counts: np.ndarray, weight: float = 0.3, most: int = 200):
+        self.langs, self.weight, self.most = langs, weight, most
         c = counts + 0.5
         self.log = np.log(c / c.sum(axis=1, keepdims=True))
 
-    def log_likelihood(self, text: str) -> np.ndarray:
+    def mean_log(self, text: str) -> tuple[np.ndarray, int]:
+        """The mean log-probability of a trigram by language, and how many there are."""
         g = trigrams(text)
-        if not len(g):
-            return np.zeros(len(self.langs))
-        return self.log[:, g].mean(axis=1) * min(len(g), MOST) * WEIGHT
+        return (self.log[:, g].mean(axis=1) if len(g) else np.zeros(len(self.langs))), len(g)
+
+    def log_likelihood(self, text: str) -> np.ndarray:
+        mean, n = self.mean_log(text)
+        return mean * min(n, self.most) * self.weight
 
 
 def fit(labelled: DataFrame, rows: int = TRAIN_ROWS) -> TextModel:
     """labelled: doc_id, text, lang. The sample is the `rows` rows of smallest hashed doc_id; only it comes to the driver."""
     sample = labelled.where("lang is not null and text is not null").select("text", "lang", F.xxhash64("doc_id").alias("h")).orderBy("h").limit(rows)
-    counts: dict[str, np.ndarray] = {}
-    for r in sample.toLocalIterator():
-        own = counts.setdefault(r["lang"], np.zeros(BUCKETS))
-        own += np.bincount(trigrams(r["text"]), minlength=BUCKETS)
-    if not counts:
+    sample = [(r["text"], r["lang"]) for r in sample.toLocalIterator()]
+    if not sample:
         raise ValueError("no labelled documents to fit languages on")
-    langs = sorted(counts)
-    return TextModel(langs, np.stack([counts[x] for x in langs]))
+    langs = sorted({lang for _, lang in sample})
+    place = {lang: i for i, lang in enumerate(langs)}
+
+    def counts(some: list) -> np.ndarray:
+        out = np.zeros((len(langs), BUCKETS))
+        for text, lang in some:
+            out[place[lang]] += np.bincount(trigrams(text), minlength=BUCKETS)
+        return out
+
+    return TextModel(langs, counts(sample), *_calibrated(TextModel(langs, counts(sample[::2])), sample[1::2], place))
+
+
+def _calibrated(model: TextModel, held: list, place: dict[str, int]) -> tuple[float, int]:
+    """The weight and number of trigrams under which held-out documents' languages are likeliest; ties to the smaller ones.
+    Short parts of long documents count too, as pages may be short."""
+    cases = [(*model.mean_log(x), place[lang]) for text, lang in held for x in (text, text[:100], text[:30])]
+    if not cases:
+        return model.weight, model.most
+    mean, n, own = np.array([c[0] for c in cases]), np.array([c[1] for c in cases]), np.array([c[2] for c in cases])
+    best = None
+    for weight in WEIGHTS:
+        for most in MOST:
+            logs = mean * (np.minimum(n, most) * weight)[:, None]
+            score = float((logs[np.arange(len(own)), own] - np.logaddexp.reduce(logs, axis=1)).sum())
+            if best is None or score > best[0] + 1e-9:
+                best = score, weight, most
+    return best[1:]
 
 
 _TEXT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("declared", pa.string()), ("ll", pa.list_(pa.float64()))])

@@ -1,7 +1,8 @@
 """Secret scan: high-recall candidates, and a random forest that removes the false ones.
 
-A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - with a digit in it. Its features: length, transitions between
-character classes, shares of the classes, distinct characters, what a dictionary covers of it, whether it lies in a path,
+A candidate is a run of 16 or more of A-Z a-z 0-9 + / = _ - with a digit in it, or a value of eight signs or more of any
+alphabet that is assigned to a name such as token, secret or password. Its features: length, transitions between character
+classes, shares of the classes, distinct characters, what a dictionary covers of it, whether it lies in a path,
 and the words and signs beside it. The forest is trained on labelled findings: LABELLED rows made by a seeded generator,
 half secrets of known formats in the settings where they leak, half look-alikes (numbers, checksums, identifiers, paths,
 placeholders). Training is on the driver and bounded by LABELLED; scanning is one narrow pass and no row moves.
@@ -28,6 +29,8 @@ TREES, DEPTH, LEAF = 40, 9, 3
 THRESHOLD = 0.5
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{16,}(?![A-Za-z0-9+/_-])")
+#: A value assigned to a telling name, quoted or up to the next blank; group 1 is the value.
+ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z0-9]+[_-])?(?:token|secret|passw(?:or)?d|pwd|passphrase|api_?key|access_?key|private_?key|credentials?)[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([^\"'\s]{8,}))")
 #: Words that come before a secret, words that come before a look-alike, and words found inside look-alikes.
 ASSIGNING = "token secret key apikey api_key access_key secret_key password passwd pwd auth authorization bearer credential credentials private".split()
 HARMLESS = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid id order invoice phone isbn version revision build integrity account number".split()
@@ -40,6 +43,19 @@ _COVER = re.compile("|".join(sorted(DICTIONARY, key=len, reverse=True)), re.I)
 _REACH = 48
 
 
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Spans to judge, in order, none inside another: assigned values go before bare runs."""
+    spans = {m.span(next(g for g in (1, 2, 3) if m[g] is not None)) for m in ASSIGNED.finditer(text)}
+    taken = sorted(spans)
+    at = 0
+    for m in CANDIDATE.finditer(text):
+        while at < len(taken) and taken[at][1] <= m.start():
+            at += 1
+        if at == len(taken) or taken[at][0] >= m.end():
+            spans.add(m.span())
+    yield from sorted(spans)
+
+
 def features(text: str, begin: int, stop: int) -> list[float]:
     c = text[begin:stop]
     n = len(c)
@@ -50,7 +66,7 @@ def features(text: str, begin: int, stop: int) -> list[float]:
     after = m[1].lower() if (m := _AFTER.search(right)) else ""
     return [
         n,
-        moves / (n - 1),
+        moves / max(n - 1, 1),
         kinds.count("0") / n,
         kinds.count("a") / n,
         kinds.count("A") / n,
@@ -67,6 +83,7 @@ def features(text: str, begin: int, stop: int) -> list[float]:
         float(bool(re.search(r"[=:]\s*[\"']?$", left))),
         float(left[-1:] in ("\"", "'") and right[:1] in ("\"", "'")),
         c.count("-") / n,
+        sum(not (x.isalnum() or x in "+/=_-") for x in c) / n,
     ]
 
 
@@ -136,6 +153,9 @@ def labelled_findings(rows: int = LABELLED, seed: int = 0) -> list[tuple[str, in
         lambda: pick(["ghp_", "gho_", "xoxb-", "sk-", "pk_live_"]) + chars(alnum, pick([24, 36, 48])),
         lambda: "eyJ" + chars(alnum, 33) + "_" + chars(alnum + "-_", 43),
         lambda: chars(alnum, pick([20, 24, 32])),
+        lambda: chars(alnum + "!@#$%^&*()?.,;", int(r.integers(8, 15))),
+        lambda: chars(low, int(r.integers(3, 7))) + pick("!@#$%&*") + chars(up, 2) + chars(digit + alnum, int(r.integers(3, 6))),
+        lambda: chars(low + up, int(r.integers(12, 24))),
     ]
     false = [
         lambda: (chars(digit, pick([16, 17, 18, 20])), pick(["", "number ", "order ", "account ", words(1) + " "])),
@@ -146,6 +166,9 @@ def labelled_findings(rows: int = LABELLED, seed: int = 0) -> list[tuple[str, in
         lambda: ("x" * int(r.integers(15, 30)) + chars(digit, 1), pick(["token = \"", "key=", ""])),
         lambda: ("-".join(chars(low, int(r.integers(3, 8))) for _ in range(4)) + "-" + chars(digit, 2), pick(["", words(1) + " ", "/"])),
         lambda: (chars(low, int(r.integers(15, 30))) + chars(digit, 1), ""),
+        lambda: (pick(["*", "x", ".", "0", "-", "#", "X"]) * int(r.integers(8, 20)), pick(["password = \"", "token: ", "secret=\"", "api_key = '"])),
+        lambda: (pick(["<your-password>", "changeme", "password", "${DB_PASSWORD}", "{{secret}}", "%(token)s", "os.environ", "placeholder", "example-token", "your_token_here", "undefined", "required", "config.get('key')"]), pick(["password = \"", "token: ", "secret=\"", "api_key = "])),
+        lambda: (pick(DICTIONARY) + pick(["_", "-", "."]) + pick(DICTIONARY), pick(["password: ", "token = \"", "secret = '"])),
     ]
     out = []
     for i in range(rows):
@@ -155,11 +178,9 @@ def labelled_findings(rows: int = LABELLED, seed: int = 0) -> list[tuple[str, in
             quote = pick(["\"", "\"", "'", ""])
             c, before = pick(real)(), f"{words(6)} {name}{sign or ' '}{quote}"
             after = quote + " " + words(4)
-            if not re.search("[0-9]", c):
-                c = c[:-1] + "7"
         else:
             c, lead = pick(false)()
-            quote = "\"" if lead.endswith("\"") else ""
+            quote = lead[-1:] if lead.endswith(("\"", "'")) else ""
             before, after = f"{words(6)} {lead}", quote + pick([" ", ". ", ", "]) + words(4)
         out.append((before + c + after, len(before), len(before) + len(c), i % 2))
     return out
@@ -183,9 +204,9 @@ def find(docs: DataFrame, forest: Forest | None = None, threshold: float = THRES
         for b in batches:
             spans, x = [], []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                for m in CANDIDATE.finditer(text):
-                    spans.append((i, m.start(), m.end()))
-                    x.append(features(text, m.start(), m.end()))
+                for begin, stop in candidates(text):
+                    spans.append((i, begin, stop))
+                    x.append(features(text, begin, stop))
             if spans:
                 score = shared.value.score(np.array(x))
                 rows = [(*s, float(p)) for s, p in zip(spans, score, strict=True) if p >= threshold]

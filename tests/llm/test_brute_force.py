@@ -18,10 +18,10 @@ def test_secret_scan(spark):
     forest, larger = secrets.trained(), DATA.replace("sf0.001", "sf0.01")  # the smallest table holds no secret
     want = set()
     for i, text in ((r["doc_id"], r["text"] or "") for r in table(spark, larger, "documents").collect()):
-        for m in secrets.CANDIDATE.finditer(text):
-            score = float(forest.score(np.array([secrets.features(text, m.start(), m.end())]))[0])
+        for begin, stop in secrets.candidates(text):
+            score = float(forest.score(np.array([secrets.features(text, begin, stop)]))[0])
             if score >= secrets.THRESHOLD:
-                want.add((i, m.start(), m.end(), round(score, 9)))
+                want.add((i, begin, stop, round(score, 9)))
     got = [(r["doc_id"], r["begin"], r["stop"], round(r["score"], 9)) for r in Q.op4_secret_scan(spark, larger).collect()]
     assert len(got) == len(set(got)) and set(got) == want and want
 

@@ -365,7 +365,13 @@ def test_secrets_held_out(spark, odd, empty):
     got = secrets.find(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
     assert [(r["doc_id"], text[r["begin"] : r["stop"]]) for r in got] == [(1, "f33e61083db5dbdf4bd2369d2f80176e57f7fda2")]
     assert secrets.find(empty).count() == 0
-    assert secrets.find(odd).count() >= 0
+    found = [(r["doc_id"], r["begin"], r["stop"]) for r in secrets.find(odd).collect()]
+    want = {(i, b, s) for i, x in ODD for b, s in secrets.candidates(x or "") if forest.score(np.array([secrets.features(x, b, s)]))[0] >= secrets.THRESHOLD}
+    assert set(found) == want and len(found) == len(want)
+    real = ["password = 'kT9!vq#2Lz'", "db_password: hR7$wPz2mQ", "secret=\"qWmZkLpTrVbNxY\"", "API_KEY = \"a1b2c3d4e5f6a7b8c9d0\""]
+    fake = ["password = '********'", "token: <your-token>", "secret = \"changeme\"", "password = \"${DB_PASSWORD}\"", "the token = short"]
+    rows = secrets.find(spark.createDataFrame([(i, f"some words {x} and more") for i, x in enumerate(real + fake)], "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in rows} == set(range(len(real)))
 
 
 @pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
