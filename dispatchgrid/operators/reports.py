@@ -63,9 +63,16 @@ def h34(spark, sf_dir):
     return Region(spark, sf_dir).blocks().select("block", R6(F.when(F.min("x_km").over(w) == F.max("x_km").over(w), x * F.pow(F.lit(10.0), 0.02 * (i - 1))).otherwise(x), "x"))
 
 
-@query("i5_uniform_wait", sql(f"select route, round(avg({E.uniform_sql('stop', 'wait')} * 0.75), 6) as wait_h, count(*)::bigint as n from stops group by route", "stops"))
+@query("i5_uniform_wait", sql(f"""with s as (select route, stop, sum(secs) over (partition by route order by seq) - secs as pos, sum(secs) over (partition by route) as total, row_number() over (partition by route order by seq) as n from stops), d as (select route, pos from s where n = 1)
+select s.route, round(avg({E.uniform_sql('stop', 'wait')} * 0.75), 6) as wait_h, round(avg((case when d.pos >= s.pos then d.pos - s.pos else s.total - s.pos + d.pos end) / 3600.0), 6) as transit_h, count(*)::bigint as n from s join d on s.route = d.route group by s.route""", "stops"))
 def i5(spark, sf_dir):
-    return Region(spark, sf_dir).stops().groupBy("route").agg(R6(F.avg(E.hash_uniform(F.col("stop"), "wait") * 0.75), "wait_h"), F.count("*").alias("n"))
+    """Riders wait a uniform share of the headway and ride on to their route's first stop."""
+    w = Window.partitionBy("route").orderBy("seq")
+    s = Region(spark, sf_dir).stops().select("route", "stop", "seq", (F.sum("secs").over(w) - F.col("secs")).alias("pos"), F.sum("secs").over(Window.partitionBy("route")).alias("total"))
+    goal = s.groupBy("route").agg(F.min_by("pos", "seq").alias("goal"))
+    s = s.join(goal, "route")
+    ride = F.when(F.col("goal") >= F.col("pos"), F.col("goal") - F.col("pos")).otherwise(F.col("total") - F.col("pos") + F.col("goal")) / 3600.0
+    return s.groupBy("route").agg(R6(F.avg(E.hash_uniform(F.col("stop"), "wait") * 0.75), "wait_h"), R6(F.avg(ride), "transit_h"), F.count("*").alias("n"))
 
 
 _CENTERS = ((0.25, 0.25, 0.40), (0.75, 0.25, 0.35), (0.50, 0.75, 0.25))
@@ -85,28 +92,59 @@ def i10(spark, sf_dir):
     return p.withColumn("n", F.row_number().over(Window.orderBy("i"))).where("n <= 500").select("i", R6("x", "x"), R6("y", "y"))
 
 
-@query("i13_scenario_metrics", sql(_RIDERS + f""", q2 as (select s, block, k, {E.uniform_sql('(s * 100 + block) * 100 + k', 'release')} as rel, sqrt((x - 2) ** 2 + (y - 2) ** 2) as km from rider), m as (select s, case when km <= 1 then 'served' when km <= 2 then 'rejected' else 'unaccounted' end as how, case when km <= 1 then 0.1 else 1 - rel end as wait from q2)
-select s, count(*)::bigint as requests, count(*) filter (where how = 'served')::bigint as served, round(avg(wait), 6) as wait_h from m group by s""", "demand", "blocks"))
+_KEY = "(s * 100 + block) * 100 + k"
+
+
+@query("i13_scenario_metrics", sql(_RIDERS + f""", q2 as (select s, {_KEY} as id, {E.uniform_sql(_KEY, 'release')} as rel, sqrt((x - 2) ** 2 + (y - 2) ** 2) as km from rider), served as (select s, id, 0.1 as wait from q2 where km <= 1), rejected as (select s, id, 1 - rel as wait from q2 where km > 1 and km <= 2),
+known as (select * from served union all select * from rejected), lost as (select s, id, 1 - rel as wait from q2 where id not in (select id from known)), every as (select *, 'known' as how from known union all select *, 'lost' from lost)
+select s, count(*)::bigint as requests, count(*) filter (where how = 'lost')::bigint as unaccounted, round(avg(wait), 6) as wait_h from every group by s""", "demand", "blocks"))
 def i13(spark, sf_dir):
-    """Served, rejected and unaccounted requests together make up all; means are over them all."""
-    r = _requests(Region(spark, sf_dir)).withColumn("km", E.distance(F.col("x"), F.col("y"), F.lit(2.0), F.lit(2.0)))
-    served = F.col("km") <= 1
-    return r.groupBy("s").agg(F.count("*").alias("requests"), F.count_if(served).alias("served"), R6(F.avg(F.when(served, 0.1).otherwise(1 - F.col("release_h"))), "wait_h"))
+    """Served and rejected requests, and those in neither set, which an anti join finds; means are over them all."""
+    r = _requests(Region(spark, sf_dir)).select("s", ((F.col("s") * 100 + F.col("block")) * 100 + F.col("k")).alias("id"), "release_h", E.distance(F.col("x"), F.col("y"), F.lit(2.0), F.lit(2.0)).alias("km"))
+    known = r.where("km <= 1").select("s", "id", F.lit(0.1).alias("wait")).union(r.where("km > 1 and km <= 2").select("s", "id", 1 - F.col("release_h")))
+    lost = r.join(known.select("id"), "id", "left_anti").select("s", "id", (1 - F.col("release_h")).alias("wait"))
+    every = known.withColumn("lost", F.lit(False)).union(lost.withColumn("lost", F.lit(True)))
+    return every.groupBy("s").agg(F.count("*").alias("requests"), F.count_if("lost").alias("unaccounted"), R6(F.avg("wait"), "wait_h"))
 
 
-@query("i15_daily_dispatches", sql(_Q + ", d as (select s, district, sum(q) as q from q join blocks using (block) group by all) select s, arg_max(district, (q, district)) as worst, max(q)::bigint as most, ceil(12 / 0.5)::bigint as dispatches from d group by s", "demand", "blocks"))
-def i15(spark, sf_dir):
-    r = Region(spark, sf_dir)
-    d = scenario_demand(r).join(r.blocks().select("block", "district"), "block").groupBy("s", "district").agg(F.sum("q").alias("q"))
-    return d.groupBy("s").agg(F.max_by("district", F.struct("q", "district")).alias("worst"), F.max("q").alias("most"), F.lit(math.ceil(12 / 0.5)).cast("bigint").alias("dispatches"))
+_DAY_H = 12
 
 
-@query("m8_deviation", sql(_Q + " select s, count(*) filter (where q * 0.3 > 0.2 * (1 + block % 5))::bigint as deviations, round(sum(case when q * 0.3 > 0.2 * (1 + block % 5) then 0.2 * (1 + block % 5) else 0 end), 6) as extra_km from q group by s", "demand"))
+@query("i15_daily_dispatches", sql(f"""with t as (select district, 0.5 + 0.25 * (district % 3) as T from (select distinct district from blocks)), n as (select district, T, unnest(range(ceil({_DAY_H} / T)::bigint)) as i from t),
+b as (select n.district, n.i, block, x_km, y_km, {E.uniform_sql('n.i * 100 + block', 'day')} as u, coalesce(p, 0) as p, T from n join blocks using (district) left join demand using (block)),
+v as (select district, i, block, x_km, y_km, T from b where u < 1 - exp(-{ARRIVALS} * p * T / 10)),
+o as (select *, row_number() over (partition by district, i order by round(x_km + 10 * y_km, 9)) as k from v), w as (select district, i, T, sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2) as d, coalesce(sqrt((x_km - lag(x_km) over z) ** 2 + (y_km - lag(y_km) over z) ** 2), sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2)) as leg, lead(k) over z is null as last from o window z as (partition by district, i order by k)),
+c as (select district, any_value(T) as T, sum(leg + case when last then d else 0 end) as km from w group by district)
+select district, round(T, 6) as T, ceil({_DAY_H} / T)::bigint as dispatches, round(km, 6) as km, round(km / {_DAY_H}, 6) as km_per_h, (rank() over (order by round(km, 9) desc, district)) = 1 as worst from c""", "blocks", "demand"))
+def i15(spark, sf_dir):
+    """A day of twelve hours: each district's dispatches, the blocks that call in each, a tour through them row by row, and the
+    district that drives most."""
+    r = Region(spark, sf_dir)
+    t = r.blocks().select("district").distinct().withColumn("T", 0.5 + 0.25 * (F.col("district") % 3))
+    n = t.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(_DAY_H / F.col("T")) - 1)))
+    b = n.join(r.blocks(), "district").join(r.demand(), "block", "left")
+    calls = E.hash_uniform(F.col("i") * 100 + F.col("block"), "day") < 1 - F.exp(-ARRIVALS * F.coalesce("p", F.lit(0.0)) * F.col("T") / 10)
+    z = Window.partitionBy("district", "i").orderBy(F.round(F.col("x_km") + 10 * F.col("y_km"), 9))
+    home = E.distance(F.col("x_km"), F.col("y_km"), F.lit(2.0), F.lit(2.0))
+    leg = F.coalesce(E.distance(F.col("x_km"), F.col("y_km"), F.lag("x_km").over(z), F.lag("y_km").over(z)), home)
+    w = b.where(calls).select("district", "T", (leg + F.when(F.lead("block").over(z).isNull(), home).otherwise(0.0)).alias("km"))
+    c = w.groupBy("district").agg(F.first("T").alias("T"), F.sum("km").alias("km"))
+    most = c.agg(F.max_by("district", F.struct(F.round("km", 9), -F.col("district"))).alias("most"))
+    return c.crossJoin(F.broadcast(most)).select("district", R6("T", "T"), F.ceil(_DAY_H / F.col("T")).alias("dispatches"), R6("km", "km"), R6(F.col("km") / _DAY_H, "km_per_h"), (F.col("district") == F.col("most")).alias("worst"))
+
+
+@query("m8_deviation", sql(_Q + """, c as (select block, x_km, y_km, abs(y_km - 2) as off from blocks), v as (select q.s, c.*, q.q * 0.3 > 2 * off as go from q join c using (block) where q.q > 0),
+k as (select *, row_number() over (partition by s order by x_km, y_km) as i from v where off = 0 or go), g as (select s, off, x_km, y_km, lag(x_km) over w as px, lag(y_km) over w as py from k window w as (partition by s order by i))
+select s, count(*) filter (where off > 0)::bigint as deviations, round(sum(coalesce(sqrt((x_km - px) ** 2 + (y_km - py) ** 2), 0)), 6) as km from g group by s""", "demand", "blocks"))
 def m8(spark, sf_dir):
-    """A vehicle leaves its corridor for a block where the benefit exceeds the way."""
-    cost = 0.2 * (1 + F.col("block") % 5)
-    go = F.col("q") * 0.3 > cost
-    return scenario_demand(Region(spark, sf_dir)).groupBy("s").agg(F.count_if(go).alias("deviations"), R6(F.sum(F.when(go, cost).otherwise(0.0)), "extra_km"))
+    """Along the middle row a vehicle leaves its corridor for a block where the benefit exceeds the way there and back; the km
+    through all that it visits, from west to east."""
+    r = Region(spark, sf_dir)
+    off = F.abs(F.col("y_km") - 2)
+    v = scenario_demand(r).where("q > 0").join(F.broadcast(r.blocks()), "block").where((off == 0) | (F.col("q") * 0.3 > 2 * off))
+    w = Window.partitionBy("s").orderBy("x_km", "y_km")
+    leg = F.coalesce(E.distance(F.col("x_km"), F.col("y_km"), F.lag("x_km").over(w), F.lag("y_km").over(w)), F.lit(0.0))
+    return v.select("s", off.alias("off"), leg.alias("leg")).groupBy("s").agg(F.count_if(F.col("off") > 0).alias("deviations"), R6(F.sum("leg"), "km"))
 
 
 @query("o3_partition_objective", sql(TERMS_SQL + f""", t as (select *, {newton_sql("(linehaul_km + odd_cost)", "alpha", str(ARRIVALS), str(WR))} as T from terms), c as (select *, (linehaul_km + odd_cost) / T + {E.TOUR_CONSTANT} * sqrt({ARRIVALS} / T) * alpha + {WR} * alpha * sqrt(T) + {WR} * T as cost from t)
@@ -130,11 +168,21 @@ def o17(spark, sf_dir):
     return Region(spark, sf_dir).odd().select("block", R6("omega1", "omega1"), R6("omega2", "omega2"))
 
 
-@query("d19_cost_rollup", sql(TERMS_SQL + " select round(sum(mass * linehaul_km) / greatest(sum(mass), 1e-12), 6) as linehaul, round(sum(mass * odd_cost) / greatest(sum(mass), 1e-12), 6) as odd, round(sum(mass * alpha) / greatest(sum(mass), 1e-12), 6) as alpha from terms", *_V))
+_D19 = f"""{TERMS_SQL}, t as (select *, 0.5::double as T, {E.TOUR_CONSTANT} * sqrt({ARRIVALS} * 0.5) * alpha as tour from terms), m as (select greatest(sum(mass), 1e-12) as w from t)
+select round(sum(linehaul_km / T), 6) as linehaul, round(sum(odd_cost / T), 6) as odd, round(sum(tour / T), 6) as travel, round(sum((2 * linehaul_km + tour) / ({E.SPEED_KMH} * T)), 6) as fleet, round(sum(mass), 6) as mass,
+round(sum(mass * T) / any_value(w), 6) as T, round(sum(mass * T / 2) / any_value(w), 6) as wait, round(sum(mass * (linehaul_km + tour / 2) / {E.SPEED_KMH}) / any_value(w), 6) as ride, round(sum(mass * alpha) / any_value(w), 6) as alpha from t, m"""
+
+
+@query("d19_cost_rollup", sql(_D19, *_V))
 def d19(spark, sf_dir):
-    m = F.greatest(F.sum("mass"), F.lit(1e-12))
-    mean = lambda c: F.sum(F.col("mass") * F.col(c)) / m
-    return _terms(spark, sf_dir).agg(R6(mean("linehaul_km"), "linehaul"), R6(mean("odd_cost"), "odd"), R6(mean("alpha"), "alpha"))
+    """All nine sums of an evaluation in one aggregate, those of riders weighted by demand."""
+    t = _terms(spark, sf_dir).withColumn("T", F.lit(0.5)).withColumn("tour", E.tour_km(F.col("alpha"), F.lit(ARRIVALS), F.lit(0.5)))
+    w = F.greatest(F.sum("mass"), F.lit(1e-12))
+    mean = lambda c: F.sum(F.col("mass") * c) / w
+    return t.agg(
+        R6(F.sum(F.col("linehaul_km") / F.col("T")), "linehaul"), R6(F.sum(F.col("odd_cost") / F.col("T")), "odd"), R6(F.sum(F.col("tour") / F.col("T")), "travel"), R6(F.sum((2 * F.col("linehaul_km") + F.col("tour")) / (E.SPEED_KMH * F.col("T"))), "fleet"), R6(F.sum("mass"), "mass"),
+        R6(mean(F.col("T")), "T"), R6(mean(F.col("T") / 2), "wait"), R6(mean((F.col("linehaul_km") + F.col("tour") / 2) / E.SPEED_KMH), "ride"), R6(mean(F.col("alpha")), "alpha"),
+    )
 
 
 @query("s4_reference_trips", sql("select route, t as headway_h, seq, round(t + (seq - 1) * 0.05, 6) as offset_h from stops, (select unnest([0.25, 0.5, 1.0]::double[]) as t)", "stops"))
