@@ -163,9 +163,29 @@ def o8(spark, sf_dir):
     return t.select("district", R6(2 * F.col("linehaul_km") / 0.5, "linehaul_per_h"), R6(0.25 + F.col("linehaul_km") / E.SPEED_KMH + E.tour_km(F.col("alpha"), F.lit(ARRIVALS), F.lit(0.5)) / 2 / E.SPEED_KMH, "rider_h"))
 
 
-@query("o17_feature_pipeline", sql("select block, round(omega1, 6) as omega1, round(omega2, 6) as omega2 from odd", "blocks", "odd"))
+@query("o17_feature_pipeline", sql("""with pop as (select c_nationkey as block, count(*)::double as pop from customer group by 1),
+h as (select l_suppkey as stop, (l_partkey + l_linenumber) % 24 as hour, count(distinct l_orderkey)::double / count(distinct l_returnflag) as trips from lineitem group by all),
+st as (select stop, avg(trips) as trips from h group by stop), a as (select s.stop, b.block, s.secs::double as activity, coalesce(st.trips, 0) as trips from stops s join blocks b on b.x_km = floor(s.x_km + 0.5) and b.y_km = floor(s.y_km + 0.5) left join st on st.stop = s.stop),
+f as (select b.block, coalesce(any_value(pop.pop), 0) as pop, coalesce(sum(a.activity), 0) as activity, coalesce(sum(a.trips), 0) as trips from blocks b left join pop on pop.block = b.block left join a on a.block = b.block group by b.block),
+m as (select min(pop) as p0, max(pop) as p1, min(activity) as a0, max(activity) as a1, min(trips) as t0, max(trips) as t1 from f),
+o as (select block, case when p1 > p0 then (pop - p0) / (p1 - p0) else 0 end as p, case when a1 > a0 then (activity - a0) / (a1 - a0) else 0 end as a, case when t1 > t0 then (trips - t0) / (t1 - t0) else 0 end as t from f, m)
+select block, round(case when max(p) over () > 0 then 5 * p else 2.5 end, 6) as omega1, round(case when max(a) over () > 0 or max(t) over () > 0 then 5 * (0.5 * a + 0.5 * t) else 2.5 end, 6) as omega2 from o""", "blocks", "stops"))
 def o17(spark, sf_dir):
-    return Region(spark, sf_dir).odd().select("block", R6("omega1", "omega1"), R6("omega2", "omega2"))
+    """Features of each block from population, stop activity and trips an hour: hourly counts averaged by stop, stops dealt to
+    blocks, each feature scaled to 0..1; one that is the same everywhere falls back to the middle."""
+    from dispatchgrid.plans.region import minmax
+
+    r = Region(spark, sf_dir)
+    pop = r.table("customer").groupBy(F.col("c_nationkey").alias("block")).agg(F.count("*").cast("double").alias("pop"))
+    h = r.table("lineitem").groupBy(F.col("l_suppkey").alias("stop"), ((F.col("l_partkey") + F.col("l_linenumber")) % 24).alias("hour")).agg((F.count_distinct("l_orderkey") / F.count_distinct("l_returnflag")).alias("trips"))
+    st = h.groupBy("stop").agg(F.avg("trips").alias("trips"))
+    cells = r.blocks().select("block", F.col("x_km").cast("bigint").alias("cx"), F.col("y_km").cast("bigint").alias("cy"))
+    s = r.stops().select("stop", "secs", F.floor(F.col("x_km") + 0.5).alias("cx"), F.floor(F.col("y_km") + 0.5).alias("cy")).join(F.broadcast(cells), ["cx", "cy"]).join(st, "stop", "left")
+    act = s.groupBy("block").agg(F.sum("secs").cast("double").alias("activity"), F.sum(F.coalesce("trips", F.lit(0.0))).alias("trips"))
+    f = r.blocks().select("block").join(pop, "block", "left").join(act, "block", "left").fillna(0.0)
+    o = f.select("block", minmax("pop").alias("p"), minmax("activity").alias("a"), minmax("trips").alias("t"))
+    top = lambda c: F.max(c).over(Window.partitionBy()) > 0
+    return o.select("block", R6(F.when(top("p"), 5 * F.col("p")).otherwise(2.5), "omega1"), R6(F.when(top("a") | top("t"), 5 * (0.5 * F.col("a") + 0.5 * F.col("t"))).otherwise(2.5), "omega2"))
 
 
 _D19 = f"""{TERMS_SQL}, t as (select *, 0.5::double as T, {E.TOUR_CONSTANT} * sqrt({ARRIVALS} * 0.5) * alpha as tour from terms), m as (select greatest(sum(mass), 1e-12) as w from t)
@@ -209,10 +229,18 @@ def s11(spark, sf_dir):
     return t.agg(F.max_by("district", F.struct(F.round(ratio, 9), "district")).alias("district"), R6(F.max(ratio), "ratio"))
 
 
-@query("s24_unit_square_densities", sql(f"select round(avg(3 * least(greatest({E.uniform_sql('i', 'u')}, 0), 1)), 6) as mean3, round(avg(case when {E.uniform_sql('i', 'u')} < {E.uniform_sql('i', 'v')} then 1.0 else 0.0 end), 6) as below from (select unnest(range(3000)) as i)"))
+_BETA = f"list_sort([{', '.join(E.uniform_sql('i', f'b{k}') for k in range(6))}])[2]"
+_NORM = f"least(1.0, greatest(0.0, 0.5 + 0.2 * sqrt(-2 * ln(greatest({E.uniform_sql('i', 'na')}, 1e-12))) * cos(2 * pi() * {E.uniform_sql('i', 'nb')})))"
+
+
+@query("s24_unit_square_densities", sql(f"with d as (select {E.uniform_sql('i', 'u')} as u, {_BETA} as b, {_NORM} as n from (select unnest(range(3000)) as i)) select round(avg(u), 6) as uniform_mean, round(avg(b), 6) as beta_mean, round(avg(30 * b * pow(1 - b, 4)), 6) as beta_density, round(avg(n), 6) as normal_mean, count(*) filter (where n = 0 or n = 1)::bigint as clipped from d"))
 def s24(spark, sf_dir):
-    u, v = E.hash_uniform(F.col("id"), "u"), E.hash_uniform(F.col("id"), "v")
-    return spark.range(3000).agg(R6(F.avg(3 * F.least(F.greatest(u, F.lit(0.0)), F.lit(1.0))), "mean3"), R6(F.avg(F.when(u < v, 1.0).otherwise(0.0)), "below"))
+    """Uniform, Beta(2, 5) (the second of six uniforms) and clipped normal draws, and the Beta density at its own draws."""
+    u = lambda salt: E.hash_uniform(F.col("id"), salt)
+    beta = F.get(F.array_sort(F.array(*(u(f"b{k}") for k in range(6)))), F.lit(1))
+    normal = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.2 * F.sqrt(-2 * F.log(F.greatest(u("na"), F.lit(1e-12)))) * F.cos(2 * math.pi * u("nb"))))
+    d = spark.range(3000).select(u("u").alias("u"), beta.alias("b"), normal.alias("n"))
+    return d.agg(R6(F.avg("u"), "uniform_mean"), R6(F.avg("b"), "beta_mean"), R6(F.avg(30 * F.col("b") * F.pow(1 - F.col("b"), 4)), "beta_density"), R6(F.avg("n"), "normal_mean"), F.count_if((F.col("n") == 0) | (F.col("n") == 1)).alias("clipped"))
 
 
 @query("s12_speed_units", sql(f"select l_linenumber, round(avg(l_quantity) / {E.KM_PER_MILE}, 6) as mph from lineitem group by 1"))

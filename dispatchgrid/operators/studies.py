@@ -283,3 +283,36 @@ def o6(spark, sf_dir):
     r = Region(spark, sf_dir)
     both = [evaluated(r, m).select(F.lit(m).alias("mode"), "travel_cost", "fleet") for m in ("fixed", "tour")]
     return both[0].unionByName(both[1])
+
+
+def exponential_fit(x: np.ndarray, y: np.ndarray, rounds: int = 200) -> tuple[float, float, float]:
+    """a, b, c of a * exp(b * x) + c: for a given b the best a and c follow by least squares, and b is sought by steps that
+    halve where neither way is better."""
+
+    def best(b: float) -> tuple[float, float, float]:
+        m = np.stack([np.exp(b * (x - x.max())), np.ones(len(x))], axis=1)
+        (a, c), *_ = np.linalg.lstsq(m, y, rcond=None)
+        return float(a), float(c), float(((m @ (a, c) - y) ** 2).sum())
+
+    span = float(x.max() - x.min()) or 1.0
+    grid = np.concatenate([-np.geomspace(20, 0.01, 40), np.geomspace(0.01, 20, 40)]) / span
+    b = float(min(grid, key=lambda b: best(b)[2]))
+    step = abs(b) / 4
+    for _ in range(rounds):
+        b, moved = min((b - step, b, b + step), key=lambda z: best(z)[2] if z else np.inf), b
+        step = step if b != moved else step / 2
+    a, c, _ = best(b)
+    return a * float(np.exp(-b * x.max())), b, c
+
+
+@query("p9_exponential_fit")
+def p9_exponential(spark, sf_dir):
+    """The curve a * exp(b * x) + c through mean prices by quantity."""
+    g = Region(spark, sf_dir).table("lineitem").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("y"))
+    row = g.agg(F.array_sort(F.collect_list(F.struct(F.col("l_quantity").cast("double").alias("x"), "y"))).alias("p"))  # fifty quantities
+
+    def f(row):
+        a, b, c = exponential_fit(np.array([z["x"] for z in row["p"]]), np.array([z["y"] for z in row["p"]]))
+        return [(round(a, 2), round(b, 4), round(c, 2))]
+
+    return solved(row, f, "a double, b double, c double")

@@ -224,3 +224,9 @@ def test_map_of_plane_distances_is_exact():
     d = np.hypot(*(p[:, None, k] - p[None, :, k] for k in (0, 1)))
     at, stress = studies.embedded(d)
     assert stress < 1e-9 and np.hypot(*(at[:, None, k] - at[None, :, k] for k in (0, 1))) == pytest.approx(d, abs=1e-9)
+
+
+def test_exponential_fit_recovers_a_curve():
+    x = np.arange(5.0, 50.0, 4.0)
+    for a, b, c in ((2.0, 0.08, 1.0), (5.0, -0.1, 3.0)):
+        assert studies.exponential_fit(x, a * np.exp(b * x) + c) == pytest.approx((a, b, c), rel=1e-3)
