@@ -230,3 +230,13 @@ def test_exponential_fit_recovers_a_curve():
     x = np.arange(5.0, 50.0, 4.0)
     for a, b, c in ((2.0, 0.08, 1.0), (5.0, -0.1, 3.0)):
         assert studies.exponential_fit(x, a * np.exp(b * x) + c) == pytest.approx((a, b, c), rel=1e-3)
+
+
+def test_generated_ways_reach_the_plan_over_all():
+    rng = np.random.default_rng(9)
+    for _ in range(15):
+        cp = np.array([[0.0, 0.0], [2.0, 0.0], [4.0, 0.0], [6.0, 0.0]])
+        stops = np.array([[1.0, 0.3], [3.0, -0.4], [5.0, 0.5], [3.0, 0.3]]) + rng.random((4, 2)) * 0.2
+        penalty, rules = rng.random(4) * 3, detours.Rules(slack=1.0, capacity=100)
+        cost, rounds, used = detours.generated(cp, stops, np.ones(4), penalty, rules, 1.0)
+        assert cost == pytest.approx(detours.plan(cp, stops, np.ones(4), penalty, rules, 1.0)[0]) and used <= len(detours.arcs(cp, stops, rules))
