@@ -43,12 +43,27 @@ def _remove_local(root: str) -> None:
     shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
+_MADE: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _sweep() -> None:
+    """Remove what scratch folders are left when the driver ends; results that read from them have been written by then."""
+    for spark, base in _MADE:
+        try:
+            path = spark._jvm.org.apache.hadoop.fs.Path(base)
+            path.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        except Exception:  # the JVM may be gone
+            return
+
+
 class Scratch:
-    """Intermediate tables written to the shared folder; they cut lineage and outlive executors."""
+    """Intermediate tables written to the shared folder; they cut lineage, outlive executors and go when the driver ends."""
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+        _MADE.append((spark, self.base))
 
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
