@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Each round is two grouped aggregations and joins; a hub's edges are only ever aggregated with a map-side combine or joined
-(where adaptive execution splits a hot key), never gathered. Rounds are written to the shared folder.
+Each round is two grouped aggregations and joins; a hub's edges are only ever aggregated with a map-side combine or joined,
+never gathered. The aggregate is dealt out once more before its join: only then are both sides plain shuffles, and adaptive
+execution can split a hub. Rounds are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ MAX_ROUNDS = 60
 
 def _large(e: DataFrame) -> DataFrame:
     both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    m = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    m = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")).repartition("a")
     return both.join(m, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     m = e.groupBy("a").agg(F.min("b").alias("m"))
-    far = e.join(m, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    far = e.join(m.repartition("a"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return far.union(m.select("a", F.col("m").alias("b"))).distinct()
 
 

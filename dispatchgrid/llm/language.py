@@ -128,7 +128,8 @@ def _posterior(logs: list[Column]) -> list[Column]:
 
 
 def _sums(df: DataFrame, key: str, n: int, prefix: str) -> DataFrame:
-    return df.groupBy(key).agg(*(F.sum(f"t{i}").alias(f"{prefix}{i}") for i in range(n)))
+    """Sums by a key, dealt out once more so that adaptive execution can split a hot key of the join back."""
+    return df.groupBy(key).agg(*(F.sum(f"t{i}").alias(f"{prefix}{i}") for i in range(n))).repartition(key)
 
 
 def identify(pages: DataFrame, model: TextModel) -> DataFrame:

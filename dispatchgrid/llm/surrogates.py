@@ -1,7 +1,7 @@
 """PII replaced by keyed, type-consistent surrogates, in DataFrame operations only.
 
 Entities are found by one pattern of alternatives: e-mail addresses, card and account numbers, IBANs, phone numbers,
-social security numbers, IPv4 addresses, assigned credentials, and names after a form of address. Each has a canonical
+social security numbers, IPv4 addresses, assigned credentials and keys of known forms, and names after a form of address. Each has a canonical
 form (digits alone, lower case), so that the same entity written in two ways is one. A surrogate is drawn from
 sha2(key | type | canonical | attempt): digits for digits, letters for letters in the same case and script, the separators
 as they are; cards and account numbers keep their first signs and valid check digits where the original's were valid, addresses stay
@@ -56,10 +56,14 @@ SYLLABLES = {
 
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
 _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}'’-]*"
+#: What assigns a credential, and bare keys of known forms.
+_ASSIGNED = r"(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key))\s{0,3}[=:]\s{0,3}"
+_PREFIX = "AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk-"
+_KEYS = "(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}"
 #: type -> pattern, tried in this order at each place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "credential": r"(?i:\b(?:token|secret|password|api_?key|access_?key))\b\s{0,3}[=:]\s{0,3}[\"'][^\"'\s]{8,}[\"']",
+    "credential": rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,}}[\"']|(?=[^\"'\s]*\d)[A-Za-z0-9+/=_!@#$%^&*.-]{{8,}})|(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3\d{3}([ -]?)\d{6}\2\d{5})(?![\w-])",
     "phone": r"(?<![\w.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
@@ -83,7 +87,7 @@ def _join(patterns: dict[str, str]) -> str:
 
 PATTERN = _join(PATTERNS)
 #: What a text must hold at the least for PATTERN to match anywhere in it.
-HINT = rf"@|\d[ .-]?\d\d|\d\.\d|[=:]\s{{0,3}}[\"']|(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0]"
+HINT = rf"@|\d[ .-]?\d\d|\d\.\d|[=:]\s{{0,3}}[\"']|{_ASSIGNED}|{_PREFIX}|(?<![\p{{L}}])(?:{_TITLE})\.?[ \u00A0]"
 
 
 def kind_of(raw: Column) -> Column:
@@ -97,7 +101,7 @@ def kind_of(raw: Column) -> Column:
 
 
 def canonical(kind: Column, raw: Column) -> Column:
-    value = F.regexp_extract(raw, r"[\"']([^\"'\s]+)[\"']$", 1)
+    value = F.regexp_replace(F.regexp_replace(raw, f"^{_ASSIGNED}[\"']?", ""), "[\"']$", "")
     digits = F.regexp_replace(raw, r"\D", "")
     return (
         F.when(kind == "email", F.lower(raw))
@@ -207,8 +211,10 @@ def _nth(values: Column, h: Column):
 
 
 def _credential(canon: Column, h: Column, attempt: Column) -> Column:
-    """One of signs that have no like is drawn from letters when it comes again."""
-    return F.when(attempt < 1, _like(canon, h)).otherwise(F.concat(_like(F.regexp_replace(canon, "[^A-Za-z0-9]", "z"), h), _more(h, attempt, "abcdefghijklmnop")))
+    """The prefix of a known form stays. One of signs that have no like is drawn from letters when it comes again."""
+    prefix = F.regexp_extract(canon, f"^(?:{_PREFIX})", 0)
+    body = F.substring(canon, F.length(prefix) + 1, F.length(canon))
+    return F.concat(prefix, F.when(attempt < 1, _like(body, h)).otherwise(F.concat(_like(F.regexp_replace(body, "[^A-Za-z0-9]", "z"), h), _more(h, attempt, "abcdefghijklmnop"))))
 
 
 def _name(kind: Column, canon: Column, h: Column, attempt: Column) -> Column:
@@ -263,9 +269,9 @@ def formatted(kind: Column, raw: Column, sur: Column, lead: Column) -> Column:
     )
     # What a longer surrogate has left comes after the last place.
     spread = F.aggregate(chars, start, step, lambda a: F.concat(a["out"], F.substring(sur, a["at"], F.length(sur))))
-    assigned = F.regexp_extract(raw, r"^(.*?[\"'])[^\"'\s]+[\"']$", 1)
+    assigned = F.regexp_extract(raw, f"^{_ASSIGNED}[\"']?", 0)
     return (
-        F.when(kind == "credential", F.concat(assigned, sur, F.right(raw, F.lit(1))))
+        F.when(kind == "credential", F.concat(assigned, sur, F.regexp_extract(raw, "[\"']$", 0)))
         .when(kind.isin("given", "family"), F.concat(lead, sur))
         .when(kind.isin("card", "phone", "ssn", "iban"), spread)
         .otherwise(sur)

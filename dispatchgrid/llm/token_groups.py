@@ -213,9 +213,10 @@ def _edges_between(num: int, den: int):
 
 
 def _shared(postings: DataFrame) -> DataFrame:
-    """Postings of tokens that two or more documents have, with the smallest of them as center."""
+    """Postings of tokens that two or more documents have, with the smallest of them as center. The centers are dealt out once
+    more, so that adaptive execution can split a token that very many documents have."""
     held = postings.groupBy("token").agg(F.min("doc_id").alias("center"), F.max("doc_id").alias("last")).where("center <> last").select("token", "center")
-    return postings.join(held, "token")
+    return postings.join(held.repartition("token"), "token")
 
 
 def _columns(dealt: DataFrame, roots: DataFrame) -> DataFrame:
