@@ -69,9 +69,14 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
+        df.coalesce(self._most_files()).write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def _most_files(self) -> int:
+        """Files of a table at the most: four tasks a core, and no fewer than an eighth of the shuffle's partitions; where
+        partitions are many for the data, the folder would fill with tiny files."""
+        return max(4 * self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 8, 32)
+
     def drop(self, *names: str) -> None:
         """Remove tables that no later plan reads, and let Spark clean shuffles that nothing holds."""
         jvm = self.spark.sparkContext._jvm
