@@ -84,3 +84,47 @@ def test_partition_queries_cover_all_blocks(spark):
         assert sorted(r["block"] for r in rows) == list(range(25)) and len({r["root"] for r in rows}) == 5 and len({r["depot"] for r in rows}) == 1
         for r in rows:
             assert next(x["root"] for x in rows if x["block"] == r["root"]) == r["root"]
+
+
+def places(n=None):
+    s = pd.read_parquet(f"{LARGER}/supplier.parquet").sort_values("s_suppkey")
+    return [(int(k), int(nation) % 3, (k * 7919) % 500 / 100.0, (k * 104729) % 500 / 100.0) for k, nation in zip(s.s_suppkey, s.s_nationkey, strict=True)]
+
+
+def test_order_inside_subpaths(spark):
+    routes = defaultdict(list)
+    for _, route, x, y in places():
+        routes[route].append((x, y))
+    want = {}
+    for route, points in routes.items():
+        for k in range(0, len(points), 4):
+            own = points[k : k + 4]
+            order, left = [0], list(range(1, len(own)))
+            while left:
+                order.append(min(left, key=lambda j: (round(math.dist(own[order[-1]], own[j]), 9), j)))
+                left.remove(order[-1])
+            want[route * 100000 + k // 4] = (",".join(map(str, order)), round(sum(math.dist(own[a], own[b]) for a, b in itertools.pairwise(order)), 5))
+    got = {r["part"]: (r["places"], round(r["km"], 5)) for r in Q["m7_order_in_subpath"](spark, LARGER).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()} and all(got[k][1] == pytest.approx(v[1], abs=2e-5) for k, v in want.items())
+
+
+def test_depot_tours(spark, cells):
+    for r in Q["m4_depot_tours"](spark, LARGER).collect():
+        points = [(2.5, 2.5), *cells[r["cell"]]]
+        assert r["n"] == len(points) and r["tree_km"] == pytest.approx(2 * tree(points), abs=1e-5) and r["tree_km"] / 2 <= r["tour_km"] <= r["tree_km"] + 1e-5
+
+
+def test_studies_keep_their_bounds(spark):
+    gap = sorted((r["radius"], r["lower"], r["upper"]) for r in Q["s11_bound_gap_by_radius"](spark, LARGER).collect())
+    assert all(lo <= up + 2e-3 for _, lo, up in gap) and [lo for _, lo, _ in gap] == sorted(lo for _, lo, _ in gap)
+    assert sum(r["share"] for r in Q["s15_worst_mass"](spark, LARGER).collect()) == pytest.approx(1.0, abs=0.02)
+    assert all(r["nominal"] <= r["worst"] + 0.02 for r in Q["o22_sample_size_study"](spark, LARGER).collect())
+    assert sum(r["n"] for r in Q["o12_equal_load"](spark, LARGER).collect()) == 1600
+    assert all(r["above"] and r["certified"] for r in Q["l21_moment_problem"](spark, LARGER).collect())
+    assert all(r["cost"] >= r["exact"] - 1e-6 for r in Q["l10_generated_ways"](spark, LARGER).collect())
+
+
+def test_arrows_go_to_the_district_within_the_radius(spark):
+    rows = Q["s25_transport_arrows"](spark, LARGER).collect()
+    assert rows and all(r["dst"] % 5 == 0 and r["src"] % 5 for r in rows)
+    assert sum(r["mass"] * math.dist((r["ax"], r["ay"]), (r["bx"], r["by"])) for r in rows) <= 0.5 + 1e-6
