@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import bpe, language, licenses, lines, secrets, surrogates, tiling, token_files
+from . import bpe, language, licenses, lines, packing, secrets, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
 from . import token_groups
@@ -61,8 +61,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_language_id, op4_secret_scan, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_language_id, op4_secret_scan, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join, op11_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
