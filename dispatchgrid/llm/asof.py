@@ -33,7 +33,7 @@ DAY_US = 24 * HOUR_US
 def micros(df: DataFrame, name: str) -> Column:
     """Microseconds since 1970 of a time column; without a zone it is taken as it is written."""
     if dict(df.dtypes)[name] == "timestamp_ntz":
-        return F.expr(f"unix_date(cast(`{name}` as date)) * {DAY_US} + (hour(`{name}`) * 3600 + minute(`{name}`) * 60) * 1000000 + cast(extract(second from `{name}`) * 1000000 as bigint)")
+        return F.expr(f"unix_date(cast(`{name}` as date)) * {DAY_US} + (hour(`{name}`) * 3600 + minute(`{name}`) * 60) * 1000000L + cast(extract(second from `{name}`) * 1000000 as bigint)")
     return F.unix_micros(F.col(name).cast("timestamp"))
 
 
