@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import asof, bpe, language, licenses, lines, packing, secrets, surrogates, tiling, token_files
+from . import asof, bpe, language, licenses, lines, packing, repair, secrets, surrogates, tiling, token_files
 from .common import Scratch, table
 from . import quality as rules
 from . import token_groups
@@ -65,12 +65,17 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return repair.Repair(repair.damaged(rows)).report(rows)
+
+
 def op13_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.match_clicks(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_language_id, op4_secret_scan, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join, op11_best_fit_packing, op13_tolerant_asof)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_files, op3_language_id, op4_secret_scan, op5_benchmark_decontamination, op6_line_dedup, op7_pii_surrogates, op8_bpe_transducer, op9_quality_rules, op10_ngram_jaccard_join, op11_best_fit_packing, op12_conversation_repair, op13_tolerant_asof)}
 
 
 def oracle_sql() -> dict[str, str]:
