@@ -35,8 +35,40 @@ KAPPA = 5.0
 #: these that predicts the languages of held-out labelled documents best.
 WEIGHTS, MOST = (0.05, 0.1, 0.2, 0.3, 0.5, 1.0), (50, 100, 200, 400, 800)
 
-_SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
-_LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+_MARK = re.compile(r"<(?:(script|style)\b|(!--))?|&[#\w]+;", re.I)
+_ENDS = {"script": re.compile(r"</script\s*>", re.I), "style": re.compile(r"</style\s*>", re.I), "!--": re.compile("-->"), "": re.compile(">")}
+_HTML, _LANG = re.compile(r"<html\b", re.I), re.compile(r"\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+
+
+def without_marks(html: str) -> str:
+    """Text without scripts, comments, tags and references. One cursor moves on; a kind whose end isn't found once has none
+    further on either, so it isn't looked for again."""
+    out, at, missing = [], 0, set()
+    while m := _MARK.search(html, at):
+        stop = m.end() if m[0][0] == "&" else None
+        for kind, begin in ((((m[1] or m[2] or "").lower(), m.end()), ("", m.start() + 1)) if stop is None else ()):
+            if kind not in missing:
+                if end := _ENDS[kind].search(html, begin):
+                    stop = end.end()
+                    break
+                missing.add(kind)
+        out.append(html[at : m.start() if stop else m.start() + 1])
+        out.append(" " if stop else "")
+        at = stop or m.start() + 1
+    return "".join(out) + html[at:]
+
+
+def declared_language(html: str) -> str:
+    """The language that the first html tag with one declares, in small letters, or nothing."""
+    at = 0
+    while m := _HTML.search(html, at):
+        stop = html.find(">", m.end())
+        if found := _LANG.search(html, m.end(), len(html) if stop < 0 else stop):
+            return found[1].lower()
+        if stop < 0:
+            break
+        at = stop
+    return ""
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -111,8 +143,8 @@ def text_evidence(pages: DataFrame, model: TextModel) -> DataFrame:
         model = shared.value
         for b in batches:
             html = b.column("html").to_pylist()
-            declared = [(m[1].lower() if (m := _LANG.search(x)) else "") for x in html]
-            ll = [model.log_likelihood(_SKIP.sub(" ", x)) for x in html]
+            declared = [declared_language(x) for x in html]
+            ll = [model.log_likelihood(without_marks(x)) for x in html]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(declared), pa.array(ll, pa.list_(pa.float64()))], schema=_TEXT)
 
     small_batches(pages.sparkSession)

@@ -39,7 +39,8 @@ from .common import Bitmap, Scratch, batch, small_batches, texts
 MIN_WORDS = 25
 _PUNCTUATION = string.punctuation.encode()
 _BLANK = r"[ \t\n\x0b\f\r]"
-_BREAK = {"sentence": re.compile(rf"[.!?]+{_BLANK}+|\n"), "line": re.compile("\n")}
+#: A look-behind, so that a run of full stops without a blank after it is passed over once.
+_BREAK = {"sentence": re.compile(rf"(?<=[.!?]){_BLANK}+|\n"), "line": re.compile("\n")}
 _UNITS = pa.schema([("doc_id", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("d1", pa.int64()), ("d2", pa.int64())])
 _SPANS = "array<struct<begin:long,stop:long,kept_in:long,kept_unit:long>>"
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("removed", pa.list_(pa.struct([("begin", pa.int64()), ("stop", pa.int64()), ("kept_in", pa.int64()), ("kept_unit", pa.int64())])))])

@@ -30,7 +30,7 @@ THRESHOLD = 0.5
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/=_-]*[0-9])[A-Za-z0-9+/=_-]{16,}(?![A-Za-z0-9+/_-])")
 #: A value assigned to a telling name, quoted or up to the next blank; group 1 is the value.
-ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:[a-z0-9]+[_-])?(?:token|secret|passw(?:or)?d|pwd|passphrase|api_?key|access_?key|private_?key|credentials?)[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([^\"'\s]{8,}))")
+ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|passphrase|api_?key|access_?key|private_?key|credentials?)[\"']?\s{0,3}[=:]\s{0,3}(?:\"([^\"\s]{8,})\"|'([^'\s]{8,})'|([^\"'\s]{8,}))")
 #: Words that come before a secret, words that come before a look-alike, and words found inside look-alikes.
 ASSIGNING = "token secret key apikey api_key access_key secret_key password passwd pwd auth authorization bearer credential credentials private".split()
 HARMLESS = "commit sha sha1 sha256 md5 checksum digest hash etag uuid guid id order invoice phone isbn version revision build integrity account number".split()

@@ -60,10 +60,11 @@ _NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}[\p{L}'’-]*"
 _ASSIGNED = r"(?i:(?<![a-z])(?:token|secret|passw(?:or)?d|pwd|api_?key|access_?key))\s{0,3}[=:]\s{0,3}"
 _PREFIX = "AKIA|ASIA|gh[pousr]_|xox[baprs]-|sk-"
 _KEYS = "(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[baprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9]{20,}"
-#: type -> pattern, tried in this order at each place.
+#: type -> pattern, tried in this order at each place. The JVM matches a repeated group by recursion, so each such group is
+#: bounded: a domain has 127 labels at the most, and an unquoted value its first digit among its first 256 signs.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
-    "credential": rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,}}[\"']|(?=[^\"'\s]*\d)[A-Za-z0-9+/=_!@#$%^&*.-]{{8,}})|(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,126}[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "credential": rf"{_ASSIGNED}(?:[\"'][^\"'\s]{{8,}}[\"']|(?=[^\"'\s]{{0,256}}\d)[A-Za-z0-9+/=_!@#$%^&*.-]{{8,}})|(?<![A-Za-z0-9])(?:{_KEYS})(?![A-Za-z0-9])",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\w.+-])(?:\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}|3\d{3}([ -]?)\d{6}\2\d{5})(?![\w-])",
     "phone": r"(?<![\w.+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.+-])(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
@@ -284,7 +285,9 @@ def entity_table(found: DataFrame, scratch: Scratch, key: str) -> DataFrame:
     for i in range(1, ROUNDS + 1):
         drawn = scratch.keep(e.withColumn("sur", draw(F.col("kind"), F.col("canon"), F.col("attempt"), key)), f"drawn-{i}")
         taken = drawn.groupBy("kind", "sur").agg(F.min("canon").alias("owner"), F.count("*").alias("n"))
-        real = drawn.select("kind", F.when(F.col("kind") == "family", F.initcap("canon")).otherwise(F.col("canon")).alias("sur"), F.lit(True).alias("real"))
+        # Names are canonical in small letters, given ones with their gender before them; surrogates are as written.
+        written = F.when(F.col("kind") == "family", F.initcap("canon")).when(F.col("kind") == "given", F.initcap(F.substring_index("canon", "|", -1))).otherwise(F.col("canon"))
+        real = drawn.select("kind", written.alias("sur"), F.lit(True).alias("real")).distinct()
         again = drawn.join(taken, ["kind", "sur"]).join(real, ["kind", "sur"], "left").withColumn("again", F.coalesce("real", F.lit(False)) | (F.col("canon") != F.col("owner")))
         if not again.where("again").limit(1).count():
             return drawn
