@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.medians import exact_medians
+from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.plans.region import Region, minmax, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -160,7 +161,7 @@ def d26(spark, sf_dir):
 @query("d27_weighted_bincount", sql("select bin, round(w, 6) as w, round(sum(w) over (order by bin), 6) as running from (select floor(o_totalprice / 50000)::int as bin, sum(o_totalprice / 1e6) as w from orders group by 1)"))
 def d27(spark, sf_dir):
     b = Region(spark, sf_dir).table("orders").groupBy(F.floor(F.col("o_totalprice") / 50000).cast("int").alias("bin")).agg(F.sum(F.col("o_totalprice") / 1e6).alias("w"))
-    return b.select("bin", R6("w", "w"), R6(F.sum("w").over(Window.orderBy("bin")), "running"))
+    return Ordered(b, "bin").running(running=F.col("w")).select("bin", R6("w", "w"), R6("running", "running"))
 
 
 @query("d28_best_stop_cluster", sql("select n_routes, n_stops, round(x, 6) as x, round(y, 6) as y from (select count(distinct route)::bigint as n_routes, count(*)::bigint as n_stops, avg(x_km) as x, avg(y_km) as y, round(x_km) as cx, round(y_km) as cy from stops group by cx, cy order by 1 desc, 2 desc, cx, cy limit 1)", "stops"))

@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
-from dispatchgrid.functions.exprs import SPEED_KMH, distance, segment_distance
-from dispatchgrid.operators.nearest import nearest
+from dispatchgrid.functions.exprs import SPEED_KMH, distance
+from dispatchgrid.operators.nearest import nearest, nearest_segment
+from dispatchgrid.operators.polygons import riders_at
 from dispatchgrid.operators.scenarios import _RIDERS, riders
 from dispatchgrid.plans.region import Region, sql
 
@@ -20,12 +21,26 @@ d as (select block, x_km, y_km, ax, ay, bx, b_y, (bx - ax) ** 2 + (b_y - ay) **
 f as (select *, case when l <= 0 then 0 else greatest(0.0, least(1.0, ((x_km - ax) * (bx - ax) + (y_km - ay) * (b_y - ay)) / nullif(l, 0))) end as t from d)
 select block, round(min(sqrt((x_km - ax - t * (bx - ax)) ** 2 + (y_km - ay - t * (b_y - ay)) ** 2)), 6) as km from f group by block""", "stops", "blocks"))
 def c10(spark, sf_dir):
-    """Distance from each block to the nearest line; the blocks are the region's and are the side that is broadcast."""
+    """Distance from each block to the nearest line."""
     r = Region(spark, sf_dir)
     w = Window.partitionBy("route").orderBy("seq")
     g = r.stops().select(F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.lead("x_km").over(w).alias("bx"), F.lead("y_km").over(w).alias("by")).where("bx is not null")
-    km = segment_distance(F.col("x_km"), F.col("y_km"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
-    return g.crossJoin(F.broadcast(r.blocks().select("block", "x_km", "y_km"))).groupBy("block").agg(R6(F.min(km), "km"))
+    return nearest_segment(r.blocks(), g.withColumn("at", F.struct("ax", "ay", "bx", "by")), "block", "at").select("block", R6("km", "km"))
+
+
+@query("c10_nearest_segment_of_riders", sql("""with g as (select stop, x_km as ax, y_km as ay, lead(x_km) over (partition by route order by seq) as bx, lead(y_km) over (partition by route order by seq) as b_y from stops),
+p as (select c_custkey, (c_custkey * 104729) % 6007 / 1000.0::double as x, (c_custkey * 1299709) % 5501 / 1000.0::double as y from customer),
+h as (select stop, ax, ay, ax + (bx - ax) / 20 as bx, ay + (b_y - ay) / 20 as b_y from g where bx is not null),
+d as (select *, (bx - ax) * (bx - ax) + (b_y - ay) * (b_y - ay) as l from p, h), f as (select *, case when l <= 0 then 0 else greatest(0.0, least(1.0, ((x - ax) * (bx - ax) + (y - ay) * (b_y - ay)) / nullif(l, 0))) end as t from d),
+e as (select c_custkey, stop, sqrt((x - (ax + t * (bx - ax))) ** 2 + (y - (ay + t * (b_y - ay))) ** 2) as km from f)
+select c_custkey, arg_min(stop, (round(km, 9), stop)) as stop, round(min(km), 6) as km from e group by c_custkey""", "stops"))
+def c10_riders(spark, sf_dir):
+    """The short piece of line nearest to each customer: pieces dealt to the cells they run through, cells that widen."""
+    r = Region(spark, sf_dir)
+    w = Window.partitionBy("route").orderBy("seq")
+    g = r.stops().select("stop", F.col("x_km").alias("ax"), F.col("y_km").alias("ay"), F.lead("x_km").over(w).alias("nx"), F.lead("y_km").over(w).alias("ny")).where("nx is not null")
+    pieces = g.select("stop", "ax", "ay", (F.col("ax") + (F.col("nx") - F.col("ax")) / 20).alias("bx"), (F.col("ay") + (F.col("ny") - F.col("ay")) / 20).alias("by"))
+    return nearest_segment(riders_at(r), pieces, "c_custkey", "stop").select("c_custkey", F.col("pick").alias("stop"), R6("km", "km"))
 
 
 @query("c15_nearest_node", sql(f"select stop, arg_min(block, (round({_D}, 9), block)) as node from stops s, blocks b group by stop", "stops", "blocks"))

@@ -1,11 +1,13 @@
-"""Nearest neighbours of points by expanding grid cells, without a cross join."""
+"""Nearest neighbours of points, among points or segments, by expanding grid cells, without a cross join."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dispatchgrid.functions.exprs import distance
+from dispatchgrid.functions.exprs import distance, segment_distance
+from dispatchgrid.functions.kept import keep
+from dispatchgrid.operators.polygons import EDGE, cells_of
 
 BROADCAST_ROWS = 500
 
@@ -13,31 +15,59 @@ BROADCAST_ROWS = 500
 def nearest(points: DataFrame, sites: DataFrame, key: str, rank: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
     """key, pick (the site's rank value), km: each point's nearest site, ties to the smallest rank.
 
-    Sites up to BROADCAST_ROWS (counted first) are broadcast and reduced in place by min_by. Beyond, sites and points are
-    dealt to square cells of about one site each: a point looks into its own and the eight cells around it, the pick is
-    certain once it is nearer than the looked-at square's edge, and those left look again into cells twice as wide.
-    """
+    Sites up to BROADCAST_ROWS (counted first) are broadcast and reduced in place by min_by; more are searched by cells."""
     p = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"))
     s = sites.select(F.col(rank).alias("rank"), F.col(x).alias("sx"), F.col(y).alias("sy"))
     km = distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"))
-    best = F.min_by(F.struct("rank", km.alias("km")), F.struct(F.round(km, 9), "rank")).alias("b")
     if s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        return p.crossJoin(F.broadcast(s)).groupBy(key).agg(best).select(key, F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
+        return p.crossJoin(F.broadcast(s)).groupBy(key).agg(_best(km)).select(key, F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
     box = s.agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), F.count("*").alias("n")).first()
-    width = max(((box["x1"] - box["x0"]) * (box["y1"] - box["y0"]) / box["n"]) ** 0.5, 1e-9)
-    out = None
-    span = max(box["x1"] - box["x0"], box["y1"] - box["y0"]) * 2 + width
+    width = (((box["x1"] - box["x0"]) * (box["y1"] - box["y0"])) / box["n"]) ** 0.5
+    cells = lambda w: F.array(F.struct(F.floor(F.col("sx") / w).alias("cx"), F.floor(F.col("sy") / w).alias("cy")))
+    return _search(p, s, key, km, cells, width, box)
+
+
+def nearest_segment(points: DataFrame, segments: DataFrame, key: str, rank: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
+    """key, pick, km: each point's nearest segment (ax, ay, bx, by), ties to the smallest rank. A segment is dealt to every cell
+    that it runs through, so what is not among the cells around a point is no nearer than their edge."""
+    p = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"))
+    s = segments.select(F.col(rank).alias("rank"), *EDGE)
+    km = segment_distance(F.col("px"), F.col("py"), *(F.col(c) for c in EDGE))
+    length = distance(*(F.col(c) for c in EDGE))
+    box = s.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("n"), F.avg(length).alias("length")).first()
+    if not box["n"]:
+        return p.limit(0).select(key, F.lit(None).cast(s.schema["rank"].dataType).alias("pick"), F.lit(None).cast("double").alias("km"))
+    # Wide enough for a few cells a segment.
+    width = max((((box["x1"] - box["x0"]) * (box["y1"] - box["y0"])) / box["n"]) ** 0.5, box["length"] / 8)
+    return _search(p, s, key, km, lambda w: cells_of(*(F.col(c) for c in EDGE), w), width, box)
+
+
+def _best(km: Column) -> Column:
+    return F.min_by(F.struct("rank", km.alias("km")), F.struct(F.round(km, 9), "rank")).alias("b")
+
+
+def _search(p: DataFrame, s: DataFrame, key: str, km: Column, cells, width: float, box) -> DataFrame:
+    """Points look into their own cell and the eight around it; a pick is certain once it is nearer than the looked-at square's
+    edge, and those left look again into wider cells. Each round's points and picks are written, so that no round plans those
+    before it again."""
+    width, span = max(width, 1e-9), max(box["x1"] - box["x0"], box["y1"] - box["y0"]) * 2 + width
+    out, left = None, p
     while True:
         cell = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        look = p.withColumn("d", around).select(key, "px", "py", (cell("px") + F.col("d.i")).alias("cx"), (cell("py") + F.col("d.j")).alias("cy"))
-        got = look.join(s.withColumn("cx", cell("sx")).withColumn("cy", cell("sy")), ["cx", "cy"]).groupBy(key).agg(best).select(key, F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
+        around = F.explode(F.array(*(F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
         last = width > span
-        sure = got if last else got.where(F.col("km") <= F.lit(width))
+        if last:  # what is left lies far from all sites: those of the border's cells are met from the nearest place inside
+            inside = lambda c, a, b: F.greatest(F.lit(box[a]), F.least(F.lit(box[b]), F.col(c)))
+            near = F.floor(inside("px", "x0", "x1") / width), F.floor(inside("py", "y0", "y1") / width)
+            around = F.explode(F.array(*(F.struct((near[0] + i).alias("cx"), (near[1] + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+        look = left.select(key, "px", "py", around.alias("c"))
+        got = look.join(s.withColumn("c", F.explode(cells(width))), "c").groupBy(key, "px", "py").agg(_best(km)).select(key, "px", "py", F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
+        got = keep(got, "nearest")
+        sure = (got if last else got.where(F.col("km") <= F.lit(width))).select(key, "pick", "km")
         out = sure if out is None else out.unionByName(sure)
         if last:
             return out
-        p = p.join(sure.select(key), key, "left_anti")
+        left = keep(left.join(sure.select(key), key, "left_anti"), "nearest")
         width *= 4
-        if not p.limit(1).count():
+        if left.isEmpty():
             return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.exprs import SPEED_KMH, distance, hash_uniform, uniform_sql
+from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -173,6 +174,17 @@ def i4(spark, sf_dir):
     return a.select("event_id", R6(visit - F.col("t_h"), "wait_h"))
 
 
+@query("i4_next_visit", """with e as (select event_id, user_id % 25 as stop, ts, event_type = 'purchase' as visit from events)
+select event_id, stop, (select epoch_us(min(v.ts)) from e v where v.visit and v.stop = a.stop and v.ts >= a.ts) - epoch_us(ts) as wait_us from e a where not visit""")
+def i4_next_visit(spark, sf_dir):
+    """The wait of each rider until the next visit of an uneven timetable: riders and visits in one order of stop and time, the
+    next visit carried over the edges of partitions, so that a busy stop is dealt over several. Null after the last visit."""
+    e = Region(spark, sf_dir).table("events").select("event_id", (F.col("user_id") % 25).alias("stop"), F.col("ts"), (F.col("event_type") == "purchase").alias("visit"))
+    seen = Ordered(e.withColumn("rider", ~F.col("visit")), "stop", "ts", "rider", "event_id").next_seen("next", F.when(F.col("visit"), F.struct("stop", "ts")))
+    wait = F.when(F.col("next.stop") == F.col("stop"), F.unix_micros(F.col("next.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp")))
+    return seen.where("not visit").select("event_id", "stop", wait.alias("wait_us"))
+
+
 @query("i11_request_batch", sql(_RIDERS + f" select s, block, k::int as k, round({uniform_sql('(s * 100 + block) * 100 + k', 'release')}, 6) as release_h, round({uniform_sql('(s * 100 + block) * 100 + k', 'release')} + sqrt((x - 2) ** 2 + (y - 2) ** 2) / {SPEED_KMH} + 0.25, 6) as deadline_h from rider", "demand", "blocks"))
 def i11(spark, sf_dir):
     return _requests(Region(spark, sf_dir)).select("s", "block", "k", R6("release_h", "release_h"), R6("deadline_h", "deadline_h"))
@@ -203,7 +215,6 @@ select i, block, round(x_km + jx, 6) as x, round(y_km + jy, 6) as y from u join
 def i7(spark, sf_dir):
     """Locations drawn by cell mass and jittered inside the cell; the cumulative masses are the region's and are broadcast."""
     r = Region(spark, sf_dir)
-    w = Window.orderBy("block")
-    c = r.demand().join(r.blocks(), "block").select("block", F.sum("p").over(w).alias("hi"), (F.sum("p").over(w) - F.col("p")).alias("lo"), "x_km", "y_km")
+    c = Ordered(r.demand().join(r.blocks(), "block"), "block").running(hi=F.col("p")).select("block", "hi", (F.col("hi") - F.col("p")).alias("lo"), "x_km", "y_km")
     u = spark.range(1000).select(F.col("id").alias("i"), hash_uniform(F.col("id"), "cell").alias("u"), hash_uniform(F.col("id"), "jx").alias("jx"), hash_uniform(F.col("id"), "jy").alias("jy"))
     return u.join(F.broadcast(c), (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("i", "block", R6(F.col("x_km") + F.col("jx"), "x"), R6(F.col("y_km") + F.col("jy"), "y"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.exprs import distance
+from dispatchgrid.functions.ordered import Ordered, packed_in_order
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -17,8 +18,8 @@ select arg_min(block, (round(abs(mass - 0.5) + abs(area / 25.0 - 0.5), 9), area)
 def e1(spark, sf_dir):
     """The place along a direction where running mass and running area come nearest to their shares."""
     r = Region(spark, sf_dir)
-    w = Window.orderBy(F.desc(F.col("x_km") * 0.8 + F.col("y_km") * 0.6), "block").rowsBetween(Window.unboundedPreceding, 0)
-    b = r.blocks().join(r.demand(), "block", "left").select("block", F.sum(F.coalesce("p", F.lit(0.0))).over(w).alias("mass"), F.count("*").over(w).alias("area"))
+    b = r.blocks().join(r.demand(), "block", "left").select("block", (-(F.col("x_km") * 0.8 + F.col("y_km") * 0.6)).alias("along"), F.coalesce("p", F.lit(0.0)).alias("p"))
+    b = Ordered(b, "along", "block").running(mass=F.col("p"), area=F.lit(1))
     error = F.abs(F.col("mass") - 0.5) + F.abs(F.col("area") / 25.0 - 0.5)
     return b.agg(F.min_by("block", F.struct(F.round(error, 9), "area")).alias("block"), R6(F.min(error), "error"))
 
@@ -28,8 +29,7 @@ select k, min((x + coalesce(nx, x)) / 2) as cut from c, (select unnest(range(1,
 def e2(spark, sf_dir):
     r = Region(spark, sf_dir)
     g = r.blocks().join(r.demand(), "block", "left").groupBy(F.col("x_km").alias("x")).agg(F.sum(F.coalesce("p", F.lit(0.0))).alias("m"))
-    w = Window.orderBy("x")
-    c = g.select("x", F.sum("m").over(w).alias("cum"), F.lead("x").over(w).alias("nx")).crossJoin(F.broadcast(spark.range(1, 4).withColumnRenamed("id", "k")))
+    c = Ordered(Ordered(g, "x").running(cum=F.col("m")), "x").next_seen("nx", F.col("x"), itself=False).select("cum", "x", "nx", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"))
     return c.where(F.col("cum") >= F.col("k") / 4.0 - 1e-12).groupBy("k").agg(F.min((F.col("x") + F.coalesce("nx", "x")) / 2).alias("cut"))
 
 
@@ -94,18 +94,18 @@ def e8(spark, sf_dir):
 f as (select i, block, q, 1 as vehicle, q as load from s where i = 1 union all select s.i, s.block, s.q, case when f.load + s.q > 10 then f.vehicle + 1 else f.vehicle end, case when f.load + s.q > 10 then s.q else f.load + s.q end from f join s on s.i = f.i + 1)
 select block, vehicle::int as vehicle from f""", "blocks", recursive=True))
 def e9(spark, sf_dir):
-    """Blocks in order of sector, each to the open vehicle or, where it does not fit, to a new one: a fold over the order."""
-    s = sectors(Region(spark, sf_dir)).select(F.struct("sector", "block", (1 + F.col("block") % 4).cast("int").alias("q")).alias("s"))
-    start = F.struct(F.lit(1).alias("vehicle"), F.lit(0).alias("load"), F.array().cast("array<struct<block:int,vehicle:int>>").alias("out"))
-
-    def put(a, x):
-        new = a["load"] + x["q"] > 10
-        v = F.when(new, a["vehicle"] + 1).otherwise(a["vehicle"])
-        load = F.when(new, x["q"]).otherwise(a["load"] + x["q"])
-        return F.struct(v.alias("vehicle"), load.alias("load"), F.concat(a["out"], F.array(F.struct(x["block"].alias("block"), v.alias("vehicle")))).alias("out"))
-
-    packed = s.agg(F.aggregate(F.array_sort(F.collect_list("s")), start, put)["out"].alias("out"))
-    return packed.select(F.inline("out"))
+    """Blocks in order of sector, each to the open vehicle or, where it does not fit, to a new one."""
+    s = sectors(Region(spark, sf_dir)).select("sector", "block", (1 + F.col("block") % 4).cast("int").alias("q"))
+    return packed_in_order(s, "q", 10, "sector", "block").select("block", F.col("vehicle").cast("int").alias("vehicle"))
+
+
+@query("e9_customer_packing", """with recursive s as (select c_custkey, row_number() over (order by c_nationkey, c_custkey) as i, 1 + c_custkey * 7 % 9 as q from customer),
+f as (select i, c_custkey, q, 1 as vehicle, q as load from s where i = 1 union all select s.i, s.c_custkey, s.q, case when f.load + s.q > 40 then f.vehicle + 1 else f.vehicle end, case when f.load + s.q > 40 then s.q else f.load + s.q end from f join s on s.i = f.i + 1)
+select c_custkey, vehicle::bigint as vehicle from f""")
+def e9_customers(spark, sf_dir):
+    """Customers in order of their block, packed into vehicles of 40."""
+    c = Region(spark, sf_dir).table("customer").select("c_nationkey", "c_custkey", (1 + F.col("c_custkey") * 7 % 9).cast("long").alias("q"))
+    return packed_in_order(c, "q", 40, "c_nationkey", "c_custkey").select("c_custkey", "vehicle")
 
 
 @query("e10_sector_merges", sql(f"with s as ({_SECTOR}) select a.sector, k::int as width, count(*)::bigint as n_blocks from (select distinct sector from s) a, (select unnest([1, 2, 3]) as k), s b where (b.sector - a.sector + 6) % 6 < k group by all", "blocks"))
