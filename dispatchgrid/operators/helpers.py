@@ -272,7 +272,7 @@ def s17(spark, sf_dir):
 q as (select block, greatest(10, count(*) filter (where u > cdf)) as q from u, c group by block) select block, q::bigint as q, round(q::double / sum(q) over (), 6) as share from q""", "blocks"))
 def s20(spark, sf_dir):
     """Ten or a Poisson draw of mean 50, whichever is more, and its share."""
-    q = Region(spark, sf_dir).blocks().select("block", F.greatest(F.lit(10), poisson_quantile(F.lit(50.0), E.hash_uniform(F.col("block"), "rd"), 140)).cast("bigint").alias("q"))
+    q = Region(spark, sf_dir).blocks().select("block", F.greatest(F.lit(10), poisson_quantile(F.lit(50.0), E.hash_uniform(F.col("block"), "rd"))).cast("bigint").alias("q"))
     return q.select("block", "q", R6(F.col("q") / F.sum("q").over(Window.partitionBy()), "share"))
 
 

@@ -23,10 +23,9 @@ HORIZON_H, SCENARIOS, MOST_FLEET = 1.0, 8, 40
 
 def requests(r: Region, arrivals: float, horizon: float = HORIZON_H, n: int = SCENARIOS) -> DataFrame:
     """s, t, service: when riders come and how long a vehicle is away with each; all fleets see the same."""
-    most = int(arrivals * horizon + 8 * math.sqrt(arrivals * horizon) + 20)  # a Poisson count lies beyond this less than once in 10**15
     s = r.spark.range(n).withColumnRenamed("id", "s")
     mean = F.coalesce("p", F.lit(0.0)) * arrivals * horizon
-    q = r.blocks().join(r.demand(), "block").crossJoin(F.broadcast(s)).withColumn("q", poisson_quantile(mean, hash_uniform(F.col("s") * 100 + F.col("block"), "od"), most)).where("q > 0")
+    q = r.blocks().join(r.demand(), "block").crossJoin(F.broadcast(s)).withColumn("q", poisson_quantile(mean, hash_uniform(F.col("s") * 100 + F.col("block"), "od"))).where("q > 0")
     each = q.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("q"))))
     key = (F.col("s") * 100 + F.col("block")) * 10000 + F.col("k")
     rad, ang = F.sqrt(hash_uniform(key, "odr")) * F.sqrt(F.col("area_km2") / math.pi), 2 * math.pi * hash_uniform(key, "oda")

@@ -8,25 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
+from dispatchgrid.functions.distributions import poisson_quantile
 from dispatchgrid.functions.exprs import SPEED_KMH, distance, hash_uniform, uniform_sql
 from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
+#: Terms that the SQL of small means sums; the means of a block are below 6.
 SCENARIOS, MOST = 20, 60
 
 
-def poisson_quantile(mean: Column, u: Column, most: int = MOST) -> Column:
-    """The least k whose Poisson probability of k or fewer reaches u, at most `most`: a fold over the running terms."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-mean).alias("term"), F.exp(-mean).alias("cdf"), F.lit(0).alias("out"))
-
-    def step(a: Column, i: Column) -> Column:
-        term = a["term"] * mean / i
-        return F.struct(i.alias("k"), term.alias("term"), (a["cdf"] + term).alias("cdf"), (a["out"] + F.when(u > a["cdf"], 1).otherwise(0)).alias("out"))
-
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step)["out"]
-
-
 #: The same quantile in SQL: how many of the running probabilities stay below u.
 _PMF = f"pm as (select block, k, sum(exp(-m + k * ln(m) - lgamma(k + 1.0))) over (partition by block order by k) as cdf, m from (select block, 6.0 * p as m from demand), (select unnest(range({MOST})) as k))"
 _U = uniform_sql("s * 100 + block", "demand")
@@ -46,6 +37,16 @@ def h29(spark, sf_dir):
     return scenario_demand(Region(spark, sf_dir))
 
 
+@query("h29_quantiles_of_any_mean", """with m as (select user_id % 25 as block, count(*)::double as mean from events group by 1), u as (select unnest([0.025, 0.5, 0.975])::double as u),
+c as (select block, mean, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1.0))) over (partition by block order by k) as cdf from (select block, mean, unnest(range((mean + 9 * sqrt(mean) + 40)::bigint)) as k from m))
+select block, mean::bigint as mean, round(u, 3) as u, min(k)::int as k from c, u where cdf >= u group by all""")
+def h29_any_mean(spark, sf_dir):
+    """Bounds and middle of the counts that each block's number of events would have as a Poisson mean, be it ten or a million."""
+    m = Region(spark, sf_dir).table("events").groupBy((F.col("user_id") % 25).alias("block")).agg(F.count("*").alias("mean"))
+    m = m.select("block", "mean", F.explode(F.array(*map(F.lit, (0.025, 0.5, 0.975)))).alias("u"))
+    return m.select("block", "mean", "u", poisson_quantile(F.col("mean").cast("double"), F.col("u")).alias("k"))
+
+
 @query("i6_district_scenarios", sql(_Q + " select s, district, sum(q)::bigint as q from q join blocks using (block) group by all", "demand", "blocks"))
 def i6(spark, sf_dir):
     r = Region(spark, sf_dir)

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
+from dispatchgrid.functions.distributions import t_two_sided
 from dispatchgrid.functions.medians import exact_medians
 from dispatchgrid.functions import exprs as E
 from dispatchgrid.operators.evaluate import ARRIVALS, TERMS_SQL, WR, _terms, newton_sql
@@ -31,6 +32,21 @@ def p2(spark, sf_dir):
     return a.select(R6((F.col("m_F") - F.col("m_O")) / F.sqrt(pooled * (1 / F.col("n_F") + 1 / F.col("n_O"))), "t"), df.alias("df"))
 
 
+@query("p2_two_sample_p", """with s as (select o_orderpriority as g, o_orderstatus = 'F' as f, avg(o_totalprice) as m, var_samp(o_totalprice) as v, count(*) as n from orders where o_orderstatus in ('F', 'O') group by all having count(*) > 1),
+t as (select a.g, (a.m - b.m) / sqrt(((a.n - 1) * a.v + (b.n - 1) * b.v) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n)) as t, (a.n + b.n - 2)::double as df from s a, s b where a.g = b.g and a.f and not b.f),
+w as (select g, t, df, i, case when i in (0, 4000) then 1 when i % 2 = 1 then 4 else 2 end * pow(1 + pow(abs(t) * i / 4000, 2) / df, -(df + 1) / 2) as y from t, (select unnest(range(4001)) as i))
+select g, round(t, 6) as t, df::bigint as df, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(df * pi()) * sum(y) * abs(t) / 12000, 6) as p from w group by g, t, df""")
+def p2_p(spark, sf_dir):
+    """The t statistic of each priority's finished against open orders, and its two-sided chance by the incomplete beta function."""
+    o = Region(spark, sf_dir).table("orders").where("o_orderstatus in ('F', 'O')")
+    of = lambda s: F.when(F.col("o_orderstatus") == s, F.col("o_totalprice"))
+    a = o.groupBy(F.col("o_orderpriority").alias("g")).agg(*(f(of(s)).alias(f"{n}_{s}") for s in "FO" for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count)))).where("n_F > 1 and n_O > 1")
+    df = F.col("n_F") + F.col("n_O") - 2
+    pooled = ((F.col("n_F") - 1) * F.col("v_F") + (F.col("n_O") - 1) * F.col("v_O")) / df
+    a = a.select("g", ((F.col("m_F") - F.col("m_O")) / F.sqrt(pooled * (1 / F.col("n_F") + 1 / F.col("n_O")))).alias("t"), df.alias("df"))
+    return a.select("g", R6("t", "t"), "df", R6(t_two_sided(F.col("t"), F.col("df")), "p"))
+
+
 @query("p4_root_density_integral", sql(f"select round(avg(sqrt(greatest(0, 1.5 - u))), 6) as integral from (select {E.uniform_sql('i', 'mc')} as u from (select unnest(range(5000)) as i))"))
 def p4(spark, sf_dir):
     u = E.hash_uniform(F.col("id"), "mc")
