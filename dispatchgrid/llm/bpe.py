@@ -157,7 +157,7 @@ class Bpe:
         yield from self.merge(bytes(held))
 
     def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(self.merge(word.encode()))
+        return tuple(self.stream((word.encode(),)))
 
     def _piece(self, key: str) -> tuple[int, ...]:
         words = _WORDS.findall(piece_text(key))

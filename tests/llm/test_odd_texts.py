@@ -2,10 +2,11 @@
 
 import time
 
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dispatchgrid.llm import language, lines, secrets, surrogates
+from dispatchgrid.llm import bpe, language, licenses, lines, secrets, surrogates
 
 N = 10_000_000
 
@@ -67,3 +68,51 @@ def test_given_names_differ_from_real_ones(spark):
     docs = spark.createDataFrame([(i, f"Mrs {g} Foo{'abcdefghijklmnop'[i]} came.") for i, g in enumerate(given)], "doc_id long, text string")
     out = [r["text"].split()[1] for r in surrogates.replace_pii(docs).collect()]
     assert not set(out) & set(given) and len(set(out)) == len(given)
+
+
+def test_licence_headers_in_their_usual_layout(spark):
+    """Wrapped at 70 signs and behind comment marks, as they stand in files."""
+    header = """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details."""
+    title = """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works."""
+    docs = spark.createDataFrame([(1, header), (2, title), (3, "This program shows the terms of the public."), (None, header)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs).collect()}
+    assert got == {1: "GPL-3.0-or-later", 2: "GPL-3.0", 3: None, None: "GPL-3.0-or-later"}
+
+
+def test_every_token_comes_out_of_the_stream(spark, monkeypatch):
+    """Merging happens inside the transducer only, and what it emits is what the encoding holds."""
+    machine, inside, emitted = bpe.Bpe(public_tokenizers.path("byte_bpe_50k.json")), [], []
+    stream, merge = bpe.Bpe.stream, bpe.Bpe.merge
+
+    def watched(self, chunks):
+        for t in stream(self, chunks):
+            emitted.append(t)
+            yield t
+
+    monkeypatch.setattr(bpe.Bpe, "stream", watched)
+    monkeypatch.setattr(bpe.Bpe, "merge", lambda self, data: inside.append(__import__("sys")._getframe(1).f_code.co_name) or merge(self, data))
+    texts = ["The cat sat on the mat. The cat!", "a" * 5000 + " " + "xyz" * 300, "Größe 12 <|endoftext|>\n\n  end"]
+    for text in texts:
+        emitted.clear()
+        machine.words.clear(), machine.memo.clear()
+        fresh = machine.encode(text)
+        assert set(fresh) - set(machine.special.values()) <= set(emitted)
+    assert set(inside) == {"stream"}
