@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
+from dispatchgrid.functions.kept import keep
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -17,30 +18,21 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """src, dst, km of the shortest paths from each seed: rounds of relaxation until nothing improves.
 
     Each round extends only what the last one improved and keeps the least km per pair with a combining aggregation.
-    Rounds are cut by checkpoint() where a checkpoint folder is set.
+    Rounds are written to the shared folder, which cuts the plan.
     """
-    spark = edges.sparkSession
     e = edges.select(F.col("src").alias("via"), F.col("dst").alias("to"), F.col("km").alias("step"))
     best = seeds.select(F.col("block").alias("src"), F.col("block").alias("dst"), F.lit(0.0).alias("km"))
     frontier = best
     while True:
         longer = frontier.join(e, F.col("dst") == F.col("via")).groupBy("src", F.col("to").alias("dst")).agg(F.min(F.col("km") + F.col("step")).alias("new"))
         better = longer.join(best, ["src", "dst"], "left").where(F.col("km").isNull() | (F.col("new") < F.col("km") - 1e-12)).select("src", "dst", F.col("new").alias("km"))
-        better = _cut(spark, better)
+        better = keep(better)
         if not better.limit(1).count():
             return best
-        best = _cut(spark, best.unionByName(better).groupBy("src", "dst").agg(F.min("km").alias("km")))
+        best = keep(best.unionByName(better).groupBy("src", "dst").agg(F.min("km").alias("km")))
         frontier = better
 
 
-def _cut(spark, df: DataFrame) -> DataFrame:
-    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-        return df.checkpoint()
-    return df.cache()
-
-
 @query("k1_all_pairs", sql("select src, dst, abs((src % 5) - (dst % 5)) + abs((src // 5) - (dst // 5))::double as km from dist", "blocks", "dist"))
 def k1(spark, sf_dir):
     """All pairs over the contiguity edges; on the unit grid the length is the city-block distance."""
@@ -87,7 +79,7 @@ def k7(spark, sf_dir):
 @query("k8_hull", sql("""with p as (select stop, x_km as x, y_km as y from stops), e as (select a.stop as a, b.stop as b from p a join p b on a.stop <> b.stop join p c on true group by a.stop, b.stop having max((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) <= 1e-9)
 select distinct a as stop from (select a from e union select b from e) h(a) where not exists (select 1 from p q1, p q2, p p0 where p0.stop = h.a and q1.stop <> h.a and q2.stop <> h.a and q1.stop <> q2.stop and abs((q1.x - p0.x) * (q2.y - p0.y) - (q1.y - p0.y) * (q2.x - p0.x)) <= 1e-9 and (q1.x - p0.x) * (q2.x - p0.x) + (q1.y - p0.y) * (q2.y - p0.y) < 0)""", "stops"))
 def k8(spark, sf_dir):
-    """Corners of the convex hull: each task reduces its places to their own hull, and one task joins the small hulls.
+    """Corners of the convex hull: each task reduces its places to their own hull, and these are joined eight by eight.
 
     All stops at a corner are returned.
     """
@@ -110,7 +102,11 @@ def k8(spark, sf_dir):
 
     p = Region(spark, sf_dir).stops().select("stop", F.col("x_km").alias("x"), F.col("y_km").alias("y"))
     schema = "x double, y double"
-    corners = p.select("x", "y").mapInPandas(chain, schema).coalesce(1).mapInPandas(chain, schema)
+    corners = keep(p.select("x", "y").mapInPandas(chain, schema))
+    n = corners.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // 8)
+        corners = keep(corners.repartition(n).mapInPandas(chain, schema))
     return p.join(F.broadcast(corners), ["x", "y"]).select("stop")
 
 
@@ -123,17 +119,20 @@ def k10(spark, sf_dir):
     return nearest(grid(spark, 40, 5.0), c, "cell", "district").select("cell", F.col("pick").alias("district"))
 
 
-@query("k11_grid_instance", sql("select i::int as block, (i % 6)::int as col, (i // 6)::int as row, 100.0 / 36 as area from (select unnest(range(36)) as i)".replace("100.0 / 36 as area", "round(100.0::double / 36, 6) as area")))
+@query("k11_grid_instance", sql("select i::int as block, (i % m)::int as col, (i // m)::int as row, round(100.0::double / (m * m), 6) as area from (select c_custkey as i from customer), (select floor(sqrt(count(*)))::bigint as m from customer) where i < m * m"))
 def k11(spark, sf_dir):
-    i = F.col("id").cast("int")
-    return spark.range(36).select(i.alias("block"), (i % 6).alias("col"), F.floor(i / 6).cast("int").alias("row"), F.round(F.lit(100.0) / 36, 6).alias("area"))
+    """The largest square grid that there are customers for, ten kilometres wide."""
+    c = Region(spark, sf_dir).table("customer")
+    m = int(c.count() ** 0.5)
+    i = F.col("c_custkey").cast("int")
+    return c.where(i < m * m).select(i.alias("block"), (i % m).alias("col"), F.floor(i / m).cast("int").alias("row"), F.round(F.lit(100.0) / (m * m), 6).alias("area"))
 
 
 _ANGLES = 360
 
 
 @query("k12_ham_sandwich", sql(f"""with b as (select block, x_km, y_km, coalesce(p, 0) as p from blocks left join demand using (block)), r as (select a, block, sum(p) over w as mass, count(*) over w as n from b, (select unnest(range({_ANGLES})) as a) window w as (partition by a order by round(x_km * cos(a * 2 * pi() / {_ANGLES}) + y_km * sin(a * 2 * pi() / {_ANGLES}), 9) desc, block rows unbounded preceding))
-select arg_min(a, (round(abs(mass - 0.5) + abs(n / 25.0 - 0.5), 9), a, n))::bigint as angle, round(min(abs(mass - 0.5) + abs(n / 25.0 - 0.5)), 6) as error from r""", "blocks", "demand"))
+select arg_min(a, (round(abs(mass - 0.5) + abs(n / every - 0.5), 9), a, n))::bigint as angle, round(min(abs(mass - 0.5) + abs(n / every - 0.5)), 6) as error from r, (select count(*)::double as every from blocks)""", "blocks", "demand"))
 def k12(spark, sf_dir):
     """Over angles, the line that comes nearest to halving both demand and area."""
     r = Region(spark, sf_dir)
@@ -141,7 +140,7 @@ def k12(spark, sf_dir):
     ang = F.col("a") * (2 * math.pi / _ANGLES)
     w = Window.partitionBy("a").orderBy(F.desc(F.round(F.col("x_km") * F.cos(ang) + F.col("y_km") * F.sin(ang), 9)), "block").rowsBetween(Window.unboundedPreceding, 0)
     b = b.select("a", F.sum(F.coalesce("p", F.lit(0.0))).over(w).alias("mass"), F.count("*").over(w).alias("n"))
-    error = F.abs(F.col("mass") - 0.5) + F.abs(F.col("n") / 25.0 - 0.5)
+    error = F.abs(F.col("mass") - 0.5) + F.abs(F.col("n") / float(r.blocks().count()) - 0.5)
     return b.agg(F.min_by("a", F.struct(F.round(error, 9), "a", "n")).alias("angle"), R6(F.min(error), "error"))
 
 
@@ -160,15 +159,15 @@ def m9(spark, sf_dir):
 
 def lloyd(r: Region, roots: DataFrame) -> DataFrame:
     """block, root: alternate nearest-centre assignment and one-median recentring until the centres stay or come again."""
-    d = _cut(r.spark, r.distances())
+    d = keep(r.distances())
     centers = roots.select(F.col("root").alias("center"))
     seen = []
     while True:
         near = d.join(F.broadcast(centers), F.col("dst") == F.col("center")).groupBy(F.col("src").alias("block")).agg(F.min_by("center", F.struct(F.round("km", 9), "center")).alias("root"))
-        near = _cut(r.spark, near)
+        near = keep(near)
         a, b = near.select(F.col("block").alias("src"), "root"), near.select(F.col("block").alias("dst"), "root")
         totals = a.join(b, "root").join(d, ["src", "dst"]).groupBy("root", "src").agg(F.sum("km").alias("s"))
-        centers = _cut(r.spark, totals.groupBy("root").agg(F.min_by("src", F.struct(F.round("s", 9), "src")).alias("center")).select("center"))
+        centers = keep(totals.groupBy("root").agg(F.min_by("src", F.struct(F.round("s", 9), "src")).alias("center")).select("center"))
         now = centers.agg(F.sort_array(F.collect_list("center"))).first()[0]  # one entry per district
         if now in seen:
             return near

@@ -57,9 +57,11 @@ def settings(spark, **values: list) -> DataFrame:
     return out
 
 
-@query("c23_settings_grid", "select mode, l::double as arrivals_h, w::double as wr from (values ('joint'), ('spatial'), ('pooled')) a(mode), (values (50), (150), (300)) b(l), (values (1), (3), (10)) c(w)")
+@query("c23_settings_grid", "select mode, l::double as arrivals_h, w::double as wr from (select distinct o_orderpriority as mode from orders), (select distinct p_size * 10 as l from part where p_size <= 20), (select distinct l_linenumber as w from lineitem)")
 def c23(spark, sf_dir):
-    return settings(spark, mode=["joint", "spatial", "pooled"], arrivals_h=[50.0, 150.0, 300.0], wr=[1.0, 3.0, 10.0])
+    r = Region(spark, sf_dir)
+    values = lambda t, c: sorted(x[0] for x in r.table(t).select(c).distinct().collect())  # noqa: E731  kinds, a few of each
+    return settings(spark, mode=values("orders", F.col("o_orderpriority")), arrivals_h=[v * 10.0 for v in values("part", F.col("p_size")) if v <= 20], wr=[float(v) for v in values("lineitem", F.col("l_linenumber"))])
 
 
 def mesh(spark, lo: float, hi: float, res: int) -> DataFrame:
@@ -69,9 +71,12 @@ def mesh(spark, lo: float, hi: float, res: int) -> DataFrame:
     return spark.range(res * res).select(i.alias("ix"), j.alias("iy"), (lo + i * step).alias("x"), (lo + j * step).alias("y"))
 
 
-@query("c24_grid_mesh", "select ix, iy, round(ix * (4.0::double / 99), 6) as x, round(iy * (4.0::double / 99), 6) as y from (select unnest(range(100)) as ix), (select unnest(range(100)) as iy)")
+@query("c24_grid_mesh", "select ix, iy, round(lo + ix * ((hi - lo) / (n - 1)), 6) as x, round(lo + iy * ((hi - lo) / (n - 1)), 6) as y from (select min(s_acctbal) as lo, max(s_acctbal) as hi, (select 4 * count(*) from nation) as n from supplier), lateral (select unnest(range(n)) as ix), lateral (select unnest(range(n)) as iy)")
 def c24(spark, sf_dir):
-    return mesh(spark, 0.0, 4.0, 100).select("ix", "iy", R6("x", "x"), R6("y", "y"))
+    """A mesh over the range of balances, with four lines a block."""
+    r = Region(spark, sf_dir)
+    b = r.table("supplier").agg(F.min("s_acctbal").alias("lo"), F.max("s_acctbal").alias("hi")).first()
+    return mesh(spark, b["lo"], b["hi"], 4 * r.blocks().count()).select("ix", "iy", R6("x", "x"), R6("y", "y"))
 
 
 def stamped(prefix: str, at: Column, suffix: str) -> Column:
@@ -246,9 +251,10 @@ def mixture_pdf(x: Column, y: Column) -> Column:
     return sum(terms[1:], terms[0])
 
 
-@query("s18_mixture_on_grid", f"select ix, iy, round({_PDF}, 9) as pdf from (select ix, iy, ix * (4.0::double / 49) as x, iy * (4.0::double / 49) as y from (select unnest(range(50)) as ix), (select unnest(range(50)) as iy))")
+@query("s18_mixture_on_grid", f"select ix, iy, round({_PDF}, 9) as pdf from (select ix, iy, ix * (w / 49) as x, iy * (w / 49) as y from (select unnest(range(50)) as ix), (select unnest(range(50)) as iy), (select max(n_nationkey % 5)::double as w from nation))")
 def s18(spark, sf_dir):
-    return mesh(spark, 0.0, 4.0, 50).select("ix", "iy", F.round(mixture_pdf(F.col("x"), F.col("y")), 9).alias("pdf"))
+    width = Region(spark, sf_dir).blocks().agg(F.max("x_km")).first()[0]
+    return mesh(spark, 0.0, width, 50).select("ix", "iy", F.round(mixture_pdf(F.col("x"), F.col("y")), 9).alias("pdf"))
 
 
 _K, _A, _B = U("i", "mk"), f"greatest({U('i', 'ma')}, 1e-12)", U("i", "mb")
@@ -284,10 +290,11 @@ def setting_named(configs: DataFrame, name: str) -> DataFrame:
     return found
 
 
-@query("s21_named_setting", "select 'medium' as name, 25::int as blocks, 5::int as districts")
+@query("s21_named_setting", "select r_name as name, count(*)::int as blocks, (r_regionkey + 2)::int as districts from region join nation on n_regionkey = r_regionkey where r_name = 'ASIA' group by r_name, r_regionkey")
 def s21(spark, sf_dir):
-    rows = spark.range(1).select(F.inline(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(b).alias("blocks"), F.lit(k).alias("districts")) for n, b, k in (("small", 9, 2), ("medium", 25, 5), ("large", 100, 8))))))
-    return setting_named(rows, "medium")
+    r = Region(spark, sf_dir)
+    rows = r.table("region").join(r.table("nation"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("name"), (F.col("r_regionkey") + 2).cast("int").alias("districts")).agg(F.count("*").cast("int").alias("blocks"))
+    return setting_named(rows.select("name", "blocks", "districts"), "ASIA")
 
 
 @query("s22_metadata_fallback", sql("""select block, coalesce(a, r, c, -1)::int as root from blocks left join (select block, district as a from blocks where block % 4 = 0) using (block) left join (select block, district + 10 as r from blocks where block % 3 = 0) using (block) left join (select block, district + 20 as c from blocks where block % 2 = 0) using (block)""", "blocks"))

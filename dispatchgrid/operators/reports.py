@@ -11,6 +11,7 @@ from dispatchgrid.catalog import query
 from dispatchgrid.functions import exprs as E
 from dispatchgrid.operators.evaluate import ARRIVALS, TERMS_SQL, WR, _terms, newton_sql
 from dispatchgrid.operators.scenarios import _Q, _RIDERS, _requests, scenario_demand
+from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -78,7 +79,7 @@ def i5(spark, sf_dir):
 _CENTERS = ((0.25, 0.25, 0.40), (0.75, 0.25, 0.35), (0.50, 0.75, 0.25))
 
 
-@query("i10_truncated_mixture", sql(f"""with u as (select i, {E.uniform_sql('i', 'k')} as k, greatest({E.uniform_sql('i', 'a')}, 1e-12) as a, {E.uniform_sql('i', 'b')} as b from (select unnest(range(800)) as i)),
+@query("i10_truncated_mixture", sql(f"""with u as (select i, {E.uniform_sql('i', 'k')} as k, greatest({E.uniform_sql('i', 'a')}, 1e-12) as a, {E.uniform_sql('i', 'b')} as b from (select c_custkey as i from customer)),
 p as (select i, case when k < 0.40 then 0.25 when k < 0.75 then 0.75 else 0.5 end + 0.1 * sqrt(-2 * ln(a)) * cos(2 * pi() * b) as x, case when k < 0.75 then 0.25 else 0.75 end + 0.1 * sqrt(-2 * ln(a)) * sin(2 * pi() * b) as y from u),
 r as (select *, row_number() over (order by i) as n from p where x between 0 and 1 and y between 0 and 1) select i, round(x, 6) as x, round(y, 6) as y from r where n <= 500"""))
 def i10(spark, sf_dir):
@@ -88,8 +89,9 @@ def i10(spark, sf_dir):
     k = u("k")
     x = F.when(k < 0.40, _CENTERS[0][0]).when(k < 0.75, _CENTERS[1][0]).otherwise(_CENTERS[2][0]) + r * F.cos(2 * math.pi * u("b"))
     y = F.when(k < 0.75, _CENTERS[0][1]).otherwise(_CENTERS[2][1]) + r * F.sin(2 * math.pi * u("b"))
-    p = spark.range(800).select(F.col("id").alias("i"), x.alias("x"), y.alias("y")).where(F.col("x").between(0, 1) & F.col("y").between(0, 1))
-    return p.withColumn("n", F.row_number().over(Window.orderBy("i"))).where("n <= 500").select("i", R6("x", "x"), R6("y", "y"))
+    own = Region(spark, sf_dir).table("customer").select(F.col("c_custkey").alias("id"))
+    p = own.select(F.col("id").alias("i"), x.alias("x"), y.alias("y")).where(F.col("x").between(0, 1) & F.col("y").between(0, 1))
+    return Ordered(p, "i").running(n=F.lit(1)).where("n <= 500").select("i", R6("x", "x"), R6("y", "y"))
 
 
 _KEY = "(s * 100 + block) * 100 + k"
@@ -233,13 +235,13 @@ _BETA = f"list_sort([{', '.join(E.uniform_sql('i', f'b{k}') for k in range(6))}]
 _NORM = f"least(1.0, greatest(0.0, 0.5 + 0.2 * sqrt(-2 * ln(greatest({E.uniform_sql('i', 'na')}, 1e-12))) * cos(2 * pi() * {E.uniform_sql('i', 'nb')})))"
 
 
-@query("s24_unit_square_densities", sql(f"with d as (select {E.uniform_sql('i', 'u')} as u, {_BETA} as b, {_NORM} as n from (select unnest(range(3000)) as i)) select round(avg(u), 6) as uniform_mean, round(avg(b), 6) as beta_mean, round(avg(30 * b * pow(1 - b, 4)), 6) as beta_density, round(avg(n), 6) as normal_mean, count(*) filter (where n = 0 or n = 1)::bigint as clipped from d"))
+@query("s24_unit_square_densities", sql(f"with d as (select {E.uniform_sql('i', 'u')} as u, {_BETA} as b, {_NORM} as n from (select o_orderkey as i from orders)) select round(avg(u), 6) as uniform_mean, round(avg(b), 6) as beta_mean, round(avg(30 * b * pow(1 - b, 4)), 6) as beta_density, round(avg(n), 6) as normal_mean, count(*) filter (where n = 0 or n = 1)::bigint as clipped from d"))
 def s24(spark, sf_dir):
     """Uniform, Beta(2, 5) (the second of six uniforms) and clipped normal draws, and the Beta density at its own draws."""
     u = lambda salt: E.hash_uniform(F.col("id"), salt)
     beta = F.get(F.array_sort(F.array(*(u(f"b{k}") for k in range(6)))), F.lit(1))
     normal = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 + 0.2 * F.sqrt(-2 * F.log(F.greatest(u("na"), F.lit(1e-12)))) * F.cos(2 * math.pi * u("nb"))))
-    d = spark.range(3000).select(u("u").alias("u"), beta.alias("b"), normal.alias("n"))
+    d = Region(spark, sf_dir).table("orders").select(F.col("o_orderkey").alias("id")).select(u("u").alias("u"), beta.alias("b"), normal.alias("n"))
     return d.agg(R6(F.avg("u"), "uniform_mean"), R6(F.avg("b"), "beta_mean"), R6(F.avg(30 * F.col("b") * F.pow(1 - F.col("b"), 4)), "beta_density"), R6(F.avg("n"), "normal_mean"), F.count_if((F.col("n") == 0) | (F.col("n") == 1)).alias("clipped"))
 
 

@@ -295,9 +295,12 @@ def h32(spark, sf_dir):
     return Region(spark, sf_dir).stops().select("stop", R6(F.when(a < 0, a + 2 * math.pi).otherwise(a), "angle"))
 
 
-@query("h33_spaces", sql("select i::int as i, round(1 + i * 0.5, 6) as lin, round(pow(10, i / 4.0), 6) as log from (select unnest(range(9)) as i)"))
+@query("h33_spaces", sql("select i::int as i, round(lo + i * (hi - lo) / 8.0, 6) as lin, round(lo * pow(hi / lo, i / 8.0), 6) as log from (select unnest(range(9)) as i), (select min(p_size)::double as lo, max(p_size)::double as hi from part)"))
 def h33(spark, sf_dir):
-    r = spark.range(1).select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("i"), (1 + i * 0.5).alias("lin"), F.pow(F.lit(10.0), i / 4.0).alias("log")))).alias("s"))
+    """Nine values from the least size of a part to the largest, in even steps and in even ratios."""
+    r = Region(spark, sf_dir).table("part").agg(F.min("p_size").cast("double").alias("lo"), F.max("p_size").cast("double").alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    r = r.select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(i.alias("i"), (lo + i * (hi - lo) / 8.0).alias("lin"), (lo * F.pow(hi / lo, i / 8.0)).alias("log")))).alias("s"))
     return r.select("s.i", R6("s.lin", "lin"), R6("s.log", "log"))
 
 

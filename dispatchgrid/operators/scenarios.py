@@ -202,10 +202,10 @@ def i12(spark, sf_dir):
     return _requests(Region(spark, sf_dir)).groupBy("s").agg(R6(F.avg(1.0 - F.col("release_h")), "wait_h"), R6(F.sum(2 * distance(F.col("x"), F.col("y"), F.lit(2.0), F.lit(2.0))), "km"))
 
 
-@query("i17_service_level", sql(f"select min(v)::int as vehicles from (select v, avg(case when 1.2 * (0.5 + {uniform_sql('i', 'tour')}) / {SPEED_KMH} * 100 <= v then 1.0 else 0.0 end) as level from (select unnest(range(2000)) as i), (select unnest(range(1, 21)) as v) group by v) where level >= 0.95"))
+@query("i17_service_level", sql(f"select min(v)::int as vehicles from (select v, avg(case when 1.2 * (0.5 + {uniform_sql('i', 'tour')}) / {SPEED_KMH} * 100 <= v then 1.0 else 0.0 end) as level from (select o_orderkey as i from orders), (select unnest(range(1, 21)) as v) group by v) where level >= 0.95"))
 def i17(spark, sf_dir):
     """The fewest vehicles that finish in time in 95 of 100 scenarios."""
-    tours = spark.range(2000).select((1.2 * (0.5 + hash_uniform(F.col("id"), "tour")) / SPEED_KMH * 100).alias("need"))
+    tours = Region(spark, sf_dir).table("orders").select((1.2 * (0.5 + hash_uniform(F.col("o_orderkey"), "tour")) / SPEED_KMH * 100).alias("need"))
     v = tours.select("need", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("v"))
     level = v.groupBy("v").agg(F.avg(F.when(F.col("need") <= F.col("v"), 1.0).otherwise(0.0)).alias("level"))
     return level.where("level >= 0.95").agg(F.min("v").alias("vehicles"))

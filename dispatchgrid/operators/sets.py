@@ -50,9 +50,10 @@ def g6(spark, sf_dir):
     return spark.range(0, 3000, 7).join(c, "id", "left").select("id", F.coalesce("got", F.lit(False)).alias("available"))
 
 
-@query("g7_candidate_fleets", sql("select distinct f::bigint as fleet from (select k * d as f from (select unnest(range(1, 6)) as k), (select unnest(range(1, 6)) as d) union select k * d + k from (select unnest(range(1, 6)) as k), (select unnest(range(1, 6)) as d)) where f between 1 and 20"))
+@query("g7_candidate_fleets", sql("with k as (select distinct l_linenumber as k from lineitem) select distinct f::bigint as fleet from (select a.k * b.k as f from k a, k b union select a.k * b.k + a.k from k a, k b) where f between 1 and 20"))
 def g7(spark, sf_dir):
-    k = spark.range(1, 6).select(F.col("id").alias("k")).crossJoin(spark.range(1, 6).select(F.col("id").alias("d")))
+    k = Region(spark, sf_dir).table("lineitem").select(F.col("l_linenumber").cast("long").alias("k")).distinct()
+    k = k.crossJoin(F.broadcast(k.withColumnRenamed("k", "d")))  # line numbers are a handful
     return k.select((F.col("k") * F.col("d")).alias("fleet")).union(k.select(F.col("k") * F.col("d") + F.col("k"))).where("fleet between 1 and 20").distinct()
 
 

@@ -47,16 +47,16 @@ def p2_p(spark, sf_dir):
     return a.select("g", R6("t", "t"), "df", R6(t_two_sided(F.col("t"), F.col("df")), "p"))
 
 
-@query("p4_root_density_integral", sql(f"select round(avg(sqrt(greatest(0, 1.5 - u))), 6) as integral from (select {E.uniform_sql('i', 'mc')} as u from (select unnest(range(5000)) as i))"))
+@query("p4_root_density_integral", sql(f"select round(avg(sqrt(greatest(0, 1.5 - u))), 6) as integral from (select {E.uniform_sql('i', 'mc')} as u from (select o_orderkey as i from orders))"))
 def p4(spark, sf_dir):
-    u = E.hash_uniform(F.col("id"), "mc")
-    return spark.range(5000).agg(R6(F.avg(F.sqrt(F.greatest(F.lit(0.0), 1.5 - u))), "integral"))
+    u = E.hash_uniform(F.col("o_orderkey"), "mc")
+    return Region(spark, sf_dir).table("orders").agg(R6(F.avg(F.sqrt(F.greatest(F.lit(0.0), 1.5 - u))), "integral"))
 
 
-@query("p5_interval_curve", sql(f"select round(n * 0.25, 6) as alpha, round({newton_sql('4.0', '(n * 0.25)', str(ARRIVALS), str(WR))}, 6) as T from (select unnest(range(1, 21))::double as n)"))
+@query("p5_interval_curve", sql(f"select round(n * 0.25, 6) as alpha, round({newton_sql('4.0', '(n * 0.25)', str(ARRIVALS), str(WR))}, 6) as T from (select distinct p_size::double as n from part)"))
 def p5(spark, sf_dir):
     """The optimal interval over a range of tour coefficients."""
-    a = spark.range(1, 21).select((F.col("id") * 0.25).alias("alpha"))
+    a = Region(spark, sf_dir).table("part").select((F.col("p_size") * 0.25).alias("alpha")).distinct()
     return a.select(R6("alpha", "alpha"), R6(E.dispatch_interval(F.lit(4.0), F.col("alpha"), F.lit(ARRIVALS), F.lit(WR)), "T"))
 
 
@@ -92,9 +92,10 @@ def p10(spark, sf_dir):
     return t.agg(R6(worst, "worst_total_h"), R6(F.sum(F.col("mass") * F.col("T") / 2) / F.greatest(F.sum("mass"), F.lit(1e-12)), "mean_wait_h"))
 
 
-@query("p11_local_constant", sql("select round(2287 / (sqrt(214.0) * 210), 6) as beta"))
+@query("p11_local_constant", sql("select round(sum(secs) / (sqrt(count(*)) * 210), 6) as beta from stops", "stops"))
 def p11(spark, sf_dir):
-    return spark.range(1).select(R6(F.lit(2287.0) / (F.sqrt(F.lit(214.0)) * 210), "beta"))
+    """The constant of a service from its length, its stops and its area."""
+    return Region(spark, sf_dir).stops().agg(R6(F.sum("secs") / (F.sqrt(F.count("*")) * 210), "beta"))
 
 
 @query("o18_population_demand", sql("select c_custkey as block, round(case when sum(w) over () > 0 then w / sum(w) over () else 1.0 / count(*) over () end, 9) as p from (select c_custkey, greatest(c_acctbal, 0) as w from customer)"))

@@ -14,13 +14,13 @@ R6 = lambda c, n: F.round(c, 6).alias(n)
 
 
 @query("e1_two_target_cut", sql("""with r as (select block, sum(coalesce(p, 0)) over (order by x_km * 0.8 + y_km * 0.6 desc, block rows unbounded preceding) as mass, count(*) over (order by x_km * 0.8 + y_km * 0.6 desc, block rows unbounded preceding) as area from blocks left join demand using (block))
-select arg_min(block, (round(abs(mass - 0.5) + abs(area / 25.0 - 0.5), 9), area)) as block, round(min(abs(mass - 0.5) + abs(area / 25.0 - 0.5)), 6) as error from r""", "blocks", "demand"))
+select arg_min(block, (round(abs(mass - 0.5) + abs(area / every - 0.5), 9), area)) as block, round(min(abs(mass - 0.5) + abs(area / every - 0.5)), 6) as error from r, (select count(*)::double as every from blocks)""", "blocks", "demand"))
 def e1(spark, sf_dir):
     """The place along a direction where running mass and running area come nearest to their shares."""
     r = Region(spark, sf_dir)
     b = r.blocks().join(r.demand(), "block", "left").select("block", (-(F.col("x_km") * 0.8 + F.col("y_km") * 0.6)).alias("along"), F.coalesce("p", F.lit(0.0)).alias("p"))
     b = Ordered(b, "along", "block").running(mass=F.col("p"), area=F.lit(1))
-    error = F.abs(F.col("mass") - 0.5) + F.abs(F.col("area") / 25.0 - 0.5)
+    error = F.abs(F.col("mass") - 0.5) + F.abs(F.col("area") / float(r.blocks().count()) - 0.5)
     return b.agg(F.min_by("block", F.struct(F.round(error, 9), "area")).alias("block"), R6(F.min(error), "error"))
 
 
