@@ -230,10 +230,10 @@ def s5(spark, sf_dir):
     return d.agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("block")), lambda b: b.cast("string")), ",").alias("members"), R6(F.sum(F.coalesce("p", F.lit(0.0))), "mass"))
 
 
-@query("s7_defaults", sql("select block, coalesce(k, 0.0)::double as k, coalesce(f, 0.0)::double as f from blocks left join (select s_nationkey as block, max(s_acctbal)::double as k, min(s_acctbal)::double as f from supplier where s_suppkey % 2 = 0 group by s_nationkey) using (block)", "blocks"))
+@query("s7_defaults", sql("select block, coalesce(k, 0.0)::double as k, coalesce(f, 0.0)::double as f from blocks left join (select s_nationkey as block, max(s_acctbal)::double as k, min(s_acctbal)::double as f from supplier group by s_nationkey) using (block)", "blocks"))
 def s7(spark, sf_dir):
     r = Region(spark, sf_dir)
-    known = r.table("supplier").where("s_suppkey % 2 = 0").groupBy(F.col("s_nationkey").alias("block")).agg(F.max("s_acctbal").cast("double").alias("k"), F.min("s_acctbal").cast("double").alias("f"))
+    known = r.table("supplier").groupBy(F.col("s_nationkey").alias("block")).agg(F.max("s_acctbal").cast("double").alias("k"), F.min("s_acctbal").cast("double").alias("f"))
     return r.blocks().select("block").join(known, "block", "left").fillna(0.0)
 
 

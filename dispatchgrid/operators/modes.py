@@ -46,10 +46,10 @@ def o21(spark, sf_dir):
     return g.groupBy("theta").agg(F.min_by("T", F.struct(F.round("cost", 9), "T")).alias("T"), R6(F.min("cost"), "cost")).withColumn("theta", F.round("theta", 6))
 
 
-@query("o9_on_demand", sql("with d as (select sum(p * sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2)) as km from demand join blocks using (block)), f as (select v, km, 150 * 2 * km / 30.0 / v as busy from d, (select unnest(range(1, 81)) as v)) select min(v)::bigint as fleet, round(any_value(150 * 2 * km), 6) as km_per_h from f where busy <= 0.85", "demand", "blocks"))
+@query("o9_on_demand", sql("with d as (select sum(p * sqrt((x_km - 2) ** 2 + (y_km - 2) ** 2)) as km from demand join blocks using (block)), f as (select unnest(range(1, ceil(150 * 2 * km / 30.0 / 0.85)::bigint + 2)) as v, km from d) select min(v)::bigint as fleet, round(any_value(150 * 2 * km), 6) as km_per_h from f where 150 * 2 * km / 30.0 / v <= 0.85", "demand", "blocks"))
 def o9(spark, sf_dir):
     """Every rider alone from the depot: the smallest fleet at most 85 in 100 busy, and the km driven an hour."""
     r = Region(spark, sf_dir)
     d = r.demand().join(r.blocks(), "block").agg(F.sum(F.col("p") * E.distance(F.col("x_km"), F.col("y_km"), F.lit(2.0), F.lit(2.0))).alias("km"))
-    f = d.select("km", F.explode(F.sequence(F.lit(1).cast("bigint"), F.lit(80).cast("bigint"))).alias("v")).where(150 * 2 * F.col("km") / 30.0 / F.col("v") <= 0.85)
+    f = d.select("km", F.explode(F.sequence(F.lit(1).cast("bigint"), F.ceil(150 * 2 * F.col("km") / 30.0 / 0.85) + 1)).alias("v")).where(150 * 2 * F.col("km") / 30.0 / F.col("v") <= 0.85)
     return f.agg(F.min("v").alias("fleet"), R6(F.first(150 * 2 * F.col("km")), "km_per_h"))

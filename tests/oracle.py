@@ -3,7 +3,7 @@
 import duckdb
 import pandas as pd
 
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations clicks sales sale_lines clients client_changes vendors items stamps".split()
 
 
 def connect(sf_dir):
@@ -17,8 +17,10 @@ def rows(df):
     df = df[sorted(df.columns)]
 
     def plain(v):
-        if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
             return None
+        if isinstance(v, float) and v.is_integer():  # whole numbers of a column with nulls
+            return int(v)
         if isinstance(v, (bool, int, str)):
             return v
         if hasattr(v, "isoformat"):
