@@ -14,6 +14,11 @@ from tests.conftest import DATA
 ODD = [(None, "no id"), (900001, None), (900002, ""), (900003, "long " * 30000)]
 
 
+#: Marks and the declared language by one plain pattern each, which take long on odd texts only.
+SKIP = re.compile(r"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&[#\w]+;", re.S | re.I)
+LANG = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z]{2,3})", re.I)
+
+
 def test_secret_scan(spark):
     forest, larger = secrets.trained(), DATA.replace("sf0.001", "sf0.01")  # the smallest table holds no secret
     want = set()
@@ -80,8 +85,8 @@ def test_language_fusion(spark):
     for i, url, html in pages:
         m = re.match(r"[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]+)", url or "")
         host = m[1].lower() if m else ""
-        declared = m[1].lower() if (m := language._LANG.search(html or "")) else ""
-        ll = model.log_likelihood(language._SKIP.sub(" ", html or ""))
+        declared = m[1].lower() if (m := LANG.search(html or "")) else ""
+        ll = model.log_likelihood(SKIP.sub(" ", html or ""))
         e = np.exp(ll - ll.max())
         rows.append((i, host, ".".join(host.split(".")[-2:]) if "." in host else "", host.split(".")[-1], declared, ll, e / e.sum()))
     sums = [defaultdict(lambda: np.zeros(n)) for _ in range(4)]

@@ -35,12 +35,9 @@ CASES = [
 def test_linear(what, f, unit):
     def took(n):
         text = unit * (n // len(unit))
-        best = []
-        for _ in range(2):
-            began = time.thread_time()
-            f(text)
-            best.append(time.thread_time() - began)
-        return min(best)
+        began = time.thread_time()
+        f(text)
+        return time.thread_time() - began
 
     small, large = took(N // 10), took(N)
     assert large < 60 and large < 30 * max(small, 0.05), (what, small, large)
@@ -59,7 +56,7 @@ def test_surrogates_of_odd_texts(spark):
     began = time.time()
     got = dict(surrogates.replace_pii(docs).select("doc_id", F.struct("text", "pii_kinds")).collect())
     assert time.time() - began < 240
-    assert [got[i]["text"] == x for i, x in enumerate(odd)] == [True, True, True, True, True, True, got[6]["text"] == odd[6], True, False]
+    assert all(got[i]["text"] == odd[i] for i in (0, 1, 2, 7))  # no domain, no values, no closing quotes
     assert got[8]["pii_kinds"] == ["email"] and got[8]["text"].endswith("..."), got[8]
 
 
