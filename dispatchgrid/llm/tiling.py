@@ -95,13 +95,25 @@ def tile(item: np.ndarray, text: np.ndarray, least: int = MIN_MATCH, where: np.n
         to, other = to[order], other[order]
         left, right = np.searchsorted(other, own), np.searchsorted(other, own, "right")
         found = False
+        waits: dict[int, list[int]] = {}  # by first place in `to`: the text's places with that hash, those still free last to first
         for p, i, j in zip(at.tolist(), left.tolist(), right.tolist(), strict=True):
-            for t in to[i:j].tolist():
-                if a.free(p, most) and b.free(t, most) and (item[p : p + most] == text[t : t + most]).all():
+            if i == j or not a.free(p, most):
+                continue
+            if i not in waits:
+                waits[i] = to[i:j][::-1].tolist()
+            unlike = []
+            while waits[i]:
+                t = waits[i].pop()
+                if not b.free(t, most):
+                    continue
+                if (item[p : p + most] == text[t : t + most]).all():
                     a.mark(p, most)
                     b.mark(t, most)
                     tiles.append((p, t, most))
                     found = True
+                    break
+                unlike.append(t)
+            waits[i] += reversed(unlike)
         if not found:  # equal hashes of unequal runs alone
             most -= 1
     return tiles
@@ -128,17 +140,20 @@ class Benchmark:
         hit = np.flatnonzero(self.seeds[np.minimum(at, len(self.seeds) - 1)] == grams)
         if not len(hit):
             return
-        left, right = np.searchsorted(self.seeds, grams[hit]), np.searchsorted(self.seeds, grams[hit], "right")
-        seen: dict[int, tuple[set[int], list[int]]] = defaultdict(lambda: (set(), []))
-        for t, i, j in zip(hit.tolist(), left.tolist(), right.tolist(), strict=True):
+        # Each distinct seed of the text once: its places in the items, and, for items that may qualify, those in the text.
+        distinct, which = np.unique(grams[hit], return_inverse=True)
+        left, right = np.searchsorted(self.seeds, distinct), np.searchsorted(self.seeds, distinct, "right")
+        seen: dict[int, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
+        for g, i, j in zip(range(len(distinct)), left.tolist(), right.tolist(), strict=True):
             for k, p in zip(self.owner[i:j].tolist(), self.place[i:j].tolist(), strict=True):
-                seen[k][0].add(p)
-                seen[k][1].append(t)
-        for k, (starts, ends) in seen.items():
+                seen[k][0].append(p)
+                if not seen[k][1] or seen[k][1][-1] != g:
+                    seen[k][1].append(g)
+        for k, (starts, seeds) in seen.items():
             i, item = self.items[k]
             if self._reach(len(item), starts).sum() < least_coverage * len(item):
                 continue
-            tiles = tile(item, text, self.least, self._reach(len(text), ends))
+            tiles = tile(item, text, self.least, self._reach(len(text), hit[np.isin(which, seeds)]))
             coverage = sum(n for *_, n in tiles) / len(item)
             if coverage >= least_coverage:
                 yield i, coverage, len(tiles), max(n for *_, n in tiles)

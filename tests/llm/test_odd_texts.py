@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from dispatchgrid.llm import bpe, language, licenses, lines, secrets, surrogates
+from dispatchgrid.llm import bpe, language, licenses, lines, secrets, surrogates, tiling
 
 N = 10_000_000
 
@@ -113,3 +113,20 @@ def test_every_token_comes_out_of_the_stream(spark, monkeypatch):
         fresh = machine.encode(text)
         assert set(fresh) - set(machine.special.values()) <= set(emitted)
     assert set(inside) == {"stream"}
+
+
+def test_hot_seeds_in_tiling():
+    """A text of one word over and over against an item of the same word, and against many items of it."""
+    bench = tiling.Benchmark([(i, tiling.words_of("so " * n)) for i, n in enumerate((5, 40, 400))])
+
+    def took(n):
+        text = tiling.words_of("so " * n)
+        began = time.thread_time()
+        assert list(bench.find(text, 0.5)) == [(0, 1.0, 1, 5), (1, 1.0, 1, 40), (2, 1.0, 1, 400)]
+        return time.thread_time() - began
+
+    small, large = took(100_000), took(1_000_000)
+    assert large < 60 and large < 30 * max(small, 0.05), (small, large)
+    # Half the item's places have a free place in the text: the tiles take the earlier ones.
+    item, text = tiling.words_of("a b c d e " * 4), tiling.words_of("a b c d e x a b c d e y")
+    assert tiling.tile(item, text) == [(0, 0, 5), (5, 6, 5)]
