@@ -100,6 +100,46 @@ def per_group(points: DataFrame, key: str, order: str, f: Callable[[np.ndarray],
     return groups.mapInPandas(run, f"{key} {kind}, {schema}")
 
 
+#: Tours of groups of points (g, k, x, y; k the place in the group from 1) in SQL, step by step: the nearest left in turn, first
+#: improving reversals, all subsets, and the nearest to a growing tree.
+_TOURS = {
+    "d": "select a.g, a.k as a, b.k as b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) as km from pt a join pt b using (g)",
+    "m": "select g, max(a) as n, list(km order by a, b) as km from d group by g",
+    "nn": """select g, [1::bigint] as t, 0.0::double as km from m union all
+select g, list_append(t, z.b), km + z.km from (select nn.g, t, nn.km, arg_min({'b': d.b, 'km': d.km}, (round(d.km, 9), d.b)) as z from nn join d on d.g = nn.g and d.a = t[-1] where not list_contains(t, d.b) group by nn.g, t, nn.km)""",
+    "nnt": "select nn.g, n, m.km as w, t, nn.km + m.km[(t[-1] - 1) * n + 1] as nn_km, nn.km as way from nn join m using (g) where len(t) = n",
+    "opt": """select g, n, w, t, 2::bigint as i, 3::bigint as j, false as better, 1 as round, n < 3 as done from nnt union all
+select g, n, w, case when cut then list_concat(list_concat(t[:i - 1], list_reverse(t[i:j])), t[j + 1:]) else t end, case when j < n then i when i < n - 1 then i + 1 else 2 end,
+case when j < n then j + 1 when i < n - 1 then i + 2 else 3 end, case when j < n or i < n - 1 then better or cut else false end, case when j < n or i < n - 1 then round else round + 1 end, j = n and i = n - 1 and (round = 100 or not (better or cut))
+from (select *, w[(t[i - 1] - 1) * n + t[j]] + w[(t[i] - 1) * n + t[j % n + 1]] < w[(t[i - 1] - 1) * n + t[i]] + w[(t[j] - 1) * n + t[j % n + 1]] - 1e-12 as cut from opt where not done)""",
+    "best": "select g, list_sum(list_transform(range(1, n + 1), lambda i: w[(t[i] - 1) * n + t[i % n + 1]])) as two_opt_km from opt where done",
+    "hk": """select d.g, (1::bigint << (b - 1)) as seen, b as last, d.km as km from d join m using (g) where a = 1 and b > 1 and n <= 12 union all
+select hk.g, seen | (1::bigint << (d.b - 1)), d.b, min(hk.km + d.km) from hk join d on d.g = hk.g and d.a = last where d.b > 1 and seen & (1::bigint << (d.b - 1)) = 0 group by all""",
+    "ex": "select hk.g, min(hk.km + d.km) as exact_km from hk join d on d.g = hk.g and d.a = last and d.b = 1 join m on m.g = hk.g where bit_count(seen) = n - 1 group by hk.g",
+    "mst": """select g, [1::bigint] as t, 0.0::double as km from m union all
+select g, list_append(t, z.b), km + z.km from (select mst.g, t, mst.km, arg_min({'b': d.b, 'km': d.km}, (d.km, d.b)) as z from mst join d on d.g = mst.g and list_contains(t, d.a) and not list_contains(t, d.b) group by mst.g, t, mst.km)""",
+    "tree": "select mst.g, mst.km as tree_km from mst join m using (g) where len(t) = n",
+}
+
+
+def tours_sql(points: str, body: str, *steps: str) -> str:
+    """A query over steps of _TOURS (those they need included, in their order) for groups of points."""
+    needs = {"nn": ["d", "m"], "nnt": ["nn"], "opt": ["nnt"], "best": ["opt"], "hk": ["d", "m"], "ex": ["hk"], "mst": ["d", "m"], "tree": ["mst"]}
+    wanted, todo = set(), list(steps)
+    while todo:
+        wanted.add(step := todo.pop())
+        todo += needs.get(step, [])
+    return f"with pt as ({points}),\n" + ",\n".join(f"{k} as ({v})" for k, v in _TOURS.items() if k in wanted) + f"\n{body}"
+
+
+def cells_sql(cells: int) -> str:
+    return f"select (stop % {cells})::int as g, row_number() over (partition by stop % {cells} order by stop) as k, x_km as x, y_km as y from stops"
+
+
+#: Tour by the switch: exact where a group is small enough, otherwise improved; no way at all for a single point.
+TOUR_SQL = "round(coalesce(case when n > 12 then two_opt_km else exact_km end, 0), 6)"
+
+
 def _groups(spark, sf_dir) -> DataFrame:
     return Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 12).cast("int"))
 
@@ -109,7 +149,7 @@ def _values(d: np.ndarray) -> dict:
     return {"n": len(d), "nn_km": round(length(d, nn), 6), "two_opt_km": round(length(d, two_opt(d, nn)), 6), "tour_km": round(tour_length(d), 6), "tree_km": round(spanning_tree(d), 6)}
 
 
-@query("m2_two_opt")
+@query("m2_two_opt", sql(tours_sql(cells_sql(12), f"select g as cell, n, round(nn_km, 6) as nn_km, round(two_opt_km, 6) as two_opt_km, {TOUR_SQL} as tour_km, round(tree_km, 6) as tree_km from nnt join best using (g) left join ex using (g) join tree using (g)", "best", "ex", "tree"), "stops", recursive=True))
 def m2(spark, sf_dir):
     return per_group(_groups(spark, sf_dir), "cell", "stop", _values, "n long, nn_km double, two_opt_km double, tour_km double, tree_km double")
 
@@ -125,12 +165,12 @@ def m1(spark, sf_dir):
     return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"n": len(d), "nn_km": round(length(d, nearest_neighbour(d)), 6)}, "n long, nn_km double")
 
 
-@query("k9_spanning_tree")
+@query("k9_spanning_tree", sql(tours_sql(cells_sql(12), "select g as cell, round(tree_km, 6) as tree_km from tree", "tree"), "stops", recursive=True))
 def k9(spark, sf_dir):
     return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tree_km": round(spanning_tree(d), 6)}, "tree_km double")
 
 
-@query("m3_tour_switch")
+@query("m3_tour_switch", sql(tours_sql(cells_sql(12), f"select g as cell, {TOUR_SQL} as tour_km from nnt join best using (g) left join ex using (g)", "best", "ex"), "stops", recursive=True))
 def m3(spark, sf_dir):
     return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tour_km": round(tour_length(d), 6)}, "tour_km double")
 

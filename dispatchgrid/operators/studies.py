@@ -16,7 +16,7 @@ from dispatchgrid.operators.helpers import legs
 from dispatchgrid.operators.on_demand import simulated
 from dispatchgrid.operators.partition import Problem, best_partition, corner, one_row, problem
 from dispatchgrid.operators.robust import root_mass_worst_case, worst_mean
-from dispatchgrid.operators.routing import length, nearest_neighbour, per_group, spanning_tree, tour_length, two_opt
+from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, length, nearest_neighbour, per_group, spanning_tree, tour_length, two_opt, tours_sql
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -176,7 +176,10 @@ def p3(spark, sf_dir):
     return t.groupBy("n").agg(R6(F.avg(F.col("km") / F.sqrt("n")), "ratio"), R6(F.stddev_pop(F.col("km") / F.sqrt("n")), "spread"), F.count("*").alias("tours"))
 
 
-@query("m4_depot_tours")
+_DEPOT = "select g, row_number() over (partition by g order by stop) as k, x, y from (select (stop % 12)::int as g, stop, x_km as x, y_km as y from stops union all select distinct (stop % 12)::int, 0, 2.5::double, 2.5::double from stops)"
+
+
+@query("m4_depot_tours", sql(tours_sql(_DEPOT, f"select g as cell, n, {TOUR_SQL} as tour_km, round({TOUR_CONSTANT} * sqrt(n * 25.0::double), 6) as estimate_km, round(2 * tree_km, 6) as tree_km from nnt join best using (g) left join ex using (g) join tree using (g)", "best", "ex", "tree"), "stops", recursive=True))
 def m4(spark, sf_dir):
     """A tour from the depot through each group's stops: exact or improved, the estimate from their number, and twice the tree."""
     stops = Region(spark, sf_dir).stops().select((F.col("stop") % 12).cast("int").alias("cell"), "stop", "x_km", "y_km")
@@ -185,7 +188,10 @@ def m4(spark, sf_dir):
     return per_group(stops.select("cell", F.col("stop").cast("long").alias("stop"), "x_km", "y_km").union(depot), "cell", "stop", f, "n long, tour_km double, estimate_km double, tree_km double")
 
 
-@query("m7_order_in_subpath")
+_PARTS = "select route * 100000 + (seq - 1) // 4 as g, row_number() over (partition by route, (seq - 1) // 4 order by seq) as k, x_km as x, y_km as y from stops"
+
+
+@query("m7_order_in_subpath", sql(tours_sql(_PARTS, "select g as part, array_to_string(list_transform(t, lambda i: i - 1), ',') as places, round(way, 6) as km from nnt", "nnt"), "stops", recursive=True))
 def m7(spark, sf_dir):
     """Stops between every fourth checkpoint of a route in the order of the nearest next, and the way through them."""
     s = Region(spark, sf_dir).stops().select((F.col("route") * 100000 + F.floor((F.col("seq") - 1) / 4)).alias("part"), "seq", "x_km", "y_km")
@@ -197,7 +203,7 @@ def m7(spark, sf_dir):
     return per_group(s, "part", "seq", f, "places string, km double")
 
 
-@query("s19_tour_lengths")
+@query("s19_tour_lengths", sql(tours_sql(cells_sql(8), f"select g as cell, n, {TOUR_SQL} as km from nnt join best using (g) left join ex using (g)", "best", "ex"), "stops", recursive=True))
 def s19(spark, sf_dir):
     return per_group(Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 8).cast("int")), "cell", "stop", lambda d: {"n": len(d), "km": round(tour_length(d), 6)}, "n long, km double")
 
