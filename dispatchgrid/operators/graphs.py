@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.kept import keep
+from dispatchgrid.operators.sets import _MEDOID as MEDOID_SQL, f3
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -174,8 +175,13 @@ def lloyd(r: Region, roots: DataFrame) -> DataFrame:
         seen.append(now)
 
 
-@query("l6_lloyd_partition", None)
-def l6(spark, sf_dir):
-    from dispatchgrid.operators.sets import f3
+_LLOYD = f"""with f as ({MEDOID_SQL}),
+w as (select list(root order by root) as c, [list(root order by root)::varchar][:0] as seen, list(root order by root) as used, false as done from f union all
+select z.c, list_append(seen, z.c::varchar), w.c, list_contains(seen, z.c::varchar) from w, lateral (select list(q.center order by q.center) as c from (select arg_min(src, (round(s, 9), src)) as center from
+(select a.root, a.block as src, sum(d.km) as s from (select src as block, arg_min(dst, (round(km, 9), dst)) as root from dist where list_contains(w.c, dst) group by src) a join (select src as block, arg_min(dst, (round(km, 9), dst)) as root from dist where list_contains(w.c, dst) group by src) b on a.root = b.root join dist d on d.src = a.block and d.dst = b.block group by a.root, a.block) group by root) q) z where not done)
+select src as block, arg_min(dst, (round(km, 9), dst)) as root from dist, w where done and list_contains(used, dst) group by src"""
+
 
+@query("l6_lloyd_partition", sql(_LLOYD, "blocks", "dist", recursive=True))
+def l6(spark, sf_dir):
     return lloyd(Region(spark, sf_dir), f3(spark, sf_dir))

@@ -90,13 +90,16 @@ def h14(spark, sf_dir):
     return e.select("event_type", stamped("results", F.col("at"), ".csv").alias("name"))
 
 
-@query("h21_polyline", "select * from (values (0::bigint, 38.5::double, -120.2::double), (1, 40.7, -120.95), (2, 43.252, -126.453)) as v(seq, lat, lon)")
+@query("h21_polyline", sql("select route, seq, round(40 + y_km / 10, 5) as lat, round(-80 + x_km / 10, 5) as lon from stops", "stops"))
 def h21(spark, sf_dir):
-    """The vertices of an encoded polyline (the format's published example)."""
-    from dispatchgrid.sources.files import decode_polyline
-
-    line = spark.range(1).select(F.lit("_p~iF~ps|U_ulLnnqC_mqNvxq`@").alias("line"))
-    return line.select(F.posexplode(decode_polyline(F.col("line"))).alias("seq", "v")).select(F.col("seq").cast("bigint").alias("seq"), F.round("v.lat", 5).alias("lat"), F.round("v.lon", 5).alias("lon"))
+    """The stops of each route from encoded polylines of fifty stops each."""
+    from dispatchgrid.sources.files import decode_polyline, encode_polyline
+
+    stop = F.struct("seq", (40 + F.col("y_km") / 10).alias("lat"), (-80 + F.col("x_km") / 10).alias("lon"))
+    lines = Region(spark, sf_dir).stops().groupBy("route", F.floor((F.col("seq") - 1) / 50).alias("part")).agg(F.array_sort(F.collect_list(stop)).alias("p"))
+    lines = lines.select("route", "part", encode_polyline(F.col("p")).alias("line"))
+    vertices = lines.select("route", "part", F.posexplode(decode_polyline(F.col("line"))).alias("i", "v"))
+    return vertices.select("route", (F.col("part") * 50 + F.col("i") + 1).alias("seq"), F.round("v.lat", 5).alias("lat"), F.round("v.lon", 5).alias("lon"))
 
 
 @query("h36_difficulty_generators", sql(f"""with g as (select block, {U("block", "g1")} as g1, {U("block", "g2")} as g2, [{", ".join(U("block", f"b{i}") for i in range(6))}] as b, x_km, y_km from blocks)

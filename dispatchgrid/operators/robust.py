@@ -40,11 +40,11 @@ def worst_mean(values: DataFrame, demand: DataFrame, dist: DataFrame, radius: fl
             return spark.range(1).select(F.lit(least).alias("worst"))
 
 
-def worst_sql(values: str) -> str:
+def worst_sql(values: str, *views: str) -> str:
     return sql(f"""with v as ({values}), ln as (select src, p, dst, km, v from demand d join dist on d.block = src join v on v.block = dst),
 m as (select 0.0::double as m union select round((b.v - a.v) / (b.km - a.km), 12) from ln a join ln b on a.src = b.src where b.km > a.km and b.v > a.v),
 c as (select m, src, any_value(p) * max(v - m * km) as c from m, ln group by m, src)
-select round(min(b), 6) as worst from (select m * {RADIUS} + sum(c) as b from c group by m)""", "blocks", "demand", "dist")
+select round(min(b), 6) as worst from (select m * {RADIUS} + sum(c) as b from c group by m)""", "blocks", "demand", "dist", *views)
 
 
 @query("l2_worst_district_mass", worst_sql("select block, (district = 0)::int::double as v from blocks"))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.exprs import SPEED_KMH, TOUR_CONSTANT, distance, hash_uniform
+from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.operators.helpers import legs
 from dispatchgrid.operators.on_demand import simulated
 from dispatchgrid.operators.partition import Problem, best_partition, corner, one_row, problem
-from dispatchgrid.operators.robust import root_mass_worst_case, worst_mean
+from dispatchgrid.operators.robust import root_mass_worst_case, worst_mean, worst_sql
 from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, length, nearest_neighbour, per_group, spanning_tree, tour_length, two_opt, tours_sql
 from dispatchgrid.plans.region import Region, sql
 
@@ -166,14 +167,29 @@ def k4(spark, sf_dir):
     return solved(one_row(Region(spark, sf_dir)), f, "block long, from_middle double, stress double")
 
 
-@query("p3_tour_constant")
+_SIZES = "select n * 1000000 + stop // n as g, row_number() over (partition by n, stop // n order by stop) as k, x_km as x, y_km as y from stops, (select unnest(range(3, 11)) as n)"
+
+
+_CONSTANT = f""", t as (select n, exact_km as km from ex join m using (g) where n > 2),
+y as (select n, i * 20 / 99.0::double as y, avg(abs(km - {TOUR_CONSTANT} * sqrt((n + i * 20 / 99.0::double) * 25))) as error from t, range(100) r(i) group by n, i),
+e as (select n, round(arg_min(y, (round(error, 9), y)), 6) as shift, round(min(error), 6) as error from y group by n)
+select n, count(*)::bigint as tours, round(avg(km / sqrt(n * 25.0::double)), 6) as ratio, round(stddev_pop(km / sqrt(n * 25.0::double)), 6) as spread, any_value(shift) as shift, any_value(error) as error,
+round(avg(km / sqrt(n) - {TOUR_CONSTANT} * 5), 6) as offset_km from t join e using (n) group by n"""
+
+
+@query("p3_tour_constant", sql(tours_sql(_SIZES, _CONSTANT, "ex"), "stops", recursive=True))
 def p3(spark, sf_dir):
-    """Tours through uniform points of the unit square by their number: mean length over the root, and the best constant."""
-    u = lambda salt: hash_uniform((F.col("n") * 100 + F.col("i")) * 1000 + F.col("k"), salt)
-    n = points(spark, "n", [20, 40, 80]).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(9)))).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n"))))
-    p = n.select((F.col("n") * 100 + F.col("i")).alias("g"), "k", u("tx").alias("x_km"), u("ty").alias("y_km"))
-    t = per_group(p, "g", "k", lambda d: {"km": length(d, two_opt(d, nearest_neighbour(d)))}, "km double").withColumn("n", F.floor(F.col("g") / 100))
-    return t.groupBy("n").agg(R6(F.avg(F.col("km") / F.sqrt("n")), "ratio"), R6(F.stddev_pop(F.col("km") / F.sqrt("n")), "spread"), F.count("*").alias("tours"))
+    """Tours of three to ten stops each by their number: mean length over the root of number and area, the addition to the number
+    with which the root estimates them best (of a hundred from 0 to 20), and what a tour has beyond the root, by the root."""
+    s = Region(spark, sf_dir).stops().withColumn("size", F.explode(F.array(*map(F.lit, range(3, 11)))))
+    s = s.select((F.col("size").cast("long") * 1000000 + F.floor(F.col("stop") / F.col("size"))).alias("g"), "stop", "x_km", "y_km")
+    t = per_group(s, "g", "stop", lambda d: {"n": len(d), "km": tour_length(d)}, "n long, km double").where("n > 2")
+    y = t.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(99)))).withColumn("y", F.col("i") * 20 / F.lit(99.0))
+    y = y.groupBy("n", "y").agg(F.avg(F.abs(F.col("km") - TOUR_CONSTANT * F.sqrt((F.col("n") + F.col("y")) * 25))).alias("error"))
+    y = y.groupBy("n").agg(R6(F.min_by("y", F.struct(F.round("error", 9), "y")), "shift"), R6(F.min("error"), "error"))
+    ratio = F.col("km") / F.sqrt(F.col("n") * 25)
+    each = t.groupBy("n").agg(F.count("*").alias("tours"), R6(F.avg(ratio), "ratio"), R6(F.stddev_pop(ratio), "spread"), R6(F.avg(F.col("km") / F.sqrt("n") - TOUR_CONSTANT * 5), "offset_km"))
+    return each.join(y, "n")
 
 
 _DEPOT = "select g, row_number() over (partition by g order by stop) as k, x, y from (select (stop % 12)::int as g, stop, x_km as x, y_km as y from stops union all select distinct (stop % 12)::int, 0, 2.5::double, 2.5::double from stops)"
@@ -226,24 +242,27 @@ def s16(spark, sf_dir):
     return pair[0].unionByName(pair[1])
 
 
-@query("s25_transport_arrows")
-def s25(spark, sf_dir):
-    """Where the worst case for one district moves demand: pairs of places with the mass between them."""
+_ARROWS = """with n as (select d.src, arg_min(dst, (round(km, 9), dst)) as dst, min(km) as km from dist d join blocks b on b.block = dst and b.x_km = 0 group by d.src),
+c as (select src, dst, km, p, sum(p * km) over (order by round(km, 9), src rows between unbounded preceding and 1 preceding) as before from n join demand on block = src where km > 0)
+select src::bigint as src, dst::bigint as dst, round(least(p, greatest(0.5 - coalesce(before, 0), 0) / km), 6) as mass, a.x_km as ax, a.y_km as ay, b.x_km as bx, b.y_km as by from c join blocks a on a.block = src join blocks b on b.block = dst
+where p > 0 and coalesce(before, 0) < 0.5"""
 
-    def f(row):
-        x = problem(row)
-        v = (x.ids % 5 == 0).astype(float)
-        lo, hi, cost = 0.0, 4.0, lambda m: float(x.p @ x.km[np.arange(len(v)), (v[None, :] - m * x.km).argmax(axis=1)])
-        for _ in range(50):
-            mid = (lo + hi) / 2
-            lo, hi = (mid, hi) if cost(mid) > 0.5 else (lo, mid)
-        to = (v[None, :] - hi * x.km).argmax(axis=1)
-        return [(int(x.ids[i]), int(x.ids[j]), round(float(x.p[i]), 6)) for i, j in enumerate(to) if j != i and x.p[i] > 0]
 
-    moved = solved(one_row(Region(spark, sf_dir)), f, "src long, dst long, mass double")
-    b = Region(spark, sf_dir).blocks()
-    at = lambda c, n: b.select(F.col("block").cast("long").alias(c), F.col("x_km").alias(f"{n}x"), F.col("y_km").alias(f"{n}y"))
-    return moved.join(at("src", "a"), "src").join(at("dst", "b"), "dst")
+@query("s25_transport_arrows", sql(_ARROWS, "blocks", "demand", "dist"))
+def s25(spark, sf_dir):
+    """Where the worst case for one district, the first column of blocks, moves demand: pairs of places with the mass between them.
+
+    A district gains most when the nearest demand outside moves to its nearest block first, until the radius is used up: a
+    running total of the work, in the order of the way."""
+    r = Region(spark, sf_dir)
+    b = r.blocks()
+    there = r.distances().join(b.where("x_km = 0").select(F.col("block").alias("dst")), "dst")
+    near = there.groupBy("src").agg(F.min_by("dst", F.struct(F.round("km", 9), "dst")).alias("dst"), F.min("km").alias("km")).where("km > 0")
+    moves = near.join(r.demand().where("p > 0").select(F.col("block").alias("src"), "p"), "src").withColumn("way", F.round("km", 9))
+    moves = Ordered(moves, "way", "src").running(upto=F.col("p") * F.col("km")).withColumn("left", 0.5 - (F.col("upto") - F.col("p") * F.col("km")))
+    at = lambda c, n: b.select(F.col("block").alias(c), F.col("x_km").alias(f"{n}x"), F.col("y_km").alias(f"{n}y"))
+    moved = moves.where("left > 0").select("src", "dst", R6(F.least(F.col("p"), F.col("left") / F.col("km")), "mass"))
+    return moved.join(at("src", "a"), "src").join(at("dst", "b"), "dst").withColumns({c: F.col(c).cast("bigint") for c in ("src", "dst")})
 
 
 @query("o7_line_report", sql("""with n as (select block, arg_min(struct_pack(route := route, stop := stop), (round(sqrt((b.x_km - s.x_km) ** 2 + (b.y_km - s.y_km) ** 2), 9), route, seq)) as pick, min(sqrt((b.x_km - s.x_km) ** 2 + (b.y_km - s.y_km) ** 2)) as km from blocks b, stops s group by block),
@@ -262,7 +281,10 @@ def o7(spark, sf_dir):
     return g.join(cycle, "route").select("route", "blocks", "walk_h", "worst_walk_h", R6(F.col("cycle") / 2, "wait_h"), R6("cycle", "cycle_h"))
 
 
-@query("o7_worst_walk_report")
+_WALKS = "select b.block, min(sqrt((b.x_km - s.x_km) ** 2 + (b.y_km - s.y_km) ** 2)) / 5 as v from blocks b, stops s group by b.block"
+
+
+@query("o7_worst_walk_report", worst_sql(_WALKS, "stops").replace(" as worst from (", " as worst_walk_h, (select round(sum(p * v), 6) from v join demand using (block)) as walk_h from ("))
 def o7_worst(spark, sf_dir):
     """The mean walk to the lines at the demand as it is and at the worst within half a kilometre."""
     from dispatchgrid.operators.nearest import nearest

@@ -129,3 +129,21 @@ def decode_polyline(column):
         return lines.map(one)
 
     return decode(column)
+
+
+def encode_polyline(points):
+    """Encoded polylines of arrays of (lat, lon): five places, differences with the sign last, five bits a character."""
+    whole = F.transform(points, lambda v: F.struct(F.round(v["lat"] * 100000).cast("long").alias("lat"), F.round(v["lon"] * 100000).cast("long").alias("lon")))
+
+    def number(n):
+        z = F.when(n < 0, -2 * n - 1).otherwise(2 * n)
+        last = F.ceil(F.greatest(F.length(F.bin(z)), F.lit(1)) / 5).cast("int") - 1
+        # Shifts of a literal aren't defined for columns, so places are powers of 32; a polyline's numbers have seven at most.
+        place = lambda k: F.floor(z / F.pow(F.lit(32.0), k)).cast("long") % 32
+        return F.array_join(F.transform(F.sequence(F.lit(0), last), lambda k: F.char(place(k) + F.when(k < last, 95).otherwise(63))), "")
+
+    def step(v, i):
+        before = lambda c: F.when(i > 0, F.get(whole, i - 1)[c]).otherwise(F.lit(0))
+        return F.concat(number(v["lat"] - before("lat")), number(v["lon"] - before("lon")))
+
+    return F.array_join(F.transform(whole, step), "")

@@ -6,6 +6,9 @@ from collections import defaultdict
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
+from dispatchgrid.operators.robust import worst_mean
+from dispatchgrid.plans.region import Region
 
 from dispatchgrid import catalog
 
@@ -128,3 +131,12 @@ def test_arrows_go_to_the_district_within_the_radius(spark):
     rows = Q["s25_transport_arrows"](spark, LARGER).collect()
     assert rows and all(r["dst"] % 5 == 0 and r["src"] % 5 for r in rows)
     assert sum(r["mass"] * math.dist((r["ax"], r["ay"]), (r["bx"], r["by"])) for r in rows) <= 0.5 + 1e-6
+
+
+def test_arrows_use_up_the_radius(spark):
+    """What the arrows carry is what the dual says that the district can gain: no plan gains more."""
+    r = Region(spark, LARGER)
+    inside = r.blocks().select("block", (F.col("x_km") == 0).cast("double").alias("v"))
+    worst = worst_mean(inside, r.demand(), r.distances(), 0.5).first()["worst"]
+    own = r.demand().join(inside, "block").agg(F.sum(F.col("p") * F.col("v"))).first()[0]
+    assert own + sum(x["mass"] for x in Q["s25_transport_arrows"](spark, LARGER).collect()) == pytest.approx(worst, abs=1e-5)

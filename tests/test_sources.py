@@ -52,3 +52,10 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     q.stop()
     want = dispatch_batches(e).collect()
     assert {tuple(r) for r in spark.table("batches").collect()} == {tuple(r) for r in want}
+
+
+def test_polyline_written(spark):
+    line = spark.createDataFrame([([(38.5, -120.2), (40.7, -120.95), (43.252, -126.453)],), ([],), ([(0.0, 0.0), (-90.0, 180.0), (90.0, -180.0)],)], "p array<struct<lat:double,lon:double>>").select(files.encode_polyline("p").alias("l"), "p")
+    rows = line.select("l", "p", files.decode_polyline("l").alias("back")).collect()
+    assert rows[0]["l"] == "_p~iF~ps|U_ulLnnqC_mqNvxq`@" and rows[1]["l"] == ""
+    assert all([tuple(v) for v in r["p"]] == [tuple(v) for v in r["back"]] for r in rows)
