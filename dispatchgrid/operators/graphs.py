@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
 from dispatchgrid.functions.kept import keep
-from dispatchgrid.operators.sets import _MEDOID as MEDOID_SQL, f3
+from dispatchgrid.operators.sets import MEDOID_SQL, f3
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)

@@ -82,10 +82,10 @@ def f2(spark, sf_dir):
     return Region(spark, sf_dir).depot()
 
 
-_MEDOID = "select district, arg_min(block, (round(sqrt((x_km - mx) ** 2 + (y_km - my) ** 2), 9), block)) as root from (select *, avg(x_km) over (partition by district) as mx, avg(y_km) over (partition by district) as my from blocks) group by district"
+MEDOID_SQL = "select district, arg_min(block, (round(sqrt((x_km - mx) ** 2 + (y_km - my) ** 2), 9), block)) as root from (select *, avg(x_km) over (partition by district) as mx, avg(y_km) over (partition by district) as my from blocks) group by district"
 
 
-@query("f3_medoids", sql(_MEDOID, "blocks"))
+@query("f3_medoids", sql(MEDOID_SQL, "blocks"))
 def f3(spark, sf_dir):
     w = Window.partitionBy("district")
     d = distance(F.col("x_km"), F.col("y_km"), F.avg("x_km").over(w), F.avg("y_km").over(w))

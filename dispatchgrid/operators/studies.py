@@ -11,13 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
-from dispatchgrid.functions.exprs import SPEED_KMH, TOUR_CONSTANT, distance, hash_uniform
+from dispatchgrid.functions.exprs import SPEED_KMH, TOUR_CONSTANT, distance
 from dispatchgrid.functions.ordered import Ordered
 from dispatchgrid.operators.helpers import legs
 from dispatchgrid.operators.on_demand import simulated
 from dispatchgrid.operators.partition import Problem, best_partition, corner, one_row, problem
 from dispatchgrid.operators.robust import root_mass_worst_case, worst_mean, worst_sql
-from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, length, nearest_neighbour, per_group, spanning_tree, tour_length, two_opt, tours_sql
+from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, nearest_neighbour, per_group, spanning_tree, tour_length, tours_sql
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
