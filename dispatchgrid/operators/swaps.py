@@ -4,12 +4,12 @@ A round prices every swap of a centre for another place, of every restart, in on
 second nearest centre, so a swap (out, in) costs it the less of `in` and the nearest, or, where `out` was its nearest, of `in`
 and the second. Summed by (in, nearest) this gives all costs: the sum over all nearest centres, plus for `out` what its own
 places lose. The best swap of each restart is taken until none pays. Pairs are rows; the driver has the centres of each
-restart, a few numbers.
+restart, a few numbers. As swaps may end short of the least, all sets are priced after them. Points at one place count once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dispatchgrid.catalog import query
@@ -33,21 +33,23 @@ def swap_prices(pairs: DataFrame, centers: DataFrame) -> DataFrame:
     each = near.join(pairs.select("src", F.col("dst").alias("in"), "cost"), "src")
     stays, goes = F.least("d1", "cost"), F.least("d2", "cost")
     sums = each.groupBy("restart", "in", "near").agg(F.sum(stays).alias("stays"), F.sum(goes).alias("goes"))
-    total = sums.groupBy("restart", "in").agg(F.sum("stays").alias("total"))
-    priced = sums.join(total, ["restart", "in"]).select("restart", F.col("near").alias("out"), "in", (F.col("total") - F.col("stays") + F.col("goes")).alias("cost"))
+    whole = sums.groupBy("restart", "in").agg(F.sum("stays").alias("total"), F.collect_list(F.struct("near", "stays", "goes")).alias("own"))  # as many as centres
+    priced = whole.select("restart", "in", "total", F.explode("own").alias("o")).select("restart", F.col("o.near").alias("out"), "in", (F.col("total") - F.col("o.stays") + F.col("o.goes")).alias("cost"))
     return priced.join(F.broadcast(centers.select("restart", F.col("center").alias("in"))), ["restart", "in"], "left_anti")
 
 
 def swap_search(pairs: DataFrame, k: int, restarts: int = RESTARTS) -> tuple[dict[int, list], dict[int, float], DataFrame]:
     """Centres and cost of each restart once no swap pays, and the prices of all swaps then. pairs: src, dst, cost (weighted)."""
     spark = pairs.sparkSession
-    pairs = keep(pairs.select("src", "dst", "cost"), "pairs")
+    pairs = keep(pairs.select("src", "dst", "cost").repartition("src"), "pairs")
     kind = pairs.schema["src"].dataType.simpleString()
     places = pairs.select("src").distinct()
     held: dict[int, list] = {}
-    for r in range(restarts):
-        own = places.select("src", hash_uniform(F.lit(r) * 1000003 + F.col("src"), "swap").alias("u")).orderBy("u", "src").limit(k)
-        held[r] = sorted(x["src"] for x in own.collect())
+    starts = places.crossJoin(F.broadcast(spark.range(restarts, numPartitions=1).select(F.col("id").alias("r"))))
+    first = starts.withColumn("n", F.row_number().over(Window.partitionBy("r").orderBy(hash_uniform(F.col("r") * 1000003 + F.col("src"), "swap"), "src"))).where(F.col("n") <= k)
+    for x in first.collect():
+        held.setdefault(x["r"], []).append(x["src"])
+    held = {r: sorted(held[r]) for r in sorted(held)}
     cost = {}
     while True:
         centers = spark.createDataFrame([(r, c) for r, cs in held.items() for c in cs], f"restart int, center {kind}")
@@ -64,14 +66,58 @@ def swap_search(pairs: DataFrame, k: int, restarts: int = RESTARTS) -> tuple[dic
             return held, cost, prices
 
 
+def all_sets(pairs: DataFrame, k: int, again: bool = False) -> DataFrame:
+    """centers (array, ascending), cost of every set of k places, or of every selection with repeats. A row holds what its
+    centres cost each place, so a set is an array, and the sets of one first centre are a task's own."""
+    column = F.transform(F.array_sort(F.collect_list(F.struct("src", "cost"))), lambda p: p["cost"])
+    one = keep(pairs.groupBy("dst").agg(column.alias("more")), "columns")
+    sets = one.repartition(64, "dst").select(F.array("dst").alias("centers"), F.col("more").alias("costs"))
+    for _ in range(k - 1):
+        last = F.element_at("centers", -1)
+        sets = sets.join(one, last <= F.col("dst") if again else last < F.col("dst"))
+        sets = sets.select(F.concat("centers", F.array("dst")).alias("centers"), F.zip_with("costs", "more", lambda x, y: F.least(x, y)).alias("costs"))
+    return sets.select("centers", F.aggregate("costs", F.lit(0.0), lambda s, x: s + x).alias("cost"))
+
+
+def best_sets(pairs: DataFrame, k: int, restarts: int = RESTARTS, again: bool = False) -> DataFrame:
+    """centers, cost of all sets of the least cost at six digits. Swaps from several starts end where no single swap pays, which
+    may be short of the least; so every set is priced after them, and those dearer than what they found are dropped."""
+    _, found, _ = swap_search(pairs, k, restarts)
+    sets = keep(all_sets(pairs, k, again).where(F.col("cost") <= min(found.values()) + 1e-6), "sets")
+    least = sets.agg(F.min(F.round("cost", 6)).alias("least"))
+    return sets.join(F.broadcast(least), F.round("cost", 6) == F.col("least")).select("centers", F.col("least").alias("cost"))
+
+
+def some_swap_pays(pairs: DataFrame, centers: list, cost: float) -> bool:
+    kind = pairs.schema["src"].dataType.simpleString()
+    prices = swap_prices(pairs, pairs.sparkSession.createDataFrame([(0, c) for c in set(centers)], f"restart int, center {kind}"))
+    return not prices.where(F.col("cost") < cost - 1e-6).isEmpty()
+
+
 def best_centers(pairs: DataFrame, k: int, restarts: int = RESTARTS) -> DataFrame:
-    """centers (text, in order), cost of the best restart, and whether some swap of any restart still pays."""
-    held, cost, prices = swap_search(pairs, k, restarts)
-    spark = pairs.sparkSession
-    ends = spark.createDataFrame([(r, ",".join(map(str, held[r])), cost[r]) for r in held], "restart int, centers string, now double")
-    pays = prices.join(F.broadcast(ends), "restart").agg(F.max(F.col("cost") < F.col("now") - 1e-6).alias("pays"))
-    best = ends.agg(F.min_by("centers", F.struct(F.round("now", 6), "centers")).alias("centers"), F.round(F.min("now"), 6).alias("cost"))
-    return best.crossJoin(F.broadcast(pays)).select("centers", "cost", F.coalesce("pays", F.lit(False)).alias("pays"))
+    """centers (text, in order; of equal sets the first by text), cost of the best set, and whether some swap of it still pays."""
+    pairs = keep(pairs, "pairs")
+    text = F.array_join(F.transform("centers", lambda c: c.cast("string")), ",")
+    best = best_sets(pairs, k, restarts).orderBy(text).select(text.alias("centers"), "centers", "cost").toDF("text", "centers", "cost").first()
+    return pairs.sparkSession.createDataFrame([(best["text"], best["cost"], some_swap_pays(pairs, best["centers"], best["cost"]))], "centers string, cost double, pays boolean")
+
+
+def best_two_of_places(points: DataFrame, restarts: int) -> DataFrame:
+    """Two centres of points (id, x, y, weight) as `best_centers` gives them. Points at one place are one row of its weight while
+    centres are looked for; of equal sets the first by text is then found among the points at their places."""
+    at = keep(points.groupBy("x", "y").agg(F.min("id").alias("place"), F.max("id").alias("last"), F.sum("weight").alias("weight")), "places")
+    a, b = at.select(F.col("place").alias("src"), "x", "y", "weight"), at.select(F.col("place").alias("dst"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    pairs = keep(a.crossJoin(b).select("src", "dst", (F.col("weight") * distance(F.col("x"), F.col("y"), F.col("bx"), F.col("by"))).alias("cost")), "pairs")
+    sets = keep(best_sets(pairs, 2, restarts, again=True).select(F.col("centers")[0].alias("p"), F.col("centers")[1].alias("q"), "cost"), "sets")
+    own = points.join(at.select("x", "y", "place"), ["x", "y"]).select("id", "place")
+    ways = sets.unionByName(sets.select(F.col("q").alias("p"), F.col("p").alias("q"), "cost"))
+    # The lower number comes first, and texts of it decide before the other's do.
+    low = own.join(ways.join(at.select(F.col("place").alias("q"), "last"), "q"), F.col("place") == F.col("p")).where(F.col("id") < F.col("last"))
+    low = low.groupBy("p", "q", "cost").agg(F.min_by("id", F.concat(F.col("id").cast("string"), F.lit(","))).alias("i"))
+    text = F.concat_ws(",", F.col("i").cast("string"), F.col("id").cast("string"))
+    best = own.join(low, F.col("place") == F.col("q")).where(F.col("id") > F.col("i")).groupBy("p", "q", "cost").agg(F.min(text).alias("centers")).orderBy("centers").first()
+    rows = [(best["centers"], best["cost"], some_swap_pays(pairs, [best["p"], best["q"]], best["cost"]))] if best else [(None, None, False)]
+    return points.sparkSession.createDataFrame(rows, "centers string, cost double, pays boolean")
 
 
 _THREE = """w as (select b.block, coalesce(p, 0) + 0.01::double as w from blocks b left join demand using (block)), d as (select src, dst, km * w as c from dist join w on w.block = src),
@@ -91,7 +137,5 @@ def l6_swap_medians(spark, sf_dir):
 select arg_min(i || ',' || j, (round(cost, 6), i || ',' || j)) as centers, round(min(cost), 6) as cost, false as pays from v""", "stops"))
 def l6_swap_stops(spark, sf_dir):
     """Two centres of all stops, by the seconds spent at them."""
-    s = Region(spark, sf_dir).stops().select("stop", "x_km", "y_km", "secs")
-    b = s.select(F.col("stop").alias("dst"), F.col("x_km").alias("bx"), F.col("y_km").alias("by"))
-    km = distance(F.col("x_km"), F.col("y_km"), F.col("bx"), F.col("by"))
-    return best_centers(s.crossJoin(b).select(F.col("stop").alias("src"), "dst", (F.col("secs") * km).alias("cost")), 2, 6)
+    s = Region(spark, sf_dir).stops()
+    return best_two_of_places(s.select(F.col("stop").alias("id"), F.col("x_km").alias("x"), F.col("y_km").alias("y"), F.col("secs").alias("weight")), 6)
