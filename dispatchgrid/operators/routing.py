@@ -1,4 +1,5 @@
-"""Tours and routes; groups are bounded by a district, and each is solved in its own task."""
+"""Tours and routes; each group is solved in its own task, over its places: points at one place are visited one after another,
+so their number counts, and what a task holds and does grows with the places alone."""
 
 from __future__ import annotations
 
@@ -19,13 +20,29 @@ def _matrix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.hypot(x[:, None] - x[None, :], y[:, None] - y[None, :])
 
 
-def nearest_neighbour(d: np.ndarray, start: int = 0) -> list[int]:
+class Plane:
+    """Distances of places by their coordinates, looked up as in a matrix without being one."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.x, self.y = x, y
+
+    def __len__(self) -> int:
+        return len(self.x)
+
+    def __getitem__(self, at):
+        a, b = at if isinstance(at, tuple) else (at, slice(None))
+        return np.hypot(self.x[a] - self.x[b], self.y[a] - self.y[b])
+
+
+def nearest_neighbour(d: np.ndarray | Plane, start: int = 0) -> list[int]:
     """Order of visits, each time the nearest left; ties to the first."""
-    left, tour = set(range(len(d))) - {start}, [start]
-    while left:
-        nxt = min(left, key=lambda j: (round(d[tour[-1], j], 9), j))
-        tour.append(nxt)
-        left.remove(nxt)
+    left, tour = np.ones(len(d), bool), [start]
+    left[start] = False
+    for _ in range(len(d) - 1):
+        row = np.where(left, d[tour[-1]], np.inf)
+        near = np.flatnonzero(row <= row.min() + 2e-9)
+        tour.append(min(near.tolist(), key=lambda j: (round(float(row[j]), 9), j)))
+        left[tour[-1]] = False
     return tour
 
 
@@ -33,20 +50,27 @@ def length(d: np.ndarray, tour: list[int]) -> float:
     return float(sum(d[a, b] for a, b in zip(tour, tour[1:] + tour[:1], strict=True))) if len(tour) > 1 else 0.0
 
 
-def two_opt(d: np.ndarray, tour: list[int], rounds: int = 100) -> list[int]:
-    """First-improvement reversals until none shortens the tour."""
-    tour = list(tour)
+def two_opt(d: np.ndarray | Plane, tour: list[int], rounds: int = 100) -> list[int]:
+    """First-improvement reversals until none shortens the tour: of each first end, all last ends still to come at once."""
+    t = np.array(tour, int)
+    n, legs = len(t), d[t, np.roll(t, -1)]  # from each place to the next
     for _ in range(rounds):
         better = False
-        for i in range(1, len(tour) - 1):
-            for j in range(i + 1, len(tour)):
-                a, b, c, e = tour[i - 1], tour[i], tour[j], tour[(j + 1) % len(tour)]
-                if d[a, c] + d[b, e] < d[a, b] + d[c, e] - 1e-12:
-                    tour[i : j + 1] = tour[i : j + 1][::-1]
-                    better = True
+        for i in range(1, n - 1):
+            j = i + 1
+            while j < n:
+                a, b = t[i - 1], t[i]
+                cut = d[a, t[j:]] + d[b, np.append(t[j + 1 :], t[0])] < legs[i - 1] + legs[j:] - 1e-12
+                k = int(cut.argmax())
+                if not cut[k]:
+                    break
+                j += k
+                t[i : j + 1], legs[i:j] = t[i : j + 1][::-1].copy(), legs[i:j][::-1].copy()
+                legs[i - 1], legs[j] = d[t[i - 1], t[i]], d[t[j], t[(j + 1) % n]]
+                better, j = True, j + 1
         if not better:
             break
-    return tour
+    return t.tolist()
 
 
 def held_karp(d: np.ndarray) -> float:
@@ -67,11 +91,11 @@ def held_karp(d: np.ndarray) -> float:
     return float(min(c + d[last, 0] for (_, last), c in best.items()))
 
 
-def spanning_tree(d: np.ndarray) -> float:
+def spanning_tree(d: np.ndarray | Plane) -> float:
     """Length of a minimum spanning tree by Prim's rule."""
     if len(d) < 2:
         return 0.0
-    near, total, left = d[0].copy(), 0.0, np.ones(len(d), bool)
+    near, total, left = np.array(d[0]), 0.0, np.ones(len(d), bool)
     left[0] = False
     while left.any():
         i = int(np.where(left, near, np.inf).argmin())
@@ -81,9 +105,9 @@ def spanning_tree(d: np.ndarray) -> float:
     return float(total)
 
 
-def tour_length(d: np.ndarray) -> float:
-    """Exact up to EXACT points, beyond that nearest neighbour improved by reversals."""
-    return held_karp(d) if len(d) <= EXACT else length(d, two_opt(d, nearest_neighbour(d)))
+def tour_length(d: np.ndarray | Plane, points: int | None = None) -> float:
+    """Exact up to EXACT points (places where not given), beyond that nearest neighbour improved by reversals."""
+    return held_karp(np.array([d[i] for i in range(len(d))])) if (points or len(d)) <= EXACT else length(d, two_opt(d, nearest_neighbour(d)))
 
 
 def per_group(points: DataFrame, key: str, order: str, f: Callable[[np.ndarray], dict], schema: str) -> DataFrame:
@@ -100,6 +124,23 @@ def per_group(points: DataFrame, key: str, order: str, f: Callable[[np.ndarray],
     return groups.mapInPandas(run, f"{key} {kind}, {schema}")
 
 
+def per_places(points: DataFrame, key: str, order: str, f: Callable[[Plane, int], dict], schema: str) -> DataFrame:
+    """One row per group of points (x_km, y_km) from its places, in the order of a column's least value at each, and the number of
+    its points. Trees, the nearest next and reversals come out as over the points: the next of a place's points is at no
+    distance, and a reversal that parts points of one place never shortens a tour."""
+    kind = dict(points.dtypes)[key]
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    places = points.groupBy(key, "x_km", "y_km").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    groups = places.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("first", "x_km", "y_km"))).alias("p"), F.sum("n").alias("n"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in frames:
+            rows = [{key: k, **f(Plane(np.array([q["x_km"] for q in p]), np.array([q["y_km"] for q in p])), int(n))} for k, p, n in zip(g[key], g["p"], g["n"], strict=True)]
+            yield pd.DataFrame(rows, columns=[key, *names])
+
+    return groups.mapInPandas(run, f"{key} {kind}, {schema}")
+
+
 #: Tours of groups of points (g, k, x, y; k the place in the group from 1) in SQL, step by step: the nearest left in turn, first
 #: improving reversals, all subsets, and the nearest to a growing tree.
 _TOURS = {
@@ -144,14 +185,15 @@ def _groups(spark, sf_dir) -> DataFrame:
     return Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 12).cast("int"))
 
 
-def _values(d: np.ndarray) -> dict:
+def _values(d: Plane, n: int) -> dict:
     nn = nearest_neighbour(d)
-    return {"n": len(d), "nn_km": round(length(d, nn), 6), "two_opt_km": round(length(d, two_opt(d, nn)), 6), "tour_km": round(tour_length(d), 6), "tree_km": round(spanning_tree(d), 6)}
+    improved = round(length(d, two_opt(d, nn)), 6)
+    return {"n": n, "nn_km": round(length(d, nn), 6), "two_opt_km": improved, "tour_km": improved if n > EXACT else round(tour_length(d, n), 6), "tree_km": round(spanning_tree(d), 6)}
 
 
 @query("m2_two_opt", sql(tours_sql(cells_sql(12), f"select g as cell, n, round(nn_km, 6) as nn_km, round(two_opt_km, 6) as two_opt_km, {TOUR_SQL} as tour_km, round(tree_km, 6) as tree_km from nnt join best using (g) left join ex using (g) join tree using (g)", "best", "ex", "tree"), "stops", recursive=True))
 def m2(spark, sf_dir):
-    return per_group(_groups(spark, sf_dir), "cell", "stop", _values, "n long, nn_km double, two_opt_km double, tour_km double, tree_km double")
+    return per_places(_groups(spark, sf_dir), "cell", "stop", _values, "n long, nn_km double, two_opt_km double, tour_km double, tree_km double")
 
 
 _NN = """with p as (select stop, stop % 12 as cell, x_km as x, y_km as y, row_number() over (partition by stop % 12 order by stop) as i from stops),
@@ -162,17 +204,17 @@ select cell::int as cell, len(seen)::bigint as n, round(km + sqrt((x - x0) ** 2
 
 @query("m1_nearest_neighbour_tour", sql(_NN, "stops", recursive=True))
 def m1(spark, sf_dir):
-    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"n": len(d), "nn_km": round(length(d, nearest_neighbour(d)), 6)}, "n long, nn_km double")
+    return per_places(_groups(spark, sf_dir), "cell", "stop", lambda d, n: {"n": n, "nn_km": round(length(d, nearest_neighbour(d)), 6)}, "n long, nn_km double")
 
 
 @query("k9_spanning_tree", sql(tours_sql(cells_sql(12), "select g as cell, round(tree_km, 6) as tree_km from tree", "tree"), "stops", recursive=True))
 def k9(spark, sf_dir):
-    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tree_km": round(spanning_tree(d), 6)}, "tree_km double")
+    return per_places(_groups(spark, sf_dir), "cell", "stop", lambda d, n: {"tree_km": round(spanning_tree(d), 6)}, "tree_km double")
 
 
 @query("m3_tour_switch", sql(tours_sql(cells_sql(12), f"select g as cell, {TOUR_SQL} as tour_km from nnt join best using (g) left join ex using (g)", "best", "ex"), "stops", recursive=True))
 def m3(spark, sf_dir):
-    return per_group(_groups(spark, sf_dir), "cell", "stop", lambda d: {"tour_km": round(tour_length(d), 6)}, "tour_km double")
+    return per_places(_groups(spark, sf_dir), "cell", "stop", lambda d, n: {"tour_km": round(tour_length(d, n), 6)}, "tour_km double")
 
 
 @query("l16_single_stop_vehicles", sql("select stop % 12 as cell, round(sum(2 * sqrt((x_km - 2.5) ** 2 + (y_km - 2.5) ** 2)), 6) as km from stops group by 1", "stops"))

@@ -17,7 +17,7 @@ from dispatchgrid.operators.helpers import legs
 from dispatchgrid.operators.on_demand import simulated
 from dispatchgrid.operators.partition import Problem, best_partition, corner, one_row, problem
 from dispatchgrid.operators.robust import root_mass_worst_case, worst_mean, worst_sql
-from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, nearest_neighbour, per_group, spanning_tree, tour_length, tours_sql
+from dispatchgrid.operators.routing import TOUR_SQL, cells_sql, nearest_neighbour, per_group, per_places, spanning_tree, tour_length, tours_sql
 from dispatchgrid.plans.region import Region, sql
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
@@ -200,8 +200,8 @@ def m4(spark, sf_dir):
     """A tour from the depot through each group's stops: exact or improved, the estimate from their number, and twice the tree."""
     stops = Region(spark, sf_dir).stops().select((F.col("stop") % 12).cast("int").alias("cell"), "stop", "x_km", "y_km")
     depot = stops.select("cell").distinct().select("cell", F.lit(0).cast("long").alias("stop"), F.lit(2.5).alias("x_km"), F.lit(2.5).alias("y_km"))
-    f = lambda d: {"n": len(d), "tour_km": round(tour_length(d), 6), "estimate_km": round(TOUR_CONSTANT * math.sqrt(len(d) * 25.0), 6), "tree_km": round(2 * spanning_tree(d), 6)}
-    return per_group(stops.select("cell", F.col("stop").cast("long").alias("stop"), "x_km", "y_km").union(depot), "cell", "stop", f, "n long, tour_km double, estimate_km double, tree_km double")
+    f = lambda d, n: {"n": n, "tour_km": round(tour_length(d, n), 6), "estimate_km": round(TOUR_CONSTANT * math.sqrt(n * 25.0), 6), "tree_km": round(2 * spanning_tree(d), 6)}
+    return per_places(stops.select("cell", F.col("stop").cast("long").alias("stop"), "x_km", "y_km").union(depot), "cell", "stop", f, "n long, tour_km double, estimate_km double, tree_km double")
 
 
 _PARTS = "select route * 100000 + (seq - 1) // 4 as g, row_number() over (partition by route, (seq - 1) // 4 order by seq) as k, x_km as x, y_km as y from stops"
@@ -221,7 +221,7 @@ def m7(spark, sf_dir):
 
 @query("s19_tour_lengths", sql(tours_sql(cells_sql(8), f"select g as cell, n, {TOUR_SQL} as km from nnt join best using (g) left join ex using (g)", "best", "ex"), "stops", recursive=True))
 def s19(spark, sf_dir):
-    return per_group(Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 8).cast("int")), "cell", "stop", lambda d: {"n": len(d), "km": round(tour_length(d), 6)}, "n long, km double")
+    return per_places(Region(spark, sf_dir).stops().withColumn("cell", (F.col("stop") % 8).cast("int")), "cell", "stop", lambda d, n: {"n": n, "km": round(tour_length(d, n), 6)}, "n long, km double")
 
 
 @query("s10_assign_and_recentre", sql("with a as (select src as block, arg_min(dst, (round(km, 9), dst)) as centre from dist where dst in (6, 8, 16, 18) group by src), s as (select a.centre, a.block, sum(d.km) as total from a join a b on a.centre = b.centre join dist d on d.src = a.block and d.dst = b.block group by a.centre, a.block) select centre, arg_min(block, (round(total, 9), block)) as recentred, round(min(total), 6) as km from s group by centre", "dist"))
