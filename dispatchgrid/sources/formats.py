@@ -2,17 +2,21 @@
 
   polygon_shapes   folders of .shp/.shx/.dbf: a partition is a run of records found in the index file; ids (option `idField`)
                    and boxes in a filter are pushed down, so that shapes outside aren't decoded
-  sheet_rows       .xlsx: a partition is a block of a sheet's rows, parsed as a stream
+  sheet_rows       .xlsx: a partition is a block of a sheet's rows, parsed as a stream; as a block is reached through the rows
+                   before it, a sheet has SHEET_BLOCKS of them at most, so that all blocks together take time by its length
   grid_tiles       folders of .flt tiles with a .hdr each: a partition is a block of a tile's rows, read at its offset; bounds
                    on ix and iy are pushed down
 
-Writing gives a file (or tile) a task. Paths are resolved by pyarrow's file systems, on the driver for planning and on
+Writing gives a file (or tile) a task; sheets a workbook for each SHEET_ROWS rows of a task. Paths are resolved by pyarrow's file systems, on the driver for planning and on
 executors for reading, so they may lie in any store that these know. Use `register(spark)` once a session.
 """
 
 from __future__ import annotations
 
+import itertools
+import re
 import struct
+import sys
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -28,6 +32,8 @@ from dispatchgrid.sources.binary import _NS, _column
 
 #: Bytes of shapes, and rows of sheets and tiles, that a partition has unless an option says otherwise.
 BLOCK_BYTES, BLOCK_ROWS = 32 << 20, 50_000
+#: Rows of a written workbook, and blocks of a sheet, at most.
+SHEET_ROWS, SHEET_BLOCKS = 50_000, 8
 _BOUNDS = {GreaterThan: lambda v, w: v > w, GreaterThanOrEqual: lambda v, w: v >= w, LessThan: lambda v, w: v < w, LessThanOrEqual: lambda v, w: v <= w, EqualTo: lambda v, w: v == w, In: lambda v, w: v in w}
 
 
@@ -208,6 +214,13 @@ def _rows(z: zipfile.ZipFile, sheet: int) -> Iterator[ElementTree.Element]:
                 e.clear()
 
 
+def _length(z: zipfile.ZipFile, sheet: int) -> int:
+    """Rows below the first that a sheet says it has, ahead of them; counted where it doesn't say."""
+    with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
+        said = re.search(rb"<(?:\w+:)?dimension\s[^>]*?ref=[\"'][A-Z]+\d+:[A-Z]+(\d+)[\"']", f.read(1 << 16))
+    return max(0, int(said[1]) - 1) if said else sum(1 for _ in _rows(z, sheet)) - 1
+
+
 class _SheetReader(_Filtered):
     takes = ("row",)
 
@@ -216,8 +229,10 @@ class _SheetReader(_Filtered):
         most, sheet, out = int(self.options.get("blockRows", self.options.get("blockrows", BLOCK_ROWS))), int(self.options.get("sheet", 1)), []
         for name in names:
             with store.open_input_file(name) as f, zipfile.ZipFile(f) as z:
-                n = sum(1 for _ in _rows(z, sheet)) - 1
-            out += [Block(name, at, min(n, at + most)) for at in range(0, n, most)]
+                n = _length(z, sheet)
+            step = max(most, -(-n // SHEET_BLOCKS))
+            # What a sheet says may be short of its rows: the last block goes on to the end.
+            out += [Block(name, at, at + step if at + step < n else sys.maxsize) for at in range(0, max(n, 1), step)]
         return out or [Block("", 0, 0)]
 
     def read(self, partition):
@@ -248,8 +263,17 @@ class _SheetReader(_Filtered):
                     head = cells
 
 
+def _letters(n: int) -> str:
+    """The name of the n-th column, from 1."""
+    out = ""
+    while n:
+        n, k = divmod(n - 1, 26)
+        out = chr(65 + k) + out
+    return out
+
+
 class _SheetWriter(DataSourceWriter):
-    """A workbook of one sheet a task, of rows (values: map of texts)."""
+    """Workbooks of one sheet, of rows (values: map of texts)."""
 
     def __init__(self, options: dict):
         self.options = options
@@ -259,13 +283,13 @@ class _SheetWriter(DataSourceWriter):
 
         store, at = pafs.FileSystem.from_uri(self.options["path"])
         store.create_dir(at)
-        rows = [dict(r["values"]) for r in iterator]
-        if rows:
+        cell = lambda v: '<c t="inlineStr"><is><t>' + escape(v) + "</t></is></c>" if v is not None else "<c/>"
+        values = (dict(r["values"]) for r in iterator)
+        while rows := list(itertools.islice(values, SHEET_ROWS)):
             names = sorted({k for r in rows for k in r})
-            cell = lambda v: '<c t="inlineStr"><is><t>' + escape(v) + "</t></is></c>" if v is not None else "<c/>"
             lines = "".join("<row>" + "".join(map(cell, r)) + "</row>" for r in [names, *([r.get(k) for k in names] for r in rows)])
             with store.open_output_stream(f"{at}/part-{uuid.uuid4().hex}.xlsx") as f, zipfile.ZipFile(f, "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS[1:-1]}"><sheetData>{lines}</sheetData></worksheet>')
+                z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_NS[1:-1]}"><dimension ref="A1:{_letters(max(len(names), 1))}{len(rows) + 1}"/><sheetData>{lines}</sheetData></worksheet>')
         return WriterCommitMessage()
 
 

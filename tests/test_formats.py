@@ -53,6 +53,22 @@ def test_sheets(registered, tmp_path):
     assert back.where("row < 5").count() == 10
 
 
+def test_blocks_of_a_sheet_take_time_by_its_length(spark, tmp_path, monkeypatch):
+    """Rows parsed for all blocks together stay within a few times the sheet, and none is parsed to plan them; a sheet that
+    says too little of its rows is read whole."""
+    at, n = f"file://{tmp_path}/sheets", 3000
+    monkeypatch.setattr(formats, "SHEET_ROWS", 2000)
+    formats._SheetWriter({"path": at}).write(iter([{"values": {"A": str(i), "B": "<b>"}} for i in range(n)]))
+    seen, rows = [0], formats._rows
+    monkeypatch.setattr(formats, "_rows", lambda z, sheet: (seen.__setitem__(0, seen[0] + 1) or r for r in rows(z, sheet)))
+    reader = formats._SheetReader({"path": at, "blockRows": "10"})
+    blocks = reader.partitions()
+    assert seen == [0] and len({b.file for b in blocks}) == 2
+    assert sorted(int(r[2]["A"]) for b in blocks for r in reader.read(b)) == list(range(n)) and seen[0] < 6 * n
+    monkeypatch.setattr(formats, "_length", lambda z, sheet: 100)
+    assert sorted(int(r[2]["A"]) for b in reader.partitions() for r in reader.read(b)) == list(range(n))
+
+
 def test_tiles(registered, tmp_path):
     spark, at = registered, f"file://{tmp_path}/tiles"
     cells = spark.range(600).selectExpr("int(id % 20) as ix", "int(id / 20) - 5 as iy", "float(id) as value").where("value <> 77")
