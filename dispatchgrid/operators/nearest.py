@@ -17,7 +17,7 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, rank: str, x: str = "
 
     Sites up to BROADCAST_ROWS (counted first) are broadcast and reduced in place by min_by; more are searched by cells."""
     p = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"))
-    s = sites.select(F.col(rank).alias("rank"), F.col(x).alias("sx"), F.col(y).alias("sy"))
+    s = sites.groupBy(F.col(x).alias("sx"), F.col(y).alias("sy")).agg(F.min(rank).alias("rank"))  # of sites at one place the smallest rank is the pick
     km = distance(F.col("px"), F.col("py"), F.col("sx"), F.col("sy"))
     if s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return p.crossJoin(F.broadcast(s)).groupBy(key).agg(_best(km)).select(key, F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
@@ -31,7 +31,8 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, rank: str,
     """key, pick, km: each point's nearest segment (ax, ay, bx, by), ties to the smallest rank. A segment is dealt to every cell
     that it runs through, so what is not among the cells around a point is no nearer than their edge."""
     p = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"))
-    s = segments.select(F.col(rank).alias("rank"), *EDGE)
+    # Of equal segments the smallest rank is the pick, whatever the point.
+    s = keep(segments.groupBy(*EDGE).agg(F.min(rank).alias("rank")), "segments")
     km = segment_distance(F.col("px"), F.col("py"), *(F.col(c) for c in EDGE))
     length = distance(*(F.col(c) for c in EDGE))
     box = s.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("n"), F.avg(length).alias("length")).first()
