@@ -2,8 +2,8 @@
 
   polygon_shapes   folders of .shp/.shx/.dbf: a partition is a run of records found in the index file; ids (option `idField`)
                    and boxes in a filter are pushed down, so that shapes outside aren't decoded
-  sheet_rows       .xlsx: a partition is a block of a sheet's rows, parsed as a stream; as a block is reached through the rows
-                   before it, a sheet has SHEET_BLOCKS of them at most, so that all blocks together take time by its length
+  sheet_rows       .xlsx: a partition is a block of a sheet's rows, parsed as a stream; the rows before it are passed over as
+                   bytes, and a sheet has SHEET_BLOCKS at most, so that all blocks together take time by its length
   grid_tiles       folders of .flt tiles with a .hdr each: a partition is a block of a tile's rows, read at its offset; bounds
                    on ix and iy are pushed down
 
@@ -214,6 +214,55 @@ def _rows(z: zipfile.ZipFile, sheet: int) -> Iterator[ElementTree.Element]:
                 e.clear()
 
 
+#: The end of a row, and what may hold such signs as plain text.
+_ROW_END = re.compile(rb"</(?:[\w.-]+:)?row\s*>|<(?:[\w.-]+:)?row(?:\s(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)?/>|<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.S)
+
+
+class _Past:
+    """The bytes of a sheet without the rows from its second on, as many as skip; these are found by their ends, not parsed."""
+
+    def __init__(self, f, skip: int):
+        self.f, self.held = f, f.read(4096)
+        # In two bytes a sign the ends look otherwise: such a sheet is parsed whole.
+        self.skip = 0 if b"\0" in self.held else skip
+        self.left = self.skip + 1 if self.skip else 0
+
+    def read(self, size: int = -1) -> bytes:
+        while self.left:
+            out, at, first = b"", 0, self.left == self.skip + 1
+            for m in _ROW_END.finditer(self.held):
+                if m[0][:2] == b"<!":
+                    if not m[0].endswith(b"-->" if m[0][:4] == b"<!--" else b"]]>"):  # goes on in the next bytes
+                        break
+                    continue
+                self.left, at = self.left - 1, m.end()
+                if first:
+                    out, first = self.held[:at], False
+                if not self.left:
+                    break
+            if self.left:
+                more = self.f.read(1 << 20)
+                self.left *= bool(more)  # of a sheet of fewer rows only what closes it is left
+                self.held = self.held[at:] + more
+            else:
+                self.held = self.held[at:]
+            if out:
+                return out
+        out, self.held = self.held, b""
+        return out or self.f.read(size)
+
+
+def _rows_from(z: zipfile.ZipFile, sheet: int, first: int) -> Iterator[tuple[int, ElementTree.Element]]:
+    """The first row of a sheet, and those from row first below it on, each with its number from 0."""
+    with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
+        past, i = _Past(f, first), 0
+        for _, e in ElementTree.iterparse(past):
+            if e.tag == f"{_NS}row":
+                yield i, e
+                i += 1 + past.skip * (i == 0)
+                e.clear()
+
+
 def _length(z: zipfile.ZipFile, sheet: int) -> int:
     """Rows below the first that a sheet says it has, ahead of them; counted where it doesn't say."""
     with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
@@ -244,7 +293,7 @@ class _SheetReader(_Filtered):
             if "xl/sharedStrings.xml" in z.namelist():
                 shared = ["".join(t.text or "" for t in s.iter(f"{_NS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
             head: dict[int, str | None] = {}
-            for i, row in enumerate(_rows(z, int(self.options.get("sheet", 1)))):
+            for i, row in _rows_from(z, int(self.options.get("sheet", 1)), partition.first):
                 if i > partition.stop:
                     return
                 if i and (i <= partition.first or not self.passes(row=i - 1)):

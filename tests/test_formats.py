@@ -1,10 +1,14 @@
 """Formats of the Python data source interface: what is written comes back, in several partitions, with filters pushed down."""
 
+import zipfile
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import GreaterThanOrEqual, In, LessThan
 
+from dispatchgrid import catalog
 from dispatchgrid.sources import formats
+from tests.conftest import DATA
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +73,30 @@ def test_blocks_of_a_sheet_take_time_by_its_length(spark, tmp_path, monkeypatch)
     assert sorted(int(r[2]["A"]) for b in reader.partitions() for r in reader.read(b)) == list(range(n))
 
 
+def test_rows_before_a_block_are_passed_over_as_bytes(tmp_path):
+    """Only a block's own rows are parsed, whatever stands between the rows: comments, plain text like a row's end, empty rows, prefixes."""
+    text = lambda i: f"<![CDATA[</row>{i}]]>" if i % 7 == 0 else f"{i}" + "x" * (i % 11)
+    line = lambda i: '<x:row r="1" y=\'>\'/>' if i % 13 == 5 else f'<x:row r="{i}"><x:c t="inlineStr"><x:is><x:t>{text(i)}</x:t></x:is></x:c></x:row >' + "<!-- </x:row> -->" * (i % 5 == 0)
+    body = f'<x:worksheet xmlns:x="{formats._NS[1:-1]}"><x:sheetData><x:row><x:c t="inlineStr"><x:is><x:t>A</x:t></x:is></x:c></x:row>' + "".join(map(line, range(30000))) + "</x:sheetData></x:worksheet>"
+    for kind in ("utf-8", "utf-16"):
+        with zipfile.ZipFile(f"{tmp_path}/{kind}.xlsx", "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<?xml version="1.0" encoding="{kind}"?>'.encode(kind) + body.encode(kind)[2 * (kind == "utf-16") :])
+    want = {i: (f"</row>{i}" if i % 7 == 0 else text(i)) for i in range(30000) if i % 13 != 5}
+    reader = formats._SheetReader({"path": str(tmp_path)})
+    for name in ("utf-8", "utf-16"):
+        for first, stop in ((0, 4), (1, 3), (29000, 29010), (29998, 10**9), (40000, 10**9)):
+            got = [(i, v.get("A")) for _, i, v in reader.read(formats.Block(f"{tmp_path}/{name}.xlsx", first, stop))]
+            assert got == [(i, want.get(i)) for i in range(first, min(stop, 30000))], (name, first)
+    with zipfile.ZipFile(f"{tmp_path}/utf-8.xlsx") as z:
+        assert [i for i, _ in formats._rows_from(z, 1, 29990)] == [0, *range(29991, 30001)]
+
+
+def test_all_orders_are_in_the_sheets(registered):
+    """Three of four orders were left out."""
+    got = catalog.queries()["a8_sheet_rows"](registered, DATA).agg(F.sum("orders").alias("n")).first()["n"]
+    assert got == registered.read.parquet(f"{DATA}/orders.parquet").count()
+
+
 def test_tiles(registered, tmp_path):
     spark, at = registered, f"file://{tmp_path}/tiles"
     cells = spark.range(600).selectExpr("int(id % 20) as ix", "int(id / 20) - 5 as iy", "float(id) as value").where("value <> 77")
