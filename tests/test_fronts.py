@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import duckdb
 import numpy as np
 import pytest
 
+from dispatchgrid import catalog
 from dispatchgrid.operators import fronts as N
+from tests.oracle import same
 
 KINDS = "src long, dst long, km double"
 
@@ -85,3 +88,14 @@ def test_labels(spark, monkeypatch):
     monkeypatch.setattr(N, "BASE", 20)
     assert N.nested(e, places)[1] > 1
     assert {r["node"]: r["hubs"] for r in N.label_sizes(e, places).collect()} == want
+
+
+def test_a_tree_over_many_tasks(spark, tmp_path, monkeypatch):
+    """The path trees of the SQL where the graph takes several rounds of cells."""
+    monkeypatch.setattr(N, "BASE", 60)
+    for t in ("customer", "supplier"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    c = duckdb.connect()
+    for t in ("customer", "supplier"):
+        c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    same(catalog.queries()["k5_hub_path_trees"](spark, str(tmp_path)), c.execute(catalog.oracle_sql()["k5_hub_path_trees"]))
