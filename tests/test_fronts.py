@@ -9,6 +9,7 @@ import pytest
 
 from dispatchgrid import catalog
 from dispatchgrid.operators import fronts as N
+from tests.conftest import DATA
 from tests.oracle import same
 
 KINDS = "src long, dst long, km double"
@@ -99,3 +100,9 @@ def test_a_tree_over_many_tasks(spark, tmp_path, monkeypatch):
     for t in ("customer", "supplier"):
         c.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
     same(catalog.queries()["k5_hub_path_trees"](spark, str(tmp_path)), c.execute(catalog.oracle_sql()["k5_hub_path_trees"]))
+
+
+def test_labels_of_all_customers(spark):
+    """Nodes were a quarter of the customers, with gaps."""
+    got = catalog.queries()["k1_hub_label_sizes"](spark, DATA).collect()
+    assert sum(r["nodes"] for r in got) == spark.read.parquet(f"{DATA}/customer.parquet").count()
