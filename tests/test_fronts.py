@@ -106,3 +106,9 @@ def test_labels_of_all_customers(spark):
     """Nodes were a quarter of the customers, with gaps."""
     got = catalog.queries()["k1_hub_label_sizes"](spark, DATA).collect()
     assert sum(r["nodes"] for r in got) == spark.read.parquet(f"{DATA}/customer.parquet").count()
+
+
+def test_a_map_of_all_customers(spark):
+    """Nodes were a quarter of the customers, with gaps."""
+    got = {r["node"] for r in catalog.queries()["k4_road_map"](spark, DATA).collect()}
+    assert got == {r["c_custkey"] for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
