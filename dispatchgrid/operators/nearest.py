@@ -10,6 +10,8 @@ from dispatchgrid.functions.kept import keep
 from dispatchgrid.operators.polygons import EDGE, cells_of
 
 BROADCAST_ROWS = 500
+#: Sites in a list, and in all lists that are broadcast, at most.
+LISTED_ROWS, LISTED_BROADCAST = 20_000, 500_000
 
 
 def nearest(points: DataFrame, sites: DataFrame, key: str, rank: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
@@ -24,7 +26,7 @@ def nearest(points: DataFrame, sites: DataFrame, key: str, rank: str, x: str = "
     box = s.agg(F.min("sx").alias("x0"), F.max("sx").alias("x1"), F.min("sy").alias("y0"), F.max("sy").alias("y1"), F.count("*").alias("n")).first()
     width = (((box["x1"] - box["x0"]) * (box["y1"] - box["y0"])) / box["n"]) ** 0.5
     cells = lambda w: F.array(F.struct(F.floor(F.col("sx") / w).alias("cx"), F.floor(F.col("sy") / w).alias("cy")))
-    return _search(p, s, key, km, cells, width, box)
+    return _search(p, s, key, lambda g: distance(F.col("px"), F.col("py"), g["sx"], g["sy"]), cells, width, box)
 
 
 def nearest_segment(points: DataFrame, segments: DataFrame, key: str, rank: str, x: str = "x_km", y: str = "y_km") -> DataFrame:
@@ -33,7 +35,7 @@ def nearest_segment(points: DataFrame, segments: DataFrame, key: str, rank: str,
     p = points.select(key, F.col(x).alias("px"), F.col(y).alias("py"))
     # Of equal segments the smallest rank is the pick, whatever the point.
     s = keep(segments.groupBy(*EDGE).agg(F.min(rank).alias("rank")), "segments")
-    km = segment_distance(F.col("px"), F.col("py"), *(F.col(c) for c in EDGE))
+    km = lambda g: segment_distance(F.col("px"), F.col("py"), *(g[c] for c in EDGE))
     length = distance(*(F.col(c) for c in EDGE))
     box = s.agg(F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1"), F.count("*").alias("n"), F.avg(length).alias("length")).first()
     if not box["n"]:
@@ -47,28 +49,38 @@ def _best(km: Column) -> Column:
     return F.min_by(F.struct("rank", km.alias("km")), F.struct(F.round(km, 9), "rank")).alias("b")
 
 
-def _search(p: DataFrame, s: DataFrame, key: str, km: Column, cells, width: float, box) -> DataFrame:
-    """Points look into their own cell and the eight around it; a pick is certain once it is nearer than the looked-at square's
-    edge, and those left look again into wider cells. Each round's points and picks are written, so that no round plans those
-    before it again."""
+def _search(p: DataFrame, s: DataFrame, key: str, km, cells, width: float, box) -> DataFrame:
+    """Each cell lists the sites of its own and the eight around it, and a point takes the least of its cell's list within its row;
+    km: the distance to a site. Points outside the box of all sites look from the nearest place in it: what isn't listed there is
+    farther from that place than the cells' width, and from the point farther than both together (by Pythagoras, as the box is
+    convex). Points that aren't certain look again into wider cells. A round writes its points once, so none plans those before."""
     width, span = max(width, 1e-9), max(box["x1"] - box["x0"], box["y1"] - box["y0"]) * 2 + width
-    out, left = None, p
+    inside = lambda c, a, b: F.greatest(F.lit(box[a]), F.least(F.lit(box[b]), F.col(c)))
+    qx, qy = inside("px", "x0", "x1"), inside("py", "y0", "y1")
+    out, left = None, p.distinct()
     while True:
-        cell = lambda c: F.floor(F.col(c) / width)  # noqa: E731, B023
-        around = F.explode(F.array(*(F.struct((cell("px") + i).alias("cx"), (cell("py") + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
         last = width > span
-        if last:  # what is left lies far from all sites: those of the border's cells are met from the nearest place inside
-            inside = lambda c, a, b: F.greatest(F.lit(box[a]), F.least(F.lit(box[b]), F.col(c)))
-            near = F.floor(inside("px", "x0", "x1") / width), F.floor(inside("py", "y0", "y1") / width)
-            around = F.explode(F.array(*(F.struct((near[0] + i).alias("cx"), (near[1] + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        look = left.select(key, "px", "py", around.alias("c"))
-        got = look.join(s.withColumn("c", F.explode(cells(width))), "c").groupBy(key, "px", "py").agg(_best(km)).select(key, "px", "py", F.col("b.rank").alias("pick"), F.col("b.km").alias("km"))
-        got = keep(got, "nearest")
-        sure = (got if last else got.where(F.col("km") <= F.lit(width))).select(key, "pick", "km")
-        out = sure if out is None else out.unionByName(sure)
-        if last:
-            return out
-        left = keep(left.join(sure.select(key), key, "left_anti"), "nearest")
-        width *= 4
-        if left.isEmpty():
+        around = lambda c: F.array(*(F.struct((c["cx"] + i).alias("cx"), (c["cy"] + j).alias("cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+        listed = keep(s.select(F.struct(*s.columns).alias("site"), F.explode(F.array_distinct(F.flatten(F.transform(cells(width), around)))).alias("c")), "listed")
+        n = listed.groupBy("c").agg(F.count("*").alias("n"))
+        size = n.agg(F.sum("n").alias("all"), F.max("n").alias("most")).first()
+        slot = F.lit(0)
+        if split := size["most"] > LISTED_ROWS:  # lists of a bounded length
+            listed = listed.join(F.broadcast(n.where(F.col("n") > LISTED_ROWS)), "c", "left")
+            slot = F.coalesce(F.pmod(F.xxhash64("site"), F.ceil(F.col("n") / LISTED_ROWS)), F.lit(0))
+        lists = listed.groupBy("c", slot.alias("slot")).agg(F.collect_list("site").alias("sites")).drop("slot")
+        lists = F.broadcast(lists) if size["all"] <= LISTED_BROADCAST else lists
+        look = left.withColumn("c", F.struct(F.floor(qx / width).alias("cx"), F.floor(qy / width).alias("cy"))).join(lists, "c", "left")
+        far = F.transform("sites", lambda g: F.struct(km(g).alias("km"), g["rank"].alias("rank")))
+        best = F.array_min(F.transform(far, lambda g: F.struct(F.round(g["km"], 9).alias("by"), g["rank"].alias("rank"), g["km"].alias("km"))))
+        look = look.select(key, "px", "py", best.alias("b"))
+        if split:
+            look = look.groupBy(key, "px", "py").agg(F.min("b").alias("b"))
+        sure = F.lit(last) | F.coalesce(F.col("b.km") <= F.hypot(distance(F.col("px"), F.col("py"), qx, qy), F.lit(width)), F.lit(False))
+        look = keep(look.select(key, "px", "py", F.col("b.rank").alias("pick"), F.col("b.km").alias("km"), sure.alias("sure")), "nearest")
+        found = look.where("sure").select(key, "pick", "km")
+        out = found if out is None else out.unionByName(found)
+        left = look.where("not sure").select(key, "px", "py")
+        width *= 2
+        if last or left.isEmpty():
             return out
